@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, records, simhash
+from . import packing, records, simhash, substrings
 from .shared import documents
 
 
@@ -25,6 +25,11 @@ def op6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(records.write_records(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.drop_repeats(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
