@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, records, simhash, substrings
+from . import mixing, packing, quality, records, simhash, substrings
 from .shared import documents
 
 
@@ -21,6 +21,18 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, limit=1024)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, draws = mixing.mix(documents(spark, sf_dir))
+    taken = draws.groupBy("key").agg(F.sum("words").alias("taken"))
+    return docs.join(taken, "key", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+
+
 def op6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(records.write_records(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1))
 
