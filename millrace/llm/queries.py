@@ -8,9 +8,32 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, packing, pii, quality, records, simhash, substrings
+from . import embeddings, licenses, mixing, packing, pii, quality, records, simhash, substrings, topk
 from .shared import documents
 
+OP7_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL),
+good AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND list_count(e) = len(e) AND len(list_filter(e, lambda x: isnan(x) OR isinf(x))) = 0
+         AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(node, to_id) AS (SELECT a, b FROM l UNION SELECT r.node, l.b FROM reach r JOIN l ON l.a = r.to_id)
+SELECT v.vec_id, coalesce(d.n, 0) AS n_links, least(v.vec_id, coalesce(c.m, v.vec_id)) AS component_id,
+       v.vec_id = least(v.vec_id, coalesce(c.m, v.vec_id)) AS kept
+FROM v LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) d ON d.a = v.vec_id
+LEFT JOIN (SELECT node, min(to_id) AS m FROM reach GROUP BY node) c ON c.node = v.vec_id
+"""
+OP9_SQL = """
+WITH v AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(1024 * x) AS BIGINT)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND list_count(embedding) = len(embedding)
+           AND len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+             CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+      FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 #: A production job takes its key from a secret store.
 PII_KEY = "millrace example key"
 
@@ -44,11 +67,19 @@ def op6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(records.write_records(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1))
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.drop_repeats(documents(spark, sf_dir))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id % 100 = 0", k=10)
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
@@ -58,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_embeddings": OP7_SQL, "op9_topk": OP9_SQL}
