@@ -21,7 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .scan import buffers, mixed
 from .shared import small_batches, stored
+from .substrings import Batch
 
 BITS = 64
 #: Variants that a cell's task holds at once; a fuller cell is halved by its next bit, again and again.
@@ -60,7 +62,7 @@ def ball(bits: int, radius: int) -> list[int]:
 
 
 def forest(a: np.ndarray, b: np.ndarray, nodes: int) -> np.ndarray:
-    """Indices of links that connect all that the links connect, fewer than there are nodes."""
+    """Indices of links that connect all that the links connect, fewer than there are nodes; earlier links go first."""
     root, kept, at = np.arange(nodes), [], np.arange(len(a))
     while len(at):
         ra, rb = root[a[at]], root[b[at]]
@@ -120,36 +122,100 @@ def _linked(low: np.ndarray, left: np.ndarray, at: np.ndarray, bits: int) -> Ite
 
 
 def ball_links(nodes: DataFrame, radius: int = 4, cell_variants: int = 1 << 20) -> DataFrame:
-    """Links (a long, b long) that connect all nodes(id long, fp long) whose fingerprints differ in at most `radius` (even) bits.
+    """Links (a long, b long) that connect all nodes(id long, fp long[, t int]) whose fingerprints differ in at most `radius` (even) bits.
 
     Every link joins two such nodes; of each cell's links a spanning forest is kept, so a large group of near copies gives
-    a number of links in proportion to its size. fp must be distinct. No nodes give no links.
+    a number of links in proportion to its size, nearest links first. t tells apart fingerprints of different kinds, which
+    aren't compared. Equal fingerprints should be one node. No nodes give no links.
     """
     half = radius // 2
-    count, size = nodes.count(), len(ball(BITS, half))
+    count, size = nodes.groupBy("t").count().agg(F.max("count")).first()[0] or 0 if "t" in nodes.columns else nodes.count(), len(ball(BITS, half))
     k = max(0, min(40, math.ceil(math.log2(max(1, count * size / cell_variants)))))
     masks = [m for m in ball(k, half)]
     prefix = F.shiftrightunsigned("fp", BITS - k) if k else F.lit(0).cast("long")
-    rows = nodes.select("id", "fp", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("m")).select(prefix.bitwiseXOR(F.col("m")).alias("cell"), "id", "fp")
+    kind = F.col("t") if "t" in nodes.columns else F.lit(0).alias("t")
+    rows = nodes.select("id", "fp", kind, F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("m")).select("t", prefix.bitwiseXOR(F.col("m")).alias("cell"), "id", "fp")
 
     def solve(key: tuple, cell: pa.Table) -> pa.Table:
         ids, fps = cell.column("id").to_numpy(), cell.column("fp").to_numpy().view(np.uint64)
         order = np.argsort(ids, kind="stable")
         ids, fps = ids[order], fps[order]
-        here, free = np.uint64(key[0].as_py()), BITS - k
+        here, free = np.uint64(key[1].as_py()), BITS - k
         flips = np.bitwise_count((fps >> np.uint64(free)) ^ here) if k else np.zeros(len(fps), np.uint8)
         low = fps & np.uint64((1 << free) - 1) if k else fps
         left, found = (half - flips).astype(np.int64), []
         for a, b in _linked(low, left, np.arange(len(ids)), free):
             pairs = np.unique(np.minimum(a, b) * np.int64(len(ids)) + np.maximum(a, b))
             a, b = pairs // len(ids), pairs % len(ids)
-            near = np.bitwise_count(fps[a] ^ fps[b]) <= radius
+            apart = np.bitwise_count(fps[a] ^ fps[b])
+            near = np.argsort(apart, kind="stable")[: int((apart <= radius).sum())]
             found.append((a[near], b[near]))
         a, b = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
         keep = forest(a, b, len(ids))
         return pa.table({"a": ids[a[keep]], "b": ids[b[keep]]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    return rows.groupBy("cell").applyInArrow(solve, "a long, b long")
+    return rows.groupBy("t", "cell").applyInArrow(solve, "a long, b long")
+
+
+def _word_fingerprints(docs: DataFrame, tables: int) -> DataFrame:
+    """(doc_id, same binary, fps array<long>): a digest of the lower-cased words, and SimHashes of the set of words."""
+    lower = np.arange(256, dtype=np.uint8)
+    lower[65:91] += 32
+    salts = np.arange(1, tables + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            same, fps = [], []
+            for _, data, offsets in buffers(b.column(1)):
+                batch = Batch(lower[data], offsets, 1, 1)
+                for i, j in zip(batch.first, batch.first[1:], strict=False):
+                    own = batch.words[i:j]
+                    same.append(xxhash.xxh3_128_digest(own.tobytes()))
+                    own = np.unique(own)
+                    hashes = mixed(own[:, None] + salts)
+                    ones = np.unpackbits(hashes.view(np.uint8).reshape(len(own), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
+                    fps.append(np.packbits(ones * 2 > len(own), bitorder="little").view(np.int64))
+            flat = np.concatenate(fps) if fps else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, tables, dtype=np.int32), flat)], ["doc_id", "same", "fps"])
+
+    small_batches(docs.sparkSession)
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, same binary, fps array<long>")
+
+
+def shingles(text: str | None, width: int) -> set:
+    words = (text or "").encode().lower().split()
+    return set(zip(*(words[i:] for i in range(width)), strict=False)) if len(words) > width else {tuple(words)}
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 6, radius: int = 4) -> DataFrame:
+    """(doc_id, component_id): groups of documents that links of a Jaccard similarity of word shingles from `similarity` on connect.
+
+    Candidates come from `tables` SimHashes of the set of words by ball hashing, since fingerprints of shingles lie too far
+    apart at such similarities; each candidate link is verified on whole texts. Texts with equal words, ASCII case and white
+    space aside, are one node. component_id is the smallest doc_id of the group. Null counts as empty, and all empty texts are
+    equal; rows without doc_id are left out; repeated rows stay; an empty table gives an empty result.
+    """
+    marked = stored(_word_fingerprints(docs, tables), "fingerprints")
+    nodes = stored(marked.groupBy("same").agg(F.min("doc_id").alias("id"), F.min_by("fps", "doc_id").alias("fps")), "nodes")
+    near = ball_links(nodes.select("id", F.posexplode("fps").alias("t", "fp")), radius, cell_variants=1 << 22)
+    pairs = stored(near.distinct(), "pairs")
+    texts = lambda end: docs.select(F.col("doc_id").alias(f"{end}_id"), F.col("text").cast("string").alias(f"{end}_text")).join(pairs.select(F.col(end).alias(f"{end}_id")).distinct(), f"{end}_id", "left_semi").dropDuplicates([f"{end}_id"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep, last, own = [], None, set()
+            for a, at, bt in zip(*(b.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                if a != last:
+                    last, own = a, shingles(at, width)
+                other = shingles(bt, width)
+                common = len(own & other)
+                keep.append(common >= similarity * (len(own) + len(other) - common))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(texts("b"), F.col("b") == F.col("b_id")).join(texts("a"), F.col("a") == F.col("a_id"))
+    found = components(both.select("a", "b", "a_text", "b_text").mapInArrow(verify, "a long, b long"))
+    groups = nodes.join(found, F.col("id") == F.col("node"), "left").select("same", F.coalesce("component", "id").alias("component_id"))
+    return marked.select("doc_id", "same").join(groups, "same").select("doc_id", "component_id")
 
 
 def simhash_groups(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
