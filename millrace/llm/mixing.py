@@ -49,24 +49,34 @@ def _log_factorial(n: Column) -> Column:
     return F.when(n <= 20, F.log(F.factorial(F.least(n, F.lit(20)).cast("int")).cast("double"))).otherwise(series)
 
 
+def _let(value: Column, make) -> Column:
+    """make(value) with value worked out once."""
+    return F.element_at(F.transform(F.array(value), make), 1)
+
+
 def _hypergeometric(u: Column, total: Column, kind: Column, drawn: Column) -> Column:
     """Number of one kind among `drawn` of `total` things of which `kind` are of that kind, by inversion of u in [0, 1)."""
-    low, high = F.greatest(F.lit(0).cast("long"), drawn - (total - kind)), F.least(drawn, kind)
-    share = kind / F.greatest(total, F.lit(1))
-    mean, deviation = drawn * share, F.sqrt(F.greatest(F.lit(0.0), drawn * share * (1 - share)))
-    first = F.greatest(low, F.floor(mean - 10 * deviation - 10)).cast("long")
-    last = F.least(high, F.ceil(mean + 10 * deviation + 10)).cast("long")
-    mode = F.greatest(low, F.least(high, F.floor((drawn + 1) * ((kind + 1) / (total + 2)))))
 
-    def log_weight(k: Column) -> Column:
-        return -(_log_factorial(k) + _log_factorial(kind - k) + _log_factorial(drawn - k) + _log_factorial(total - kind - drawn + k))
+    def log_weight(s: Column, k: Column) -> Column:
+        return -(_log_factorial(k) + _log_factorial(s["kind"] - k) + _log_factorial(s["drawn"] - k) + _log_factorial(s["rest"] + k))
+
+    def window(s: Column) -> Column:
+        share = s["kind"] / F.greatest(s["total"], F.lit(1))
+        return F.struct((s["drawn"] * share).alias("mean"), F.sqrt(F.greatest(F.lit(0.0), s["drawn"] * share * (1 - share))).alias("deviation"))
+
+    def pick(s: Column, first: Column, weights: Column) -> Column:
+        step = lambda a, w: F.struct((a["sum"] + w).alias("sum"), (a["passed"] + F.when(a["sum"] + w <= a["aim"], 1).otherwise(0)).alias("passed"), a["aim"].alias("aim"))
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("passed"), (s["u"] * F.aggregate(weights, F.lit(0.0), lambda a, w: a + w)).alias("aim"))
+        return F.least(s["high"], first + F.aggregate(weights, start, step)["passed"])
+
+    def draw(s: Column) -> Column:
+        mode = F.greatest(s["low"], F.least(s["high"], F.floor((s["drawn"] + 1) * ((s["kind"] + 1) / (s["total"] + 2)))))
+        near = lambda m: F.sequence(F.greatest(s["low"], F.floor(m["mean"] - 10 * m["deviation"] - 10)).cast("long"), F.least(s["high"], F.ceil(m["mean"] + 10 * m["deviation"] + 10)).cast("long"))
+        return _let(_let(window(s), near), lambda ks: _let(log_weight(s, mode), lambda top: pick(s, ks[0], F.transform(ks, lambda k: F.exp(log_weight(s, k) - top)))))
 
-    top = log_weight(mode)
-    weights = F.transform(F.sequence(first, last), lambda k: F.exp(log_weight(k) - top))
-    aim = u * F.aggregate(weights, F.lit(0.0), lambda a, w: a + w)
-    state = F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("passed"))
-    passed = F.aggregate(weights, state, lambda a, w: F.struct((a["sum"] + w).alias("sum"), (a["passed"] + F.when(a["sum"] + w <= aim, 1).otherwise(0)).alias("passed")))["passed"]
-    return F.when(low == high, low).otherwise(F.least(first + passed, last))
+    rest = total - kind - drawn
+    given = F.struct(u.alias("u"), total.alias("total"), kind.alias("kind"), drawn.alias("drawn"), rest.alias("rest"), F.greatest(F.lit(0).cast("long"), -rest).alias("low"), F.least(drawn, kind).alias("high"))
+    return _let(given, lambda s: F.when(s["low"] == s["high"], s["low"]).otherwise(draw(s)))
 
 
 def split_quotas(root: DataFrame, levels: int, seed: int) -> DataFrame:
@@ -85,7 +95,7 @@ def split_quotas(root: DataFrame, levels: int, seed: int) -> DataFrame:
 
         split = nodes.withColumn("left", F.aggregate("quotas", start, step)["left"])
         children = F.array(F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("quotas")), F.struct((F.col("node") * 2 + 1).alias("node"), F.zip_with("quotas", "left", lambda q, x: q - x).alias("quotas")))
-        nodes = split.select(F.inline(children))
+        nodes = stored(split.select(F.inline(children)), "nodes")  # each level's plan stays as small as the first's
         if level % 6 == 5:
             nodes = nodes.repartition("node")
     return nodes.select(F.col("node").alias("shard"), "quotas")
