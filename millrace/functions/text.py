@@ -50,7 +50,8 @@ def clean_value(c: Column) -> Column:
 
 def normalize_text(c: Column) -> Column:
     """A cleaned value for comparison; '' for missing."""
-    return F.coalesce(simplified(clean_value(c)), F.lit(""))
+    simple = simplified(strip(c))
+    return F.when(simple.isNull() | simple.isin(EMPTY_WORDS) | simple.rlike("^(?:" + "|".join(MISSING_PREFIXES) + ")"), "").otherwise(simple)
 
 
 def clean_missing_text(c: Column) -> Column:

@@ -72,8 +72,12 @@ def parse_answer(raw: pd.Series) -> pd.DataFrame:
 
 
 def normalized(c: Column) -> Column:
-    """Scoring's normal form; only values that are not ASCII go through Python."""
-    cleaned = text.clean_missing_text(c)
+    """Scoring's normal form of a value."""
+    return normalized_clean(text.clean_missing_text(c))
+
+
+def normalized_clean(cleaned: Column) -> Column:
+    """Scoring's normal form of a cleaned value; only values that are not ASCII go through Python."""
     other = F.when(cleaned.rlike(r"[^\x00-\x7F]"), cleaned)
     return text.comparable(F.coalesce(nfkd(other), cleaned))
 

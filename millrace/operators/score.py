@@ -14,15 +14,18 @@ MODEL_ORDER = ["Granite-8B-AWQ", "OpenAI", "Qwen-4B-AWQ"]
 
 
 def field_scores(cells: DataFrame, ratio: bool = True) -> DataFrame:
-    """cells(field, expected, predicted, ...) with similarity and is_correct.
+    """cells(field, expected, predicted, ...) with similarity, is_correct, expected_missing and predicted_missing.
 
     Expected missing: 1 if predicted is missing too, else 0. Predicted missing: 0. Equal in normal form, a contact's e-mails
     all there, or the same first number of references: 1. Else the larger of the sequence ratio (unless ratio is False) and
     the token F1. Decided cells reach the ratio as nulls, so it runs on the rest only.
     """
-    ready = cells.withColumns({"__e": udfs.normalized(F.col("expected")), "__p": udfs.normalized(F.col("predicted"))})
-    ready = ready.withColumns({"__et": text.tokens(F.col("__e")), "__pt": text.tokens(F.col("__p"))})
-    no_e, no_p = text.is_missing(F.col("expected")), text.is_missing(F.col("predicted"))
+    both = {"__e": "expected", "__p": "predicted"}
+    ready = cells.withColumns({f"{k}s": text.strip(F.col(c)) for k, c in both.items()})  # step by step: each is worked out once
+    ready = ready.withColumns({f"{k}c": F.when(F.col(f"{k}s").isNull() | text.simplified(F.col(f"{k}s")).isin(text.MISSING_PHRASES), "").otherwise(F.col(f"{k}s")) for k in both})
+    ready = ready.withColumns({k: udfs.normalized_clean(F.col(f"{k}c")) for k in both})
+    ready = ready.withColumns({f"{k}t": text.tokens(F.col(k)) for k in both})
+    no_e, no_p = F.col("__ec") == "", F.col("__pc") == ""
     contact = (F.col("field") == rules.CONTACT) & text.contains_all(text.emails(F.col("expected")), text.emails(F.col("predicted")))
     first = lambda c: F.get(text.numbers(F.col(c)), F.lit(0))
     count = (F.col("field") == rules.REFERENCES) & (first("__e") == first("__p"))
@@ -35,7 +38,7 @@ def field_scores(cells: DataFrame, ratio: bool = True) -> DataFrame:
     rest = F.greatest(F.coalesce("__r", F.lit(0.0)), F.col("__f1")) if ratio else F.col("__f1")
     scored = ready.withColumn("similarity", F.coalesce("__d", rest))
     long = F.col("field").isin([n for n, is_long in rules.FIELDS if is_long])
-    return scored.withColumn("is_correct", F.col("similarity") >= F.when(long, LONG_LEAST).otherwise(LEAST)).select(*cells.columns, "similarity", "is_correct")
+    return scored.withColumn("is_correct", F.col("similarity") >= F.when(long, LONG_LEAST).otherwise(LEAST)).select(*cells.columns, "similarity", "is_correct", no_e.alias("expected_missing"), no_p.alias("predicted_missing"))
 
 
 def _percent(part: Column, whole: Column, default: float) -> Column:
@@ -43,9 +46,8 @@ def _percent(part: Column, whole: Column, default: float) -> Column:
 
 
 def run_scores(scored: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts and five rates of each run of scored(keys, expected, predicted, similarity, is_correct)."""
-    no_e, no_p = text.is_missing(F.col("expected")), text.is_missing(F.col("predicted"))
-    flagged = scored.withColumns({"__no_e": no_e, "__no_p": no_p})
+    """Counts and five rates of each run of field_scores()'s rows."""
+    flagged = scored.withColumnsRenamed({"expected_missing": "__no_e", "predicted_missing": "__no_p"})
     c = F.col
     counts = flagged.groupBy(*keys).agg(
         F.count("*").alias("fields_total"), F.count_if("is_correct").alias("fields_correct"), F.count_if("__no_e").alias("gt_null_fields"),
