@@ -31,6 +31,12 @@ EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 NUMBER_WORDS = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"]
 
 
+def unicode_pattern(p: str) -> str:
+    r"""A Java pattern whose \b, \d and \s mean what they mean in Python: combining marks are no part of words."""
+    w = r"[\p{L}\p{N}_]"
+    return "(?U)" + p.replace(r"\b", f"(?:(?<!{w})(?={w})|(?<={w})(?!{w}))").replace(r"\d", r"\p{Nd}").replace(r"\s", r"[\s\x1c-\x1f]")
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 
@@ -141,7 +147,7 @@ def count_matches(c: Column, terms: Iterable[str]) -> Column:
 def heading_only(c: Column) -> Column:
     """A value of up to 90 characters that names a section and nothing else, or an empty one."""
     v = normalize_text(c)
-    return (v == "") | ((F.length(v) <= 90) & contains_any(v, HEADINGS) & ~v.rlike("(?U)" + HEADING_DETAIL))
+    return (v == "") | ((F.length(v) <= 90) & contains_any(v, HEADINGS) & ~v.rlike(unicode_pattern(HEADING_DETAIL)))
 
 
 def reference_count(c: Column) -> Column:
@@ -149,8 +155,8 @@ def reference_count(c: Column) -> Column:
     v = normalize_text(c)
     word = F.lit(None).cast("string")
     for i, w in reversed(list(enumerate(NUMBER_WORDS, 1))):
-        word = F.when(v.rlike(rf"(?U)\b{w}\b"), str(i)).otherwise(word)
-    return F.coalesce(F.nullif(F.regexp_extract(v, r"(?U)\b(\d+)\b", 1), F.lit("")), word)
+        word = F.when(v.rlike(unicode_pattern(rf"\b{w}\b")), str(i)).otherwise(word)
+    return F.coalesce(F.nullif(F.regexp_extract(v, unicode_pattern(r"\b(\d+)\b"), 1), F.lit("")), word)
 
 
 def natural_number(c: Column) -> Column:
