@@ -51,3 +51,8 @@ def word_count(text: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def broadcast_if_small(ids: DataFrame, most_rows: int = 2_000_000) -> DataFrame:
+    """A stored table of a few numbers a row, to be broadcast if it has at most so many rows; else the join shuffles."""
+    return F.broadcast(ids) if ids.count() <= most_rows else ids

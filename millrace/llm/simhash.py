@@ -4,8 +4,8 @@ Two fingerprints within `radius` bits share a variant within radius/2 bits of bo
 are within `radius` bits. So every distinct fingerprint emits all its variants within half the radius and those that
 collide are linked. Variants are shuffled by their leading bits: a fingerprint is sent once to each cell (prefix) that
 holds variants of it - 1 + k + k(k-1)/2 cells for radius 4 and k leading bits, instead of 2081 rows - and the task of a
-cell lays out the variants that begin with its prefix, sorts them and links collisions. k grows with the logarithm of
-the number of distinct fingerprints, so cells stay as large as they are while the corpus grows.
+cell lays out the variants that begin with its prefix, a bounded number at a time, sorts them and links collisions. k
+grows with the logarithm of the number of distinct fingerprints, so cells stay as large as they are while the corpus grows.
 """
 
 from __future__ import annotations
@@ -22,12 +22,14 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scan import buffers, mixed
-from .shared import small_batches, stored
+from .shared import broadcast_if_small, small_batches, stored
 from .substrings import Batch
 
 BITS = 64
 #: Variants that a cell's task holds at once; a fuller cell is halved by its next bit, again and again.
 HELD = 1 << 22
+#: Fewest leading bits, so that small inputs have some cells too.
+LEAST_BITS = 4
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -121,7 +123,7 @@ def _linked(low: np.ndarray, left: np.ndarray, at: np.ndarray, bits: int) -> Ite
         yield from _linked(low[keep] & ~top, (left - flips)[keep], at[keep], bits - 1)
 
 
-def ball_links(nodes: DataFrame, radius: int = 4, cell_variants: int = 1 << 20) -> DataFrame:
+def ball_links(nodes: DataFrame, radius: int = 4, cell_variants: int = 1 << 26) -> DataFrame:
     """Links (a long, b long) that connect all nodes(id long, fp long[, t int]) whose fingerprints differ in at most `radius` (even) bits.
 
     Every link joins two such nodes; of each cell's links a spanning forest is kept, so a large group of near copies gives
@@ -130,7 +132,7 @@ def ball_links(nodes: DataFrame, radius: int = 4, cell_variants: int = 1 << 20)
     """
     half = radius // 2
     count, size = nodes.groupBy("t").count().agg(F.max("count")).first()[0] or 0 if "t" in nodes.columns else nodes.count(), len(ball(BITS, half))
-    k = max(0, min(40, math.ceil(math.log2(max(1, count * size / cell_variants)))))
+    k = max(LEAST_BITS, min(40, math.ceil(math.log2(max(1, count * size / cell_variants)))))
     masks = [m for m in ball(k, half)]
     prefix = F.shiftrightunsigned("fp", BITS - k) if k else F.lit(0).cast("long")
     kind = F.col("t") if "t" in nodes.columns else F.lit(0).alias("t")
@@ -173,7 +175,7 @@ def _word_fingerprints(docs: DataFrame, tables: int) -> DataFrame:
                     same.append(xxhash.xxh3_128_digest(own.tobytes()))
                     own = np.unique(own)
                     hashes = mixed(own[:, None] + salts)
-                    ones = np.unpackbits(hashes.view(np.uint8).reshape(len(own), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
+                    ones = np.unpackbits(hashes.view(np.uint8).reshape(len(own), 8 * tables), axis=1, bitorder="little").sum(0, dtype=np.int64)
                     fps.append(np.packbits(ones * 2 > len(own), bitorder="little").view(np.int64))
             flat = np.concatenate(fps) if fps else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, tables, dtype=np.int32), flat)], ["doc_id", "same", "fps"])
@@ -187,7 +189,7 @@ def shingles(text: str | None, width: int) -> set:
     return set(zip(*(words[i:] for i in range(width)), strict=False)) if len(words) > width else {tuple(words)}
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 6, radius: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 5, radius: int = 4) -> DataFrame:
     """(doc_id, component_id): groups of documents that links of a Jaccard similarity of word shingles from `similarity` on connect.
 
     Candidates come from `tables` SimHashes of the set of words by ball hashing, since fingerprints of shingles lie too far
@@ -197,9 +199,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, ta
     """
     marked = stored(_word_fingerprints(docs, tables), "fingerprints")
     nodes = stored(marked.groupBy("same").agg(F.min("doc_id").alias("id"), F.min_by("fps", "doc_id").alias("fps")), "nodes")
-    near = ball_links(nodes.select("id", F.posexplode("fps").alias("t", "fp")), radius, cell_variants=1 << 22)
+    near = ball_links(nodes.select("id", F.posexplode("fps").alias("t", "fp")), radius)
     pairs = stored(near.distinct(), "pairs")
-    texts = lambda end: docs.select(F.col("doc_id").alias(f"{end}_id"), F.col("text").cast("string").alias(f"{end}_text")).join(pairs.select(F.col(end).alias(f"{end}_id")).distinct(), f"{end}_id", "left_semi").dropDuplicates([f"{end}_id"])
+    ends = broadcast_if_small(stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ends"))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = lambda end: named.select(F.col("doc_id").alias(f"{end}_id"), F.col("text").alias(f"{end}_text"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
