@@ -34,6 +34,41 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+places AS (SELECT doc_id, w, unnest(range(len(w))) AS i FROM d),
+windows AS (SELECT doc_id, i, CASE WHEN i + 35 <= len(w) THEN array_to_string(w[i + 1 : i + 35], ' ') END AS t, w[i + 1] AS word FROM places),
+counted AS (SELECT *, CASE WHEN t IS NULL THEN 0 ELSE CAST(count(*) OVER (PARTITION BY t) > 1 AS INTEGER) END AS again FROM windows),
+covered AS (SELECT *, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) = 1 AS gone FROM counted),
+kept AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS t FROM covered GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+
+def _rows(rows: list[tuple]) -> str:
+    """VALUES of texts and numbers."""
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+
+
+OP10_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+           FROM documents WHERE doc_id IS NOT NULL),
+base AS (SELECT string_split(phrase, ' ') AS p, label FROM (VALUES {_rows(list(licenses.BASE.items()))}) t(phrase, label)),
+forms AS (SELECT string_split(body, ' ') AS tw, string_split(k, ' ') AS p, label, key_at FROM (VALUES {_rows([(t.text, t.key, t.label, t.key_at) for t in licenses.TEMPLATES])}) t(body, k, label, key_at)),
+places AS (SELECT doc_id, w, unnest(range(len(w))) AS i FROM d),
+b AS (SELECT doc_id, i, label FROM places JOIN base ON w[i + 1] = p[1] AND w[i + 1 : i + len(p)] = p),
+f AS (SELECT doc_id, label, len(list_filter(range(len(tw)), lambda j: i - key_at + j >= 0 AND w[i - key_at + j + 1] = tw[j + 1])) / len(tw) AS share
+      FROM places JOIN forms ON w[i + 1] = p[1] AND w[i + 1 : i + len(p)] = p),
+bs AS (SELECT doc_id, count(*) AS n, min(i) AS low, max(i) AS high, list_distinct(list(label)) AS labels FROM b GROUP BY doc_id),
+fs AS (SELECT doc_id, max(share) AS share, list_distinct(list(label)) AS labels FROM f GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, low AS first_word, high AS last_word,
+       array_to_string(list_sort(coalesce(bs.labels, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(bs.labels, []), coalesce(fs.labels, [])))), ',') AS labels,
+       CASE WHEN n > 0 THEN 1.0 ELSE coalesce(share, 0.0) END AS score
+FROM d LEFT JOIN bs ON bs.doc_id = d.doc_id LEFT JOIN fs ON fs.doc_id = d.doc_id
+"""
+
+
 #: A production job takes its key from a secret store.
 PII_KEY = "millrace example key"
 
@@ -89,4 +124,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_embeddings": OP7_SQL, "op9_topk": OP9_SQL}
+    return {"op7_embeddings": OP7_SQL, "op8_substrings": OP8_SQL, "op9_topk": OP9_SQL, "op10_licenses": OP10_SQL}
