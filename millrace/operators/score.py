@@ -33,7 +33,8 @@ def field_scores(cells: DataFrame, ratio: bool = True) -> DataFrame:
     f1 = text.token_f1(F.col("__et"), F.col("__pt"))
     ready = ready.withColumns({"__d": decided, "__f1": f1})
     if ratio:
-        open_ = F.col("__d").isNull() & (F.col("__f1") < 1)
+        most = F.try_divide(2 * F.least(F.length("__e"), F.length("__p")), F.length("__e") + F.length("__p"))  # the ratio's upper bound
+        open_ = F.col("__d").isNull() & (F.col("__f1") < most)
         ready = ready.withColumn("__r", udfs.seq_ratio(F.when(open_, F.col("__e")), F.when(open_, F.col("__p"))))
     rest = F.greatest(F.coalesce("__r", F.lit(0.0)), F.col("__f1")) if ratio else F.col("__f1")
     scored = ready.withColumn("similarity", F.coalesce("__d", rest))
