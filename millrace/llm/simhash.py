@@ -27,7 +27,7 @@ from .substrings import Batch
 
 BITS = 64
 #: Variants that a cell's task holds at once; a fuller cell is halved by its next bit, again and again.
-HELD = 1 << 22
+HELD = 1 << 21
 #: Fewest leading bits, so that small inputs have some cells too.
 LEAST_BITS = 4
 
@@ -203,6 +203,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, ta
     pairs = stored(near.distinct(), "pairs")
     ends = broadcast_if_small(stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ends"))
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = stored(named, "named")  # so that both sides of the joins below are shuffled as they are, and hubs can be split
     texts = lambda end: named.select(F.col("doc_id").alias(f"{end}_id"), F.col("text").alias(f"{end}_text"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 from .scan import Table, buffers, bytes_hash
 
 #: Words that a worker remembers; beyond it starts anew.
-REMEMBERED = 3_000_000
+REMEMBERED = 1_500_000
 _SPACES = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
 _LETTERS = np.array([chr(i).isalpha() and i < 128 for i in range(256)])
 _encoders: dict[str, Encoder] = {}
