@@ -17,11 +17,11 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .scan import buffers, mixed
+from .scan import buffers, mixed, ranges_hash
 from .shared import broadcast_if_small, small_batches, stored
 from .substrings import Batch
 
@@ -159,29 +159,35 @@ def ball_links(nodes: DataFrame, radius: int = 4, cell_variants: int = 1 << 26)
     return rows.groupBy("t", "cell").applyInArrow(solve, "a long, b long")
 
 
-def _word_fingerprints(docs: DataFrame, tables: int) -> DataFrame:
-    """(doc_id, same binary, fps array<long>): a digest of the lower-cased words, and SimHashes of the set of words."""
+def _band_keys(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
+    """(doc_id, same binary, keys array<long>): a digest of the lower-cased words, and a key of `rows` min-hashes of the shingles for each band."""
     lower = np.arange(256, dtype=np.uint8)
     lower[65:91] += 32
-    salts = np.arange(1, tables + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    seeds = mixed(np.arange(1, 2 * bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    by, plus = seeds[: bands * rows] | np.uint64(1), seeds[bands * rows :]
+
+    def least(words: np.ndarray) -> np.ndarray:
+        at = np.arange(max(1, len(words) - width + 1))
+        hashes = ranges_hash(words, at, np.minimum(at + width, len(words)), 0)
+        return np.min([(hashes[i : i + 2048, None] * by + plus).min(0) for i in range(0, len(hashes), 2048)], axis=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            same, fps = [], []
+            same, minima = [], []
             for _, data, offsets in buffers(b.column(1)):
                 batch = Batch(lower[data], offsets, 1, 1)
                 for i, j in zip(batch.first, batch.first[1:], strict=False):
                     own = batch.words[i:j]
                     same.append(xxhash.xxh3_128_digest(own.tobytes()))
-                    own = np.unique(own)
-                    hashes = mixed(own[:, None] + salts)
-                    ones = np.unpackbits(hashes.view(np.uint8).reshape(len(own), 8 * tables), axis=1, bitorder="little").sum(0, dtype=np.int64)
-                    fps.append(np.packbits(ones * 2 > len(own), bitorder="little").view(np.int64))
-            flat = np.concatenate(fps) if fps else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, tables, dtype=np.int32), flat)], ["doc_id", "same", "fps"])
+                    minima.append(least(own))
+            parts = np.array(minima, np.uint64).reshape(-1, bands, rows)
+            keys = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(parts), 1))
+            for r in range(rows):
+                keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, r])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), keys.view(np.int64).ravel())], ["doc_id", "same", "keys"])
 
     small_batches(docs.sparkSession)
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, same binary, fps array<long>")
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, same binary, keys array<long>")
 
 
 def shingles(text: str | None, width: int) -> set:
@@ -189,22 +195,9 @@ def shingles(text: str | None, width: int) -> set:
     return set(zip(*(words[i:] for i in range(width)), strict=False)) if len(words) > width else {tuple(words)}
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 5, radius: int = 4) -> DataFrame:
-    """(doc_id, component_id): groups of documents that links of a Jaccard similarity of word shingles from `similarity` on connect.
-
-    Candidates come from `tables` SimHashes of the set of words by ball hashing, since fingerprints of shingles lie too far
-    apart at such similarities; each candidate link is verified on whole texts. Texts with equal words, ASCII case and white
-    space aside, are one node. component_id is the smallest doc_id of the group. Null counts as empty, and all empty texts are
-    equal; rows without doc_id are left out; repeated rows stay; an empty table gives an empty result.
-    """
-    marked = stored(_word_fingerprints(docs, tables), "fingerprints")
-    nodes = stored(marked.groupBy("same").agg(F.min("doc_id").alias("id"), F.min_by("fps", "doc_id").alias("fps")), "nodes")
-    near = ball_links(nodes.select("id", F.posexplode("fps").alias("t", "fp")), radius)
-    pairs = stored(near.distinct(), "pairs")
-    ends = broadcast_if_small(stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ends"))
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    named = stored(named, "named")  # so that both sides of the joins below are shuffled as they are, and hubs can be split
-    texts = lambda end: named.select(F.col("doc_id").alias(f"{end}_id"), F.col("text").alias(f"{end}_text"))
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs(a long, b long) whose texts(doc_id, text) have so large a Jaccard similarity of word shingles."""
+    side = lambda end: texts.select(F.col("doc_id").alias(f"{end}_id"), F.col("text").alias(f"{end}_text"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -217,8 +210,52 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, ta
                 keep.append(common >= similarity * (len(own) + len(other) - common))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(texts("b"), F.col("b") == F.col("b_id")).join(texts("a"), F.col("a") == F.col("a_id"))
-    found = components(both.select("a", "b", "a_text", "b_text").mapInArrow(verify, "a long, b long"))
+    both = pairs.join(side("b"), F.col("b") == F.col("b_id")).join(side("a"), F.col("a") == F.col("a_id"))
+    return both.select("a", "b", "a_text", "b_text").mapInArrow(verify, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 6) -> DataFrame:
+    """(doc_id, component_id): groups of documents that links of a Jaccard similarity of word shingles from `similarity` on connect.
+
+    Candidates share a band, `rows` min-hashes of their shingles, in one of `bands` buckets: a pair of similarity s meets with
+    probability 1 - (1 - s**rows)**bands, however its texts differ. Each link is verified on whole texts, and only verified
+    links spare comparisons: a bucket's first document is compared with all others, then those after it, eight times as many
+    in each round, with the later ones they aren't connected to yet, until each two of a bucket are connected or compared. So
+    near copies cost links in proportion to their number; a large bucket of texts that aren't alike costs all its pairs.
+
+    Texts with equal words, ASCII case and white space aside, are one node. component_id is the smallest doc_id of the group.
+    Null counts as empty, and all empty texts are equal; rows without doc_id are left out; repeated rows stay; an empty table
+    gives an empty result.
+    """
+    marked = stored(_band_keys(docs, width, bands, rows), "bands")
+    nodes = stored(marked.groupBy("same").agg(F.min("doc_id").alias("id"), F.min_by("keys", "doc_id").alias("keys")), "nodes")
+    keyed = nodes.select("id", F.explode("keys").alias("key"))
+    firsts = stored(keyed.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"), "firsts")
+    members = stored(keyed.join(broadcast_if_small(firsts), "key"), "members")
+    ends = broadcast_if_small(stored(members.select(F.col("id").alias("doc_id")).distinct(), "ends"))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = stored(named, "named")  # so that both sides of the joins with it are shuffled as they are, and hubs can be split
+
+    pairs = members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    links, found, waiting, done = None, None, members.where("n > 2").select("key", "id"), 1
+    while True:
+        new = stored(_verified(stored(pairs.distinct(), "pairs"), named, width, similarity), "links")
+        links = new if links is None else links.union(new)
+        found = stored(components(links), "components")
+        grouped = waiting.join(found, F.col("id") == F.col("node"), "left").drop("node").withColumn("group", F.coalesce("component", "id")).drop("component")
+        grouped = stored(grouped, "grouped")
+        apart = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("n")).where(F.col("low") < F.col("high")).where(F.col("n") > done + 1)
+        apart = stored(apart.select("key"), "apart")
+        if apart.isEmpty():
+            break
+        left = grouped.join(broadcast_if_small(apart), "key", "left_semi")
+        if done == 1:
+            left = left.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("id")))
+        left = stored(left, "left")
+        heads = left.where(F.col("place").between(done + 1, 8 * done)).select("key", F.col("id").alias("a"), F.col("group").alias("a_group"), F.col("place").alias("a_place"))
+        pairs = heads.join(left, "key").where("a_place < place and a_group <> group").select("a", F.col("id").alias("b"))
+        waiting, done = left.select("key", "id", "place"), 8 * done
+
     groups = nodes.join(found, F.col("id") == F.col("node"), "left").select("same", F.coalesce("component", "id").alias("component_id"))
     return marked.select("doc_id", "same").join(groups, "same").select("doc_id", "component_id")
 

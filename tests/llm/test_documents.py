@@ -91,6 +91,30 @@ def test_near_duplicates(spark, texts, edges, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
+def test_near_duplicates_past_failed_links(spark):
+    rng = np.random.default_rng(5)
+    new = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    rows, pairs = {}, []
+    for k in range(12):
+        y = new(300)
+        z = [*y[:150], *new(2), *y[152:]]
+        rows |= {10 * k: " ".join(y[::-1]), 10 * k + 1: " ".join(y), 10 * k + 2: " ".join(y[:-1])}  # the first has the same words in another order
+        rows |= {10 * k + 3: " ".join([*new(24), *z[24:270], *new(30)])}
+        rows |= {1000 + 10 * k: " ".join([*y[60:], *new(300)]), 1000 + 10 * k + 1: " ".join(y[60:])}
+    common = new(240)  # many texts of similarity about 0.6 in the same buckets, and one near copy of each third
+    for k in range(60):
+        own = [*common, *new(60)]
+        rows[2000 + k] = " ".join(own)
+        if k % 3 == 0:
+            rows[3000 + k] = " ".join(own[:-2])
+            pairs.append((2000 + k, 3000 + k))
+    sets = {i: simhash.shingles(t, 5) for i, t in rows.items()}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    want = groups(rows, [(a, b) for a in rows for b in rows if a < b and alike(a, b)])
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
+    assert got == want and all(want[b] == want[a] and not alike(2000, b) for a, b in pairs[1:])
+
+
 ODD = ["", "a", "a b", "a  b", "a\n\nb", "x <|endoftext|> y", " lead", "trail ", "a\tb", "it's don't we'll.", "a b c", "a  b", "İ ß ſ", "1,000.5 x", "..., a.,", "\n\nq", "a.\nb,", "x\x1cy z", "日本語 テスト。 ok", "é. è, ×. x", " a. b", None]
 
 
