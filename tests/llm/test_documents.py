@@ -332,3 +332,34 @@ def test_licenses(spark, texts, nothing):
     frame = spark.createDataFrame(list(given.items()), "doc_id long, text string")
     assert {r[0]: tuple(r)[1:] for r in licenses.scan(frame).collect()} == {i: plain_licenses(t) for i, t in given.items()}
     assert licenses.scan(nothing).count() == 0
+
+
+def edited(kind, n, seed):
+    """n pairs of texts, the second with text added, a passage replaced or words changed here and there so that the similarity is just over 0.8."""
+    rng = np.random.default_rng(seed)
+    new = lambda k: [f"w{x}" for x in rng.integers(0, 1 << 40, k)]
+    for _ in range(n):
+        a = new(400)
+        if kind == "appended":
+            b = [*a, *new(98)]
+        elif kind == "replaced":
+            b = [*a[:180], *new(39), *a[219:]]
+        else:
+            b = list(a)
+            for i, w in zip(range(20, 380, 45), new(8), strict=True):
+                b[i] = w
+        yield " ".join(a), " ".join(b)
+
+
+def recall(spark, kind, n, seed=11):
+    rows = [(2 * i + j, t) for i, pair in enumerate(edited(kind, n, seed)) for j, t in enumerate(pair)]
+    sets = {i: simhash.shingles(t, 5) for i, t in rows}
+    same = [len(sets[2 * i] & sets[2 * i + 1]) / len(sets[2 * i] | sets[2 * i + 1]) for i in range(n)]
+    assert 0.8 <= min(same) and max(same) < 0.83
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    return sum(got[2 * i] == got[2 * i + 1] for i in range(n)) / n
+
+
+@pytest.mark.parametrize("kind", ["appended", "replaced", "scattered"])
+def test_near_duplicate_recall(spark, kind):
+    assert recall(spark, kind, 200) >= 0.99
