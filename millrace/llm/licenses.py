@@ -1,8 +1,8 @@
 """Licence scans by a positional rare-token index, in DataFrame operations only.
 
 Licence templates are indexed by their rarest words: corpus-wide document frequencies of the template words give their IDF,
-and each template has postings (word, template, position) of its words of highest IDF. A file looks up its own licence words
-of highest IDF; postings that agree on where the template would begin in the file are intersected, and a candidate counts
+and each template has postings (word, template, position) of its words of highest IDF. A file looks up all indexed words that
+it has; postings that agree on where the template would begin in the file are intersected, and a candidate counts
 if the template's mandatory key phrases stand at their places. What is broadcast is as large as the templates, not the corpus.
 """
 
@@ -21,8 +21,8 @@ from .shared import ascii_lower, stored
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Words of highest IDF that are indexed of a template and looked up of a file.
-INDEXED, LOOKED_UP = 4, 12
+#: Words of highest IDF that are indexed of a template's key phrase.
+INDEXED = 4
 
 
 @dataclass(frozen=True)
@@ -107,7 +107,7 @@ def scan(docs: DataFrame, templates: list[Template] = TEMPLATES, base: dict[str,
     index = spark.createDataFrame(postings, "word string, template int, position int")
     forms = spark.createDataFrame([(k, t.label, t.words, t.key.split(), t.key_at, min(len(by_idf(t.key.split())), INDEXED)) for k, t in enumerate(templates)], "template int, label string, words array<string>, key array<string>, key_at int, needed int")
 
-    looked = files.where("line is not null").select("doc_id", "line", F.slice(F.array_intersect(_literals(indexed), "present"), 1, LOOKED_UP).alias("look_up")).where("size(look_up) > 0")
+    looked = files.where("line is not null").select("doc_id", "line", F.array_intersect(_literals(indexed), "present").alias("look_up")).where("size(look_up) > 0")
     hits = looked.select("doc_id", "line", "look_up", F.posexplode(_words("line")).alias("place", "word")).where(F.array_contains("look_up", F.col("word")))
     hits = hits.join(F.broadcast(index), "word").join(F.broadcast(forms), "template")
     start = (F.col("place") - 1 - F.col("position")).alias("start")  # the line begins with a space: its first part is empty

@@ -334,6 +334,15 @@ def test_licenses(spark, texts, nothing):
     assert licenses.scan(nothing).count() == 0
 
 
+def test_licenses_with_many_notices(spark):
+    whole = [t.text for t in licenses.TEMPLATES]
+    given = {0: " and ".join(whole), 1: " x ".join(reversed(whole)), 2: "Permission is hereby granted, free of charge. " * 3 + ". ".join(w for w in whole if "general" not in w), **dict(enumerate(whole, 10))}
+    frame = spark.createDataFrame(list(given.items()), "doc_id long, text string")
+    got = {r[0]: tuple(r)[1:] for r in licenses.scan(frame).collect()}
+    assert got == {i: plain_licenses(t) for i, t in given.items()}
+    assert set(got[2][5].split(",")) >= {"apache-2.0", "bsd", "mit", "unlicense"}
+
+
 def edited(kind, n, seed):
     """n pairs of texts, the second with text added, a passage replaced or words changed here and there so that the similarity is just over 0.8."""
     rng = np.random.default_rng(seed)
