@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,12 +20,12 @@ RATES = ["field_accuracy_pct", "avg_field_similarity_pct", "completeness_pct", "
 _long = lambda c: F.col(c).cast("long").alias(c)
 
 
-def _runs(spark: SparkSession, sf: str) -> DataFrame:
-    return score.run_scores(score.field_scores(fixtures.cells(spark, sf), ratio=False), KEYS)
+def _runs(spark: SparkSession, sf: str, ratio: bool = True) -> DataFrame:
+    return score.run_scores(score.field_scores(fixtures.cells(spark, sf), ratio=ratio), KEYS)
 
 
-def _summary(spark: SparkSession, sf: str) -> DataFrame:
-    return score.model_summary(_runs(spark, sf))
+def _summary(spark: SparkSession, sf: str, ratio: bool = True) -> DataFrame:
+    return score.model_summary(_runs(spark, sf, ratio))
 
 
 def _levels(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,19 +44,19 @@ def _models(spark: SparkSession, sf: str) -> DataFrame:
     return fixtures.table(spark, sf, "events").select(F.col("event_type").alias("model")).distinct()
 
 
-def q_model_quality(spark: SparkSession, sf: str) -> DataFrame:
-    return _summary(spark, sf)
+def q_model_quality(spark: SparkSession, sf: str, ratio: bool = True) -> DataFrame:
+    return _summary(spark, sf, ratio)
 
 
-def q_run_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return _runs(spark, sf)
+def q_run_scores(spark: SparkSession, sf: str, ratio: bool = True) -> DataFrame:
+    return _runs(spark, sf, ratio)
 
 
-def q_model_summary_ordered(spark: SparkSession, sf: str) -> DataFrame:
+def q_model_summary_ordered(spark: SparkSession, sf: str, ratio: bool = True) -> DataFrame:
     from pyspark.sql import Window
 
     order = Window.orderBy(score.model_rank(F.col("model")), "model")
-    return _summary(spark, sf).select("model", "rfps_evaluated", "field_accuracy_pct", F.row_number().over(order).alias("place"))
+    return _summary(spark, sf, ratio).select("model", "rfps_evaluated", "field_accuracy_pct", F.row_number().over(order).alias("place"))
 
 
 def q_missing(spark: SparkSession, sf: str) -> DataFrame:
@@ -226,17 +227,17 @@ def q_job_plan(spark: SparkSession, sf: str) -> DataFrame:
     return plan.select("model", "concurrency", _long("job_id"), "doc_no")
 
 
-def q_gauges(spark: SparkSession, sf: str) -> DataFrame:
-    return dashboard.gauges(_runs(spark, sf), RATES, "rfp_no")
+def q_gauges(spark: SparkSession, sf: str, ratio: bool = True) -> DataFrame:
+    return dashboard.gauges(_runs(spark, sf, ratio), RATES, "rfp_no")
 
 
-def q_melt_quality(spark: SparkSession, sf: str) -> DataFrame:
-    return dashboard.melted(_summary(spark, sf), ["model"], RATES[:3])
+def q_melt_quality(spark: SparkSession, sf: str, ratio: bool = True) -> DataFrame:
+    return dashboard.melted(_summary(spark, sf, ratio), ["model"], RATES[:3])
 
 
-def q_detail_by_rfp(spark: SparkSession, sf: str) -> DataFrame:
+def q_detail_by_rfp(spark: SparkSession, sf: str, ratio: bool = True) -> DataFrame:
     docs = dashboard.chosen(_documents(spark, sf), "lang", ["en"]).select(F.col("doc_id").alias("rfp_no"), "source")
-    return dashboard.chosen(_runs(spark, sf), "model", ["model0", "model2"]).join(docs, "rfp_no").select("model", "source", "rfp_no", "completeness_pct")
+    return dashboard.chosen(_runs(spark, sf, ratio), "model", ["model0", "model2"]).join(docs, "rfp_no").select("model", "source", "rfp_no", "completeness_pct")
 
 
 def q_natural_order(spark: SparkSession, sf: str) -> DataFrame:
@@ -269,9 +270,15 @@ def q_windowed_throughput(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("model", "start", "jobs", F.round("mean_latency", 4).alias("mean_latency"))
 
 
+#: Queries over run scores. The sequence ratio has no SQL: their SQL checks variants with the token F1 alone.
+RATIO = [q_model_quality, q_run_scores, q_model_summary_ordered, q_gauges, q_melt_quality, q_detail_by_rfp]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("q_")}
+    found = {name: f for name, f in globals().items() if name.startswith("q_")}
+    return found | {f"{f.__name__}_token_f1": partial(f, ratio=False) for f in RATIO}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v.replace("{prompt}", str(len(extract.PROMPT))) for k, v in ORACLES.items()}
+    full = {f.__name__ for f in RATIO}
+    return {f"{k}_token_f1" if k in full else k: v.replace("{prompt}", str(len(extract.PROMPT))) for k, v in ORACLES.items()}

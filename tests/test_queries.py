@@ -36,3 +36,22 @@ def test_query(spark, duck, name):
         want = duck.sql(sql[name])
         assert sorted(found.columns) == sorted(want.columns)
         assert got == rows(want.columns, want.fetchall())
+
+
+def test_runs_count_by_the_sequence_ratio(spark):
+    from collections import Counter
+
+    from millrace.operators import score
+    from millrace.plans import fixtures
+
+    cells = fixtures.cells(spark, DATA)
+    full, f1 = ({(r.rfp_no, r.model): r for r in queries.queries()[q](spark, DATA).collect()} for q in ("q_run_scores", "q_run_scores_token_f1"))
+    marked = score.field_scores(cells).collect()
+    right, sums = Counter(), Counter()
+    for r in marked:
+        right[r.rfp_no, r.model] += r.is_correct
+        sums[r.rfp_no, r.model] += r.similarity
+    assert {k: r.fields_correct for k, r in full.items()} == {k: right[k] for k in full}
+    assert all(abs(r.avg_field_similarity_pct - 100 * sums[k] / r.fields_total) < 0.006 for k, r in full.items())
+    assert all(r.avg_field_similarity_pct >= f1[k].avg_field_similarity_pct for k, r in full.items())
+    assert any(r.avg_field_similarity_pct > f1[k].avg_field_similarity_pct for k, r in full.items())
