@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import stored
+from .shared import slices, stored
 from .simhash import forest
 from .vectors import matrix, sample, spread, usable
 
@@ -34,7 +34,7 @@ def _listed(vectors: DataFrame, pivots: np.ndarray, near: int, shared: int, dim:
     subsets = list(combinations(range(near), shared))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2048):
             if not len(b):
                 continue
             x = matrix(b.column(2), dim)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import small_batches, stored
+from .shared import slices, stored
 from .tokens import encoder
 
 #: Pieces of one length that are ranked together.
@@ -33,7 +33,7 @@ def token_pieces(docs: DataFrame, path: str, end_id: int, limit: int, with_ids:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = encoder(path)
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for doc, ids in zip(b.column(0).to_pylist(), tok.encode(b.column(1)), strict=True):
                 ids = np.r_[ids, end_id].astype("<u4")
@@ -42,7 +42,6 @@ def token_pieces(docs: DataFrame, path: str, end_id: int, limit: int, with_ids:
                     rows.append((doc, k, i, j - i, zlib.crc32(ids[i:j].tobytes()), *([ids[i:j].astype(np.int32)] * with_ids)))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*rows, strict=True) if rows else [[]] * len(fields), fields, strict=True)], names=[n for n, _ in fields])
 
-    small_batches(docs.sparkSession)
     kept = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return kept.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import slices
 
 THRESHOLD = 0.3
 
@@ -118,10 +118,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score([(t or "").encode() for t in b.column(1).to_pylist()]), pa.float64())], ["doc_id", "score"])
 
-    small_batches(docs.sparkSession)
     scored = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
@@ -130,9 +129,8 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs, all columns, whose text the model does not reject; nulls count as empty, no row is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             scores = model.score([(t or "").encode() for t in b.column("text").to_pylist()])
             yield b.filter(pa.array(scores >= THRESHOLD, pa.bool_()))
 
-    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

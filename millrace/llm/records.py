@@ -17,7 +17,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import new_path, small_batches, stored
+from .shared import new_path, slices, stored
 from .tokens import encoder
 
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n", "<u8")])
@@ -114,9 +114,7 @@ def write_records(docs: DataFrame, path: str, end_id: int, folder: str | None =
         shard, tok, index, at, out = TaskContext.get().partitionId(), encoder(path), [], 0, None
         name = f"part-{shard:06d}-{uuid.uuid4().hex}"
         store, base = fs.FileSystem.from_uri(folder)
-        for b in batches:
-            if not len(b):
-                continue
+        for b in slices(batches, 256):
             if out is None:
                 store.create_dir(base, recursive=True)
                 out = store.open_output_stream(f"{base}/{name}.rec")
@@ -136,7 +134,6 @@ def write_records(docs: DataFrame, path: str, end_id: int, folder: str | None =
                 f.write(table.tobytes())
             yield pa.RecordBatch.from_pylist([{"shard": shard, "records_path": f"{folder}/{name}.rec", "index_path": f"{folder}/{name}.idx", "n_records": len(table), "n_ids": int(table["n"].sum())}])
 
-    small_batches(spark, 256)
     kept = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sorted_docs = kept.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")

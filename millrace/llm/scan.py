@@ -1,47 +1,81 @@
-"""Vectorised reading of words in a batch of texts: places and 64-bit hashes, without a Python object for each word."""
+"""Vectorised reading of the words of texts: hashes and places, without keeping a Python object for each word."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_WHITE = re.compile(rb"[\x20\x09-\x0D]")
 _rng = np.random.default_rng(20240229)
-#: One value for each byte and lane; fixed by the seed, so that all workers agree.
-_BYTES = _rng.integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Odd bases of the polynomial hashes and their inverses modulo 2**64.
-BASES = [0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n at least."""
-    if lane not in _powers or len(_powers[lane][0]) < n:
-        size = max(1 << 20, 1 << (n - 1).bit_length())
-        _powers[lane] = tuple(np.cumprod(np.r_[np.uint64(1), np.full(size - 1, b, np.uint64)]) for b in (BASES[lane], pow(BASES[lane], -1, 1 << 64)))
-    return _powers[lane]
+#: One value for each byte; fixed by the seed, so that all workers agree.
+_BYTES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0xD6E8FEB86659FD93
+_powers: list[np.ndarray] = []
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
+    """A permutation of the 64-bit numbers that spreads every bit."""
     h = (h ^ (h >> np.uint64(32))) * _ODD
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
 
 
-def ranges_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int) -> np.ndarray:
-    """Hash of each values[start:end], values being uint64; equal ranges have equal hashes wherever they stand."""
-    up, down = powers(lane, len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
+def word_slices(data: bytes, at_once: int = 1 << 20) -> Iterator[bytes]:
+    """A text in slices of about so many bytes that end at white space."""
+    at = 0
+    while len(data) - at > at_once and (gap := _WHITE.search(data, at + at_once)):
+        yield data[at : gap.start()]
+        at = gap.start()
+    yield data[at:]
+
+
+def word_hashes(data: bytes, seed: int = 0) -> np.ndarray:
+    """XXH3 of each word of a text, words being runs without ASCII white space."""
+    parts = []
+    for piece in word_slices(data):
+        words = piece.split()
+        parts.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words, repeat(seed)), np.uint64, len(words)))
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
+def runs_hash(words: np.ndarray, width: int, lane: int = 0) -> np.ndarray:
+    """A hash of each run of `width` consecutive words (given as hashes), by a tree of mixing steps that has no algebra to it."""
+    salt = np.uint64((int(_ODD) * (2 * lane + 1)) & ((1 << 64) - 1))
+    join = lambda a, b: mixed(mixed(a + salt) ^ (b * _ODD))
+    have, power, done, out = 1, words, 0, words[:0]
+    while True:  # runs of 1, 2, 4 ... words, put together by the binary digits of width
+        if width & have:
+            out = power if not done else join(out[: max(0, len(words) - done - have + 1)], power[done:])
+            done += have
+        have *= 2
+        if have > width:
+            return out[: max(0, len(words) - width + 1)]
+        power = join(power[: max(0, len(power) - have // 2)], power[have // 2 :])
+
+
+def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the runs of `width` words; of fewer words the whole sequence is the one run, of none a run of none."""
+    n = min(len(words), width)
+    return runs_hash(words, n, n) if n else np.zeros(1, np.uint64)
+
+
+def bytes_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A quick hash of each data[start:end] of up to a few million bytes, for look-ups that compare what they find."""
+    if not _powers or len(_powers[0]) <= len(data):
+        size = max(1 << 20, 1 << len(data).bit_length())
+        _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size - 1, b, np.uint64)]) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    up, down = _powers
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTES[data] * up[: len(data)], out=sums[1:])
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _ODD)
 
 
-def bytes_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
-    return ranges_hash(_BYTES[lane][data], starts, ends, lane)
-
-
 def buffers(text: pa.Array, bytes_at_once: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of texts of about so many bytes; null counts as empty."""
     text = text.fill_null("").cast(pa.large_string())

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import slices, stored
 from .vectors import matrix, sample, spread, usable
 
 SAMPLE, PIVOTS = 4096, 64
@@ -41,7 +41,7 @@ def top_k(vectors: DataFrame, queries_where: str, k: int = 10, scale: int = 1024
     half = (points**2).sum(1) / 2
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2048):
             x = matrix(b.column(1), dim)
             cell = np.argmax(x @ points.T - half, axis=1)
             away = np.sqrt(((x - points[cell]) ** 2).sum(1))
@@ -55,7 +55,7 @@ def top_k(vectors: DataFrame, queries_where: str, k: int = 10, scale: int = 1024
     groups = min(len(points), max(4, -(-asked // QUERY_BLOCK)))
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2048):
             if not len(b):
                 continue
             q = np.frombuffer(b"".join(b.column(1).to_pylist())).reshape(len(b), dim)
