@@ -1,13 +1,15 @@
 """Licence scans by a positional rare-token index, in DataFrame operations only.
 
-Licence templates are indexed by their rarest words: corpus-wide document frequencies of the template words give their IDF,
-and each template has postings (word, template, position) of its words of highest IDF. A file looks up all indexed words that
-it has; postings that agree on where the template would begin in the file are intersected, and a candidate counts
-if the template's mandatory key phrases stand at their places. What is broadcast is as large as the templates, not the corpus.
+Licence templates are indexed by their rarest words: document frequencies over the whole corpus give the IDF of the words of
+each template's mandatory key phrase, and the index has a posting (word, template, position) for those of highest IDF. A file
+that has all words of some key phrase looks up all of its words there; postings that agree on where the phrase would begin are
+intersected, and where all of a template's postings meet, the phrase is verified in place and the template's other words are
+compared. Only places are shuffled, and the lines of files with such a place; what is broadcast is as large as the templates.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from dataclasses import dataclass
@@ -15,7 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, stored
+from .license_texts import NOTICES, TEXTS
+from .shared import ascii_lower, broadcast_if_small, stored
 
 #: What stands between words.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -27,42 +30,27 @@ INDEXED = 4
 
 @dataclass(frozen=True)
 class Template:
+    """A licence's words in lower case, the phrase that must stand in a file, and the place of the phrase among the words."""
+
     label: str
     text: str
     key: str
 
+    def __post_init__(self):
+        if not self.key.split() or self.key_at < 0:
+            raise ValueError(f"{self.label}: the key phrase is not in the text")
+
     @property
     def words(self) -> list[str]:
-        return self.text.split()
+        return re.sub(GAP, " ", self.text.lower()).split()
 
     @property
     def key_at(self) -> int:
-        return len(re.match(rf"(?:(.*) )?{re.escape(self.key)}(?: |$)", self.text)[1].split()) if not self.text.startswith(self.key) else 0
-
+        key, words = self.key.split(), self.words
+        return next((i for i in range(len(words)) if words[i : i + len(key)] == key), -1)
 
-#: Words that any text may have: alone they are no reason to keep a file's words.
-COMMON = frozenset("0 2 3 4 a and any are by copy for form forms free in into is not of or person public source subject terms the this to under use v version with without".split())
 
-#: Common licence notices in lower case, and the phrase that each must have.
-TEMPLATES = [
-    Template("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
-    Template("mit", "released under the mit license", "mit license"),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
-    Template("gpl-3.0", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
-    Template("gpl-2.0", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
-    Template("lgpl", "licensed under the gnu lesser general public license", "gnu lesser general public license"),
-    Template("agpl", "licensed under the gnu affero general public license", "gnu affero general public license"),
-    Template("cc-by-nc-4.0", "licensed under cc by nc 4 0", "cc by nc 4 0"),
-    Template("cc-by-sa-4.0", "licensed under cc by sa 4 0", "cc by sa 4 0"),
-    Template("cc-by-4.0", "licensed under cc by 4 0", "cc by 4 0"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    Template("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2 0"),
-    Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
-]
-
-
-def _words(column: str) -> Column:
-    return F.split(column, " ")
+TEMPLATES = [Template(*t) for t in [*NOTICES, *TEXTS]]
 
 
 def _literals(words: list[str]) -> Column:
@@ -74,54 +62,73 @@ def _count(haystack: Column, needle: str) -> Column:
     return F.length(haystack) - F.length(F.replace(haystack, F.lit(needle), F.lit("")))
 
 
+def _let(value: Column, make) -> Column:
+    """make(value) with value worked out once."""
+    return F.element_at(F.transform(F.array(value), make), 1)
+
+
+def _base_places(base: dict[str, str]) -> dict[str, list[Column]]:
+    """For each base phrase how often it stands in `line`, and the numbers of its first and its last place's first word."""
+    line, there = F.col("line"), lambda p, c: F.when(F.contains(F.col("line"), F.lit(f" {p} ")), c)
+    back = lambda p: F.substring(F.reverse(line), F.lit(1), F.locate(f" {p} "[::-1], F.reverse(line)) + len(p) + 1)
+    return {
+        "counts": [F.coalesce(there(p, F.regexp_count("line", F.lit(f" {p}(?= )"))), F.lit(0)) for p in base],
+        "first": [there(p, _count(F.substring("line", F.lit(1), F.locate(f" {p} ", line)), " ") - 1) for p in base],
+        "last": [there(p, _count(line, " ") - _count(back(p), " ")) for p in base],
+    }
+
+
+def _checked(spots: Column, words: Column, templates: list[Template]) -> Column:
+    """array<struct<label, share>> of the spots(template, start) where the template's key phrase stands; words[0] is no word."""
+    forms = [{"label": t.label, "words": t.words, "key": t.key.split(), "key_at": t.key_at} for t in templates]
+    given = F.from_json(F.lit(json.dumps(forms)), "array<struct<label: string, words: array<string>, key: array<string>, key_at: int>>")
+    stands = lambda form, s: F.slice(words, s["start"] + 2, F.size(form["key"])) == form["key"]
+    share = lambda form, s: F.size(F.filter(F.transform(form["words"], lambda w, j: F.get(words, s["start"] - form["key_at"] + 1 + j).eqNullSafe(w)), lambda x: x)) / F.size(form["words"])
+    one = lambda s: _let(F.get(given, s["template"]), lambda form: F.when(stands(form, s), F.struct(form["label"].alias("label"), share(form, s).alias("share"))))
+    return F.array_compact(F.transform(spots, one))
+
+
 def scan(docs: DataFrame, templates: list[Template] = TEMPLATES, base: dict[str, str] = BASE) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of docs(doc_id, text).
 
-    n_base, first_word and last_word tell of places where a base phrase's words stand consecutively; labels adds those of the
-    templates found. score is the largest share of a found template's words that stand in place, 1 for a base phrase, else 0.
-    Null and empty texts have no words, no labels ('') and score 0; rows without doc_id are left out; repeated rows stay.
+    n_base, first_word and last_word tell of places where a base phrase's words stand consecutively; labels adds those of all
+    templates whose key phrase stands in the text. score is the largest share of a found template's words that stand in place,
+    1 for a base phrase, else 0. Null and empty texts have no words, no labels ('') and score 0; rows without doc_id are left
+    out; repeated rows stay, and rows of one doc_id with other texts are files of their own; a text of any length is split
+    into words twice, however many places it has; other columns don't matter; an empty table gives an empty result.
     """
     spaced = F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_lower(F.coalesce("text", F.lit(""))), GAP, " ")), F.lit(" "))
-    vocabulary = sorted({w for t in templates for w in t.words})
     kept = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), spaced.alias("line"))
-    places = {p: F.when(F.contains("line", F.lit(f" {p} ")), F.regexp_count("line", F.lit(f" {p}(?= )"))).otherwise(0) for p in base}
-    first = [F.when(F.contains("line", F.lit(f" {p} ")), _count(F.substring("line", F.lit(1), F.locate(f" {p} ", F.col("line"))), " ") - 1) for p in base]
-    last = [F.when(F.contains("line", F.lit(f" {p} ")), _count(F.col("line"), " ") - 1 - _count(F.substring(F.reverse("line"), F.lit(1), F.locate(f" {p} "[::-1], F.reverse("line")) + len(p) + 1), " ") + 1) for p in base]
-    at = lambda columns, pick: pick(F.array(*columns)).cast("long")
-    present = F.array_intersect(_literals(vocabulary), _words("line"))
+    keys = [t.key.split() for t in templates]
+    vocabulary = sorted({w for k in keys for w in k})
+    places = _base_places(base)
     read = kept.select(
-        "doc_id", F.when(F.col("line") == "  ", 0).otherwise(_count(F.col("line"), " ") - 1).cast("long").alias("n_words"),
-        F.array(*[places[p] for p in base]).alias("counts"), at(first, F.array_min).alias("first_word"), at(last, F.array_max).alias("last_word"),
-        present.alias("present"), "line",
+        F.monotonically_increasing_id().alias("row"), "doc_id", F.when(F.col("line") == "  ", 0).otherwise(_count(F.col("line"), " ") - 1).cast("long").alias("n_words"),
+        F.array(*places["counts"]).alias("counts"), F.array_min(F.array(*places["first"])).cast("long").alias("first_word"),
+        F.array_max(F.array(*places["last"])).cast("long").alias("last_word"), F.array_intersect(_literals(vocabulary), F.split("line", " ")).alias("present"), "line",
     )
-    hinted = F.arrays_overlap("present", _literals([w for w in vocabulary if w not in COMMON]))  # every key phrase has such a word
-    files = stored(read.withColumn("line", F.when(hinted, F.col("line"))), "files")
+    whole = F.exists(F.from_json(F.lit(json.dumps(keys)), "array<array<string>>"), lambda key: F.forall(key, lambda w: F.array_contains("present", w)))
+    files = stored(read.withColumn("line", F.when(whole, F.col("line"))), "files")
 
     n = files.count()
-    seen = {r[0]: r[1] for r in files.select(F.explode("present").alias("w")).groupBy("w").count().collect()}  # a row for each template word at most
+    seen = {r[0]: r[1] for r in files.select(F.explode("present").alias("w")).groupBy("w").count().collect()}  # a row for each key word at most
     idf = {w: math.log((n + 1) / (seen.get(w, 0) + 1)) for w in vocabulary}
-    by_idf = lambda words: sorted(set(words), key=lambda w: (-idf[w], w))
-    postings = [(w, k, i) for k, t in enumerate(templates) for w in by_idf(t.key.split())[:INDEXED] for i, x in enumerate(t.words) if x == w]
-    indexed = by_idf({w for w, _, _ in postings})
-    spark = docs.sparkSession
-    index = spark.createDataFrame(postings, "word string, template int, position int")
-    forms = spark.createDataFrame([(k, t.label, t.words, t.key.split(), t.key_at, min(len(by_idf(t.key.split())), INDEXED)) for k, t in enumerate(templates)], "template int, label string, words array<string>, key array<string>, key_at int, needed int")
-
-    looked = files.where("line is not null").select("doc_id", "line", F.array_intersect(_literals(indexed), "present").alias("look_up")).where("size(look_up) > 0")
-    hits = looked.select("doc_id", "line", "look_up", F.posexplode(_words("line")).alias("place", "word")).where(F.array_contains("look_up", F.col("word")))
-    hits = hits.join(F.broadcast(index), "word").join(F.broadcast(forms), "template")
-    start = (F.col("place") - 1 - F.col("position")).alias("start")  # the line begins with a space: its first part is empty
-    around = F.transform(F.sequence(F.lit(1), F.size("words")), lambda i: F.get(F.col("parts"), (F.col("start") + i).cast("int")))
-    spans = hits.select("doc_id", "template", "label", "words", "key", "key_at", "needed", start, "position", _words("line").alias("parts"))
-    spans = spans.select("doc_id", "template", "label", "words", "key", "key_at", "needed", "start", "position", around.alias("span"))
-    met = spans.groupBy("doc_id", "template", "start").agg(F.count_distinct("position").alias("met"), *[F.first(c).alias(c) for c in ("label", "words", "key", "key_at", "needed", "span")])
-    share = F.size(F.filter(F.zip_with("words", "span", lambda a, b: a.eqNullSafe(b)), lambda x: x)) / F.size("words")
-    found = met.where("met >= needed").where(F.slice("span", F.col("key_at") + 1, F.size("key")) == F.col("key"))
-    found = found.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("label").alias("more"), F.max(share).alias("share"))
+    rarest = [sorted(set(k), key=lambda w: (-idf[w], w))[:INDEXED] for k in keys]
+    postings = [(w, k, i) for k, words in enumerate(keys) for i, w in enumerate(words) if w in rarest[k]]
+    index = docs.sparkSession.createDataFrame(postings, "word string, template int, position int")
+    needed = _literals([]).cast("array<int>") if not keys else F.array(*[F.lit(sum(w in rarest[k] for w in words)) for k, words in enumerate(keys)])
+
+    looked = files.where("line is not null").select("row", F.posexplode(F.split("line", " ")).alias("place", "word"))
+    hits = looked.join(F.broadcast(index), "word").select("row", "template", (F.col("place") - 1 - F.col("position")).alias("start"))
+    met = hits.groupBy("row", "template", "start").count().where((F.col("count") == F.get(needed, F.col("template"))) & (F.col("start") >= 0))
+    spots = stored(met.groupBy("row").agg(F.collect_list(F.struct("template", "start")).alias("spots")), "spots")
+    lines = files.select("row", "line").join(broadcast_if_small(spots.select("row")), "row", "left_semi").join(spots, "row")
+    found = lines.select("row", _let(F.split("line", " "), lambda words: _checked(F.col("spots"), words, templates)).alias("found"))
+    found = stored(found.select(F.col("row").alias("of"), F.array_distinct("found.label").alias("more"), F.array_max("found.share").alias("share")), "found")
 
     here = F.array_compact(F.array(*[F.when(F.col("counts")[i] > 0, F.lit(label)) for i, label in enumerate(base.values())]))
     total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c)
-    out = files.drop("line", "present").withColumn("base", F.array_sort(F.array_distinct(here))).join(found, F.col("doc_id") == F.col("id"), "left")
+    out = files.drop("line", "present").withColumn("base", F.array_sort(F.array_distinct(here))).join(broadcast_if_small(found, 200_000), F.col("row") == F.col("of"), "left")
     return out.select(
         "doc_id", "n_words", total.alias("n_base"), "first_word", "last_word", F.array_join("base", ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>")))), ",").alias("labels"),

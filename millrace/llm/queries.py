@@ -53,8 +53,8 @@ def _rows(rows: list[tuple]) -> str:
 OP10_SQL = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
            FROM documents WHERE doc_id IS NOT NULL),
-base AS (SELECT string_split(phrase, ' ') AS p, label FROM (VALUES {_rows(list(licenses.BASE.items()))}) t(phrase, label)),
-forms AS (SELECT string_split(body, ' ') AS tw, string_split(k, ' ') AS p, label, key_at FROM (VALUES {_rows([(t.text, t.key, t.label, t.key_at) for t in licenses.TEMPLATES])}) t(body, k, label, key_at)),
+base AS (SELECT string_split(phrase, ' ') AS p, label FROM (VALUES ('cc by', 'cc-by'), ('general public license', 'gpl'), ('all rights reserved', 'reserved')) t(phrase, label)),
+forms AS (SELECT string_split(body, ' ') AS tw, string_split(k, ' ') AS p, label, key_at FROM (VALUES {_rows([(" ".join(t.words), t.key, t.label, t.key_at) for t in licenses.TEMPLATES])}) t(body, k, label, key_at)),
 places AS (SELECT doc_id, w, unnest(range(len(w))) AS i FROM d),
 b AS (SELECT doc_id, i, label FROM places JOIN base ON w[i + 1] = p[1] AND w[i + 1 : i + len(p)] = p),
 f AS (SELECT doc_id, label, len(list_filter(range(len(tw)), lambda j: i - key_at + j >= 0 AND w[i - key_at + j + 1] = tw[j + 1])) / len(tw) AS share

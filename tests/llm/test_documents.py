@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from millrace.llm import licenses, mixing, packing, pii, quality, queries, records, simhash, substrings
+from millrace.llm import countmin, licenses, mixing, packing, pii, quality, queries, records, simhash, substrings, tokens
 from millrace.llm.tokens import Encoder
 
 DATA = "/root/testdata/sf0.001"
@@ -48,9 +48,10 @@ def test_fingerprints(texts):
         assert simhash.fingerprint(t) == plain_fingerprint(t)
 
 
-@pytest.mark.parametrize("held", [1 << 22, 5000])
-def test_ball_links_find_all(spark, held, monkeypatch):
+@pytest.mark.parametrize(("held", "crowd"), [(1 << 22, 1 << 18), (5000, 1 << 18), (5000, 20)])
+def test_ball_links_find_all(spark, held, crowd, monkeypatch):
     monkeypatch.setattr(simhash, "HELD", held)
+    monkeypatch.setattr(simhash, "CROWD", crowd)
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 62, 40)
     fps = {int(b) for b in base} | {int(b) ^ sum(1 << int(i) for i in rng.choice(64, n, replace=False)) if n else int(b) for b in base for n in (1, 3, 4, 5, 8)}
@@ -115,18 +116,38 @@ def test_near_duplicates_past_failed_links(spark):
     assert got == want and all(want[b] == want[a] and not alike(2000, b) for a, b in pairs[1:])
 
 
+def twins():
+    """Two words of 1024 letters of which polynomial hashes modulo 2**64 are equal."""
+    a = "a"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
 ODD = ["", "a", "a b", "a  b", "a\n\nb", "x <|endoftext|> y", " lead", "trail ", "a\tb", "it's don't we'll.", "a b c", "a  b", "İ ß ſ", "1,000.5 x", "..., a.,", "\n\nq", "a.\nb,", "x\x1cy z", "日本語 テスト。 ok", "é. è, ×. x", " a. b", None]
 
 
+@pytest.mark.parametrize("at_once", [1 << 20, 100])
 @pytest.mark.parametrize("path", [BYTE, WORD])
-def test_encoder(path, texts):
-    given = [*ODD, *list(texts.values())[:50]]
+def test_encoder(path, at_once, texts, monkeypatch):
+    monkeypatch.setattr(tokens, "AT_ONCE", at_once)
+    given = [*ODD, *(f"x {t} y" for t in twins()), *list(texts.values())[:50], "a " * 300 + " " + "b\n" * 200]
     own = Encoder(path)
     for _ in range(2):
         for t, ids in zip(given, own.encode(pa.array(given)), strict=True):
             assert ids.tolist() == own.whole.encode(t or "", add_special_tokens=False).ids, t
 
 
+def test_encoder_of_another_pre_tokenizer(tmp_path):
+    import json
+
+    kind = json.loads(open(BYTE).read())
+    kind["pre_tokenizer"]["use_regex"] = False
+    (tmp_path / "other.json").write_text(json.dumps(kind))
+    own, given = Encoder(str(tmp_path / "other.json")), ["two words here", "  x\n", None]
+    assert [x.tolist() for x in own.encode(pa.array(given))] == [own.whole.encode(t or "", add_special_tokens=False).ids for t in given]
+
+
 def check_packing(rows, texts, limit, end):
     tok = Tokenizer.from_file(BYTE)
     tok.encode_special_tokens = True
@@ -228,6 +249,30 @@ def test_substrings(spark, texts, edges, nothing, monkeypatch):
     assert substrings.drop_repeats(nothing).count() == 0
 
 
+def test_substrings_of_odd_rows(spark, monkeypatch):
+    a, b = twins()
+    words = [f"w{i}" for i in range(400)]
+    rows = [
+        (1, "one two three four"), (1, "a much longer text that says one two three four five"), (2, None), (2, "two three"), (3, f"x {a} y z"), (4, f"x {b} y z"),
+        (5, " ".join(words)), (6, " ".join([*words[50:90], "new", *words[300:]])), (6, "x y z"),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS digest", "1 AS h1", "2 AS place", "3 AS n")
+    for at_once, held, most_bits in ((1 << 18, 1 << 22, 30), (30, 100, 20)):
+        monkeypatch.setattr(substrings, "AT_ONCE", at_once)
+        monkeypatch.setattr(countmin, "HELD", held)
+        for width in (3, 4):
+            got = sorted((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in substrings.drop_repeats(frame, width, most_bits).collect())
+            assert got == sorted(plain_repeats(rows, width))
+
+
+def test_sketch_never_falls_short():
+    rng = np.random.default_rng(2)
+    cells = np.unique(rng.integers(0, 1 << 20, 5000)) + (7 << 20)
+    twice = rng.random(len(cells)) < 0.3
+    back, again = countmin._decoded(countmin._coded(cells, twice))
+    assert (back + (7 << 20) == cells).all() and (again == twice).all()
+
+
 def test_quality(spark, docs, edges, nothing):
     rows = queries.op4_quality(spark, "/root/testdata/sf0.1").collect()
     label = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
@@ -340,7 +385,25 @@ def test_licenses_with_many_notices(spark):
     frame = spark.createDataFrame(list(given.items()), "doc_id long, text string")
     got = {r[0]: tuple(r)[1:] for r in licenses.scan(frame).collect()}
     assert got == {i: plain_licenses(t) for i, t in given.items()}
-    assert set(got[2][5].split(",")) >= {"apache-2.0", "bsd", "mit", "unlicense"}
+    assert set(got[2][5].split(",")) >= {"apache-2.0", "bsd", "mit", "unlicense"} and got[0][5].count(",") > 12
+
+
+def test_licenses_of_odd_rows(spark, edges):
+    frame = spark.createDataFrame([(1, "released under the MIT license"), (1, "nothing here"), (2, "mit license"), (2, "mit license"), (None, "mit license"), (3, "MIT LICENSE \u212acc by")], "doc_id long, text string").selectExpr("*", "'x' AS row", "1 AS line", "2 AS template", "3 AS start", "4 AS found")
+    assert sorted((r.doc_id, r.n_words, r.labels, r.score) for r in licenses.scan(frame).collect()) == [(1, 2, "", 0.0), (1, 5, "mit", 1.0), (2, 2, "mit", 0.4), (2, 2, "mit", 0.4), (3, 4, "mit", 0.4)]
+    assert sorted(tuple(r) for r in licenses.scan(edges).collect()) == sorted((r.doc_id, *plain_licenses(r.text)) for r in edges.where("doc_id IS NOT NULL").collect())
+
+
+def test_licenses_of_long_text_and_own_templates(spark):
+    long = "mit license filler words here " * 40_000
+    got = licenses.scan(spark.createDataFrame([(1, long), (2, "x")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert (got[0].n_words, got[0].labels, got[1].labels) == (200_000, "mit", "")
+    own = [licenses.Template("free", "this is free to use by any person", "free to use"), licenses.Template("copy", "a copy of the source", "copy of the source")]
+    rows = spark.createDataFrame([(1, "Free to use."), (2, "use free to"), (3, "a copy of the source"), (4, "copy copy of the source")], "doc_id long, text string")
+    assert [(r.labels, r.score) for r in licenses.scan(rows, own, {}).orderBy("doc_id").collect()] == [("free", 3 / 8), ("", 0.0), ("copy", 1.0), ("copy", 0.8)]
+    assert {r.labels for r in licenses.scan(rows, [], {"of the": "x"}).collect()} == {"", "x"}
+    with pytest.raises(ValueError, match="not in the text"):
+        licenses.Template("x", "a b", "b a")
 
 
 def edited(kind, n, seed):
