@@ -27,6 +27,7 @@ HEADINGS = [
     "mandatory technical requirements",
 ]
 HEADING_DETAIL = r"\b\d+(?:\.\d+)?\s*%|\$\s*\d|\bminimum\b|\brequired\b|\bmust\b"
+#: The pattern of e-mail addresses, and numbers as words.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 NUMBER_WORDS = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"]
 
@@ -162,3 +163,20 @@ def reference_count(c: Column) -> Column:
 def natural_number(c: Column) -> Column:
     """All digits of a name as one number, 999999 without any: a key for natural order."""
     return F.coalesce(F.nullif(F.regexp_replace(c, "[^0-9]", ""), F.lit("")).try_cast("bigint"), F.lit(999999).cast("bigint"))
+
+
+def python_round(x: Column, digits: int = 0) -> Column:
+    """x to so many digits as Python's round() gives it: by the binary value itself, halves to even. For up to six digits and |x| up to 10**9.
+
+    With n = floor(x * 10**digits), the sign of 2 * x * 10**digits - (2 * n + 1) decides; the product is worked out exactly, in two parts.
+    """
+    scale = 10**digits
+
+    def rounded(v: Column) -> Column:
+        n = F.floor(v * float(scale)).cast("double")
+        high = v * 4097.0 - (v * 4097.0 - v)  # the upper 41 bits of v
+        apart = (high * (2.0 * scale) - (2 * n + 1)) + (v - high) * (2.0 * scale)
+        up = F.when(apart > 0, 1.0).when(apart < 0, 0.0).otherwise(F.pmod(n, F.lit(2.0)))
+        return (n + up) / float(scale)
+
+    return F.element_at(F.transform(F.array(x.cast("double")), lambda v: F.when(v.isNotNull(), rounded(v))), 1)

@@ -6,6 +6,7 @@ import difflib
 import json
 import re
 import unicodedata
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from . import text
+from .spans import spans
 
 ENTRY = StructType([StructField("pos", IntegerType()), StructField("key", StringType()), StructField("value", StringType())])
 ANSWER = StructType([StructField("raw_ok", BooleanType()), StructField("ok", BooleanType()), StructField("entries", ArrayType(ENTRY))])
@@ -26,10 +28,30 @@ def nfkd(values: pd.Series) -> pd.Series:
     return values.map(lambda s: unicodedata.normalize("NFKD", s), na_action="ignore")
 
 
+def _ratio(a: str, b: str, least: float) -> float:
+    """Matching-blocks ratio of two strings in this order; 0 where its upper bound, from the letters alone, is no more than `least`."""
+    matcher = difflib.SequenceMatcher(None, a, b)
+    return 0.0 if matcher.quick_ratio() <= least else matcher.ratio()
+
+
 @F.pandas_udf(DoubleType())
 def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-blocks ratio of two strings in this order; null for a null."""
-    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    return ratios(a, b, [-1.0] * len(a))
+
+
+@F.pandas_udf(DoubleType())
+def seq_ratio_above(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """seq_ratio where it may exceed `least`, else it or 0: enough for the larger of the two."""
+    return ratios(a, b, least)
+
+
+def ratios(a: pd.Series, b: pd.Series, least: Iterable[float]) -> pd.Series:
+    known: dict = {}  # pairs repeat within a batch
+    for pair in zip(a, b, least, strict=True):
+        if pair not in known:
+            known[pair] = None if pair[0] is None or pair[1] is None else _ratio(*pair)
+    return pd.Series([known[pair] for pair in zip(a, b, least, strict=True)], dtype="float64")
 
 
 def _object(raw: str) -> dict | None:
@@ -82,7 +104,20 @@ def normalized_clean(cleaned: Column) -> Column:
     return text.comparable(F.coalesce(nfkd(other), cleaned))
 
 
+@F.pandas_udf(BooleanType())
+def raw_json_valid(raw: pd.Series) -> pd.Series:
+    """The whole stripped text is one JSON object."""
+    return pd.Series([r is not None and _object(r.strip()) is not None for r in raw], dtype="bool")
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def chunk_text(text: pd.Series) -> pd.Series:
+    """The chunks of a document in order, blank ones left out."""
+    wholes = [(t or "").strip() for t in text]
+    return pd.Series([[part for start, end in spans(w) if (part := w[start:end].strip())] for w in wholes], dtype="object")
+
+
 def register(spark: SparkSession) -> None:
     """Names for SQL."""
-    for name, f in (("nfkd_norm", nfkd), ("seq_ratio", seq_ratio), ("lenient_json", parse_answer)):
+    for name, f in (("nfkd_norm", nfkd), ("seq_ratio", seq_ratio), ("lenient_json", parse_answer), ("raw_json_valid", raw_json_valid), ("chunk_text", chunk_text)):
         spark.udf.register(name, f)

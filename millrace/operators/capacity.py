@@ -2,30 +2,67 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 KEYS = ["model", "concurrency"]
+#: Ranges of values, whose counts are summed up to find a rank.
+RANGES = 1024
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left with right's other columns, nulls among the keys being equal."""
+    named = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    return left.join(named, reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]), how).drop(*[f"__{k}" for k in keys])
+
+
+def interpolated(values: DataFrame, keys: list[str], column: str, p: float) -> DataFrame:
+    """(keys, value): the exact percentile of each key's values, linear between ranks, nulls left out.
+
+    Equal values are counted first and the counts' running sums find the two ranks, so a key's values are never in one
+    aggregation buffer: ranges of values are summed up before, and ranks are sought within the one or two ranges they lie in.
+    """
+    counted = values.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("__v")).agg(F.count("*").alias("__n"))
+    bounds = counted.groupBy(*keys).agg(F.sum("__n").alias("__total"), F.min("__v").alias("__low"), F.max("__v").alias("__high"))
+    width = F.try_divide(F.col("__high") - F.col("__low"), F.lit(float(RANGES)))
+    range_of = F.coalesce(F.least(F.lit(RANGES - 1), F.try_divide(F.col("__v") - F.col("__low"), width).try_cast("int")), F.lit(0))
+    placed = _joined(counted, bounds, keys).withColumn("__range", range_of)
+    sums = placed.groupBy(*keys, "__range").agg(F.sum("__n").alias("__in"))
+    sums = sums.withColumn("__before", F.sum("__in").over(Window.partitionBy(*keys).orderBy("__range")) - F.col("__in"))
+    at = (F.col("__total") - 1) * p
+    needed = _joined(placed, sums, [*keys, "__range"]).where((F.col("__before") <= F.ceil(at)) & (F.col("__before") + F.col("__in") > F.floor(at)))
+    inner = Window.partitionBy(*keys, "__range").orderBy("__v")
+    ranked = needed.withColumn("__first", F.col("__before") + F.sum("__n").over(inner) - F.col("__n"))
+    holds = lambda rank: (F.col("__first") <= rank) & (F.col("__first") + F.col("__n") > rank)
+    ends = ranked.groupBy(*keys).agg(F.max(F.when(holds(F.floor(at)), F.col("__v"))).alias("__a"), F.max(F.when(holds(F.ceil(at)), F.col("__v"))).alias("__b"), F.max(at - F.floor(at)).alias("__part"))
+    return ends.select(*keys, (F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__part")).alias("value"))
 
 
 def level_summary(jobs: DataFrame) -> DataFrame:
-    """One row a level of jobs(model, concurrency, success, latency_s, ts): latencies of successful jobs, wall time of all."""
+    """One row a level of jobs(model, concurrency, success, latency_s, ts): latencies of successful jobs, wall time of all, throughput by the wall time before it is rounded."""
     ok = F.col("success")
-    wall = F.round((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1e6, 4)
+    wall = (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1e6
     sums = jobs.groupBy(*KEYS).agg(
         F.count("*").alias("requests_total"), F.count_if(ok).alias("requests_successful"), F.count_if(~ok).alias("requests_failed"),
-        F.round(F.coalesce(F.avg(F.when(ok, F.col("latency_s"))), F.lit(0.0)), 4).alias("avg_latency_s"),
-        F.round(F.coalesce(F.percentile(F.when(ok, F.col("latency_s")), F.lit(0.95)), F.lit(0.0)), 4).alias("p95_latency_s"), wall.alias("total_test_time_s"),
+        text.python_round(F.coalesce(F.avg(F.when(ok, F.col("latency_s"))), F.lit(0.0)), 4).alias("avg_latency_s"), wall.alias("wall"),
     )
-    rate = F.round(F.coalesce(F.try_divide(100.0 * F.col("requests_successful"), F.col("requests_total")), F.lit(0.0)), 2)
-    through = F.round(F.coalesce(F.try_divide(60.0 * F.col("requests_successful"), F.col("total_test_time_s")), F.lit(0.0)), 2)
-    return sums.withColumns({"success_rate_pct": rate, "throughput_requests_per_min": through})
+    p95 = interpolated(jobs.where(ok), KEYS, "latency_s", 0.95)
+    sums = _joined(sums, p95, KEYS, "left").withColumn("p95_latency_s", text.python_round(F.coalesce("value", F.lit(0.0)), 4)).drop("value")
+    rate = text.python_round(F.coalesce(F.try_divide(F.col("requests_successful"), F.col("requests_total")) * 100.0, F.lit(0.0)), 2)
+    through = text.python_round(F.coalesce(F.try_divide(F.col("requests_successful"), F.col("wall")) * 60.0, F.lit(0.0)), 2)
+    columns = ["requests_total", "requests_successful", "requests_failed", "avg_latency_s", "p95_latency_s", "total_test_time_s", "success_rate_pct", "throughput_requests_per_min"]
+    return sums.withColumns({"success_rate_pct": rate, "throughput_requests_per_min": through, "total_test_time_s": text.python_round(F.col("wall"), 4)}).select(*KEYS, *columns)
 
 
 def overview(levels: DataFrame) -> DataFrame:
     """One row over all levels: success as a ratio of sums, largest throughput, latency and concurrency."""
     return levels.agg(
-        F.round(F.coalesce(F.try_divide(100.0 * F.sum("requests_successful"), F.sum("requests_total")), F.lit(0.0)), 2).alias("overall_success_pct"),
+        text.python_round(F.coalesce(F.try_divide(F.sum("requests_successful"), F.sum("requests_total")) * 100.0, F.lit(0.0)), 2).alias("overall_success_pct"),
         F.sum("requests_total").alias("requests"), F.max("throughput_requests_per_min").alias("max_throughput"),
         F.min("avg_latency_s").alias("min_avg_latency"), F.max("p95_latency_s").alias("max_p95"), F.max("concurrency").alias("max_concurrency"),
     )

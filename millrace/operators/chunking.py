@@ -8,44 +8,31 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spans import spans
 from ..functions.text import strip
 
-SIZE, OVERLAP, LOOK_BACK, LEAST = 8000, 150, 1200, 1000
 
+def chunks(docs: DataFrame, id_column: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, chunk_no from 1, start, end, chunk_text, keep) of every document; blank chunks are left out, places are in the stripped text.
 
-def spans(text: str, size: int = SIZE, overlap: int = OVERLAP, look_back: int = LOOK_BACK, least: int = LEAST) -> Iterator[tuple[int, int]]:
-    """(start, end) of the chunks of a stripped text: cut at the last blank line, else line feed, near the end of each."""
-    n, start = len(text), 0
-    while start < n:
-        end = min(start + size, n)
-        if end < n:
-            low = max(end - look_back, start)
-            cut = max(text.rfind("\n\n", low, end), -1)
-            cut = cut if cut >= 0 else text.rfind("\n", low, end)
-            if cut > start + least:
-                end = cut
-        yield start, end
-        if end >= n:
-            return
-        start = max(end - overlap, start + 1)
-
-
-def chunks(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, chunk_no from 1, start, end, chunk_text) of every document; blank chunks are left out, places are in the stripped text."""
-    kind = docs.schema[id_column].dataType
+    `keep` names columns that each chunk keeps.
+    """
+    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (id_column, *keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for key, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            found: list[tuple] = []
+            for row, value in enumerate(b.column(0).to_pylist()):
                 whole, number = (value or "").strip(), 0
                 for start, end in spans(whole):
                     if part := whole[start:end].strip():
                         number += 1
-                        rows.append({id_column: key, "chunk_no": number, "start": start, "end": end, "chunk_text": part})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(id_column, b.schema.field(0).type), ("chunk_no", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("chunk_text", pa.string())]))
+                        found.append((row, number, start, end, part))
+            rows, *columns = zip(*found, strict=True) if found else [[]] * 5
+            new = [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows, pa.int32())) for c in b.columns[1:]), *new], [id_column, *keep, "chunk_no", "start", "end", "chunk_text"])
 
-    return docs.select(id_column, text).mapInArrow(run, f"`{id_column}` {kind.simpleString()}, chunk_no int, start int, end int, chunk_text string")
+    return docs.select(text, id_column, *keep).mapInArrow(run, f"{kept}, chunk_no int, start int, end int, chunk_text string")
 
 
 def halves(chunk: Column, least: int = 2000, radius: int = 800, overlap: int = 100) -> Column:

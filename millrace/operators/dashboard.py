@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import natural_number
+from ..functions.text import natural_number, python_round
 
 #: Display names of metrics.
 METRIC_NAMES = {
@@ -57,7 +57,8 @@ def gauges(rows: DataFrame, metrics: list[str], order: str) -> DataFrame:
 
 
 def percent_text(c: Column) -> Column:
-    return F.format_string("%.2f", c)
+    """Two digits, rounded as Python does."""
+    return F.format_string("%.2f", python_round(c, 2))
 
 
 def thousands(c: Column) -> Column:

@@ -13,13 +13,39 @@ from ..functions import text, udfs
 from . import chunking, rules
 
 DEFAULT, MOST_CANDIDATES = "Not Specified", 4
+_INSTRUCTIONS = """Read the chunk of a request-for-proposals document at the end and answer with ONE JSON object, nothing before or after it: no Markdown, no comments.
+
+What may be in it:
+- Only facts that this chunk states. Nothing guessed, concluded or calculated.
+- Only the field names of the list, spelt as they are there.
+- Only fields that the chunk supports. Leave all others out: no null, no "Not Specified" or the like; a field without support is a mistake.
+- Short values that keep dates, times, numbers, percentages, amounts of money, e-mail and web addresses, thresholds and counts exactly as written, and don't say a thing twice.
+
+What the fields mean:
+- Start Date and End Date: of the whole contract or project. Dates of phases, milestones, deadlines, vendor selection or expected completion are neither.
+- Budget: a budget of the project or contract that is stated as one.
+- RFP Contact: the official contact for the request or for questions about it.
+- Submission Method / Portal: how the proposal itself is handed in.
+- Contract Term / Duration: how long the whole contract lasts, and how it may be renewed.
+- Number of References Required: the exact or least number, where one is stated.
+- Evaluation Criteria & Weighting: the criteria with their points or weights; a section's heading alone is not enough.
+- Mandatory Submission Requirements: what a proposal has to contain or its sender has to do; a heading alone is not enough.
+- Mandatory Technical Requirements: what systems and technology have to fulfil; prices, vendors' experience and the form of submission don't belong here.
+- Summary: one short sentence or two on what the request is for.
+
+Field names:
+"""
 #: What a model is asked; the chunk follows.
-PROMPT = "Extract the facts of the document chunk below as ONE JSON object.\nUse only these field names and leave out what the chunk does not state:\n" + "".join(f"- {n}\n" for n in rules.NAMES) + "\nDOCUMENT CHUNK:\n"
+PROMPT = _INSTRUCTIONS + "".join(f"- {n}\n" for n in rules.NAMES) + "\nDOCUMENT CHUNK:\n"
 USAGE = "raw string, finish_reason string, prompt_tokens long, completion_tokens long, total_tokens long, time_s double"
 
 
 class Backend(Protocol):
-    """Answers prompts. connect() runs once in each task, answer() for every prompt."""
+    """Answers prompts. connect() runs once in each task, answer() for every prompt.
+
+    An answer has raw, finish_reason, time_s and the usage as numbers of tokens, under the names of USAGE or in a dict `usage`.
+    What a call may take (output tokens, time, no temperature, no thinking) is the backend's to ask for.
+    """
 
     def connect(self) -> object: ...
 
@@ -48,8 +74,19 @@ def prompt(chunk: Column) -> Column:
     return F.concat(F.lit(PROMPT), chunk)
 
 
-def ask(parts: DataFrame, backend: Backend) -> DataFrame:
-    """parts(..., model, chunk_text) with the backend's answer and what is read from it. A failed call has a null answer."""
+def usage(answer: dict) -> dict:
+    """prompt_tokens, completion_tokens and total_tokens of an answer in either naming; what is absent is 0, an absent total the sum."""
+    given = answer.get("usage") or answer
+    prompt_tokens, completion_tokens = (next((int(given[n]) for n in names if given.get(n) is not None), 0) for names in (("prompt_tokens", "input_tokens"), ("completion_tokens", "output_tokens")))
+    total = given.get("total_tokens")
+    return {"prompt_tokens": prompt_tokens, "completion_tokens": completion_tokens, "total_tokens": prompt_tokens + completion_tokens if total is None else int(total)}
+
+
+def ask(parts: DataFrame, backend: Backend, most_calls: int | None = None) -> DataFrame:
+    """parts(..., model, chunk_text) with the backend's answer and what is read from it. A failed call has a null answer.
+
+    most_calls: so many tasks, each of which makes one call at a time, so a backend has no more calls than that at once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = backend.connect()
@@ -59,8 +96,8 @@ def ask(parts: DataFrame, backend: Backend) -> DataFrame:
                 try:
                     answer = backend.answer(client, row["model"], PROMPT + row["chunk_text"])
                 except Exception as e:  # a failed call is a row, not a failed job
-                    answer = {"finish_reason": f"error: {e}", "prompt_tokens": 0, "completion_tokens": 0, "total_tokens": 0}
-                rows.append({**row, **{c.split()[0]: answer.get(c.split()[0]) for c in USAGE.split(", ")}})
+                    answer = {"finish_reason": f"error: {e}"}
+                rows.append({**row, **{c: answer.get(c) for c in ("raw", "finish_reason", "time_s")}, **usage(answer)})
             yield pa.RecordBatch.from_pylist(rows, schema=_arrow(b.schema))
 
     def _arrow(schema: pa.Schema) -> pa.Schema:
@@ -70,7 +107,8 @@ def ask(parts: DataFrame, backend: Backend) -> DataFrame:
         return schema
 
     columns = ", ".join(f"`{n}` {t}" for n, t in parts.dtypes)
-    return read_answers(parts.mapInArrow(run, f"{columns}, {USAGE}"))
+    dealt = parts if most_calls is None else parts.repartition(most_calls)
+    return read_answers(dealt.mapInArrow(run, f"{columns}, {USAGE}"))
 
 
 def replay(parts: DataFrame, answers: DataFrame) -> DataFrame:
@@ -93,7 +131,7 @@ def with_recovery(chunks: DataFrame, ask_parts, store, retry_short: bool = False
     """attempts of chunks(rfp, model, chunk_no, chunk_text): originals (part_no 0) and the halves of failed ones (1, 2).
 
     ask_parts maps parts to attempts; store cuts the plan after the first pass (a written table or checkpoint), so that
-    no call is made twice.
+    no call is made twice: millrace.shared.stored.
     """
     first = store(ask_parts(chunks.withColumn("part_no", F.lit(0))))
     again = failed(first, retry_short).select(*chunks.columns, F.posexplode(chunking.halves(F.col("chunk_text"))).alias("part_no", "half"))
@@ -107,11 +145,14 @@ def label(chunk_no: Column, part_no: Column) -> Column:
 
 def candidates_of(attempts: DataFrame, keys: list[str], most: int = MOST_CANDIDATES) -> DataFrame:
     """(keys, field, idx, source, value, excerpt) of attempts(keys, chunk_no, part_no, chunk_text, entries) that were read."""
-    kept = attempts.where("cleaned_ok").select(*keys, "chunk_no", "part_no", "chunk_text", F.explode("entries").alias("e"))
+    place = [*keys, "chunk_no", "part_no"]
+    kept = attempts.where("cleaned_ok").select(*place, F.explode("entries").alias("e"))
     named = kept.join(F.broadcast(rules.field_dimension(attempts.sparkSession)), F.col("e.key") == F.col("field"), "left_semi")
-    long = named.select(*keys, F.col("e.key").alias("field"), "chunk_no", "part_no", F.col("e.pos").alias("pos"), label(F.col("chunk_no"), F.col("part_no")).alias("source"), text.clean_value(F.col("e.value")).alias("value"), F.col("chunk_text").alias("text"))
-    first = first_candidates(long, [*keys, "field"], ["chunk_no", "part_no", "pos"], most)
-    return first.select(*keys, "field", "idx", "source", "value", text.source_excerpt(F.col("text"), F.col("field"), F.col("value")).alias("excerpt"))
+    values = named.select(*place, F.col("e.key").alias("field"), F.col("e.pos").alias("pos"), text.clean_value(F.col("e.value")).alias("value"))
+    first = first_candidates(values, [*keys, "field"], ["chunk_no", "part_no", "pos"], most)
+    told = first.join(attempts.where("cleaned_ok").select(*place, "chunk_text"), place)  # the few that stay meet their text
+    excerpt = text.source_excerpt(F.col("chunk_text"), F.col("field"), F.col("value"))
+    return told.select(*keys, "field", "idx", label(F.col("chunk_no"), F.col("part_no")).alias("source"), "value", excerpt.alias("excerpt"))
 
 
 def first_candidates(values: DataFrame, keys: list[str], order: list[str], most: int = MOST_CANDIDATES) -> DataFrame:
@@ -151,7 +192,7 @@ def run_metrics(attempts: DataFrame, chunks: DataFrame, keys: list[str]) -> Data
     sums = by_chunk.groupBy(*keys).agg(F.count_if(F.col("original") | F.col("parts")).alias("chunks_successful"), *[F.sum(c).alias(c) for c in ("raw_ok", "cleaned_ok", "prompt_tokens", "completion_tokens", "total_tokens")])
     total = chunks.groupBy(*keys).agg(F.count("*").alias("chunks_total"))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    rate = lambda c: F.round(F.coalesce(F.try_divide(100.0 * zero(F.col(c)), F.col("chunks_total")), F.lit(0.0)), 2)
+    rate = lambda c: text.python_round(F.coalesce(F.try_divide(zero(F.col(c)), F.col("chunks_total")) * 100.0, F.lit(0.0)), 2)
     return total.join(sums, keys, "left").select(
         *keys, (zero(F.col("chunks_successful")) > 0).alias("success"), "chunks_total", zero(F.col("chunks_successful")).alias("chunks_successful"),
         rate("raw_ok").alias("raw_json_valid_rate"), rate("cleaned_ok").alias("json_valid_after_cleanup_rate"),
@@ -159,11 +200,11 @@ def run_metrics(attempts: DataFrame, chunks: DataFrame, keys: list[str]) -> Data
     )
 
 
-def extract_documents(docs: DataFrame, models: list[str], backend: Backend, store, rule_set: str = "v5") -> tuple[DataFrame, DataFrame]:
+def extract_documents(docs: DataFrame, models: list[str], backend: Backend, store, rule_set: str = "v5", most_calls: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(final values, run metrics) of docs(rfp, text): chunk, ask, recover, collect, select."""
     keys = ["rfp", "model"]
     parts = run_matrix(chunking.chunks(docs, "rfp"), models).select("rfp", "model", "chunk_no", "chunk_text")
-    attempts = store(with_recovery(parts, lambda p: ask(p, backend), store))
+    attempts = store(with_recovery(parts, lambda p: ask(p, backend, most_calls), store))
     best = best_candidates(candidates_of(attempts, keys), keys, rule_set)
     return final_values(best, run_matrix(docs.select("rfp"), models), keys), run_metrics(attempts, parts, keys)
 
@@ -175,6 +216,23 @@ def answers_as_json(final: DataFrame, keys: list[str]) -> DataFrame:
     return final.groupBy(*keys).agg(F.to_json(F.map_from_entries(pairs)).alias("json"))
 
 
+def results(final: DataFrame, metrics: DataFrame) -> DataFrame:
+    """(rfp, model, success, ..., output map): what a results file has of each run; output in the order of fields."""
+    pairs = F.transform(F.array_sort(F.collect_list(F.struct("field_id", "field", "value"))), lambda x: F.struct(x["field"].alias("key"), x["value"].alias("value")))
+    return metrics.join(final.groupBy("rfp", "model").agg(F.map_from_entries(pairs).alias("output")), ["rfp", "model"])
+
+
+def field_table(output: DataFrame, keys: list[str], answer: str = "output") -> DataFrame:
+    """(keys, field_id, field, value): a map of answers as rows in the order of fields; names that are no fields are left out."""
+    rows = output.select(*keys, F.explode(answer).alias("field", "value"))
+    return rows.join(F.broadcast(rules.field_dimension(output.sparkSession)), "field").select(*keys, "field_id", "field", "value")
+
+
+def enabled_models(registry: DataFrame) -> DataFrame:
+    """Rows of registry(model, enabled) that are switched on; null is off."""
+    return registry.where(F.coalesce("enabled", F.lit(False)))
+
+
 def chat_prompts(messages: DataFrame, generate: bool = True) -> DataFrame:
     """(conv_id, prompt) of messages(conv_id, turn, role, text): every message in its markers, then the assistant's header."""
     one = lambda m: F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"), m["text"], F.lit("<|im_end|>\n"))
@@ -186,14 +244,3 @@ def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     if missing := sorted(set(columns) - set(df.columns)):
         raise ValueError(f"missing columns: {', '.join(missing)}")
     return df
-
-
-def checkpointed(spark: SparkSession):
-    """A store for with_recovery(): checkpoints in the session's shared folder."""
-    def store(df: DataFrame) -> DataFrame:
-        return df.checkpoint()
-
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return store

@@ -35,7 +35,7 @@ def field_scores(cells: DataFrame, ratio: bool = True) -> DataFrame:
     if ratio:
         most = F.try_divide(2 * F.least(F.length("__e"), F.length("__p")), F.length("__e") + F.length("__p"))  # the ratio's upper bound
         open_ = F.col("__d").isNull() & (F.col("__f1") < most)
-        ready = ready.withColumn("__r", udfs.seq_ratio(F.when(open_, F.col("__e")), F.when(open_, F.col("__p"))))
+        ready = ready.withColumn("__r", udfs.seq_ratio_above(F.when(open_, F.col("__e")), F.when(open_, F.col("__p")), F.col("__f1")))
     rest = F.greatest(F.coalesce("__r", F.lit(0.0)), F.col("__f1")) if ratio else F.col("__f1")
     scored = ready.withColumn("similarity", F.coalesce("__d", rest))
     long = F.col("field").isin([n for n, is_long in rules.FIELDS if is_long])
@@ -43,7 +43,7 @@ def field_scores(cells: DataFrame, ratio: bool = True) -> DataFrame:
 
 
 def _percent(part: Column, whole: Column, default: float) -> Column:
-    return F.round(F.coalesce(F.try_divide(100.0 * part, whole), F.lit(default)), 2)
+    return text.python_round(F.coalesce(F.try_divide(part, whole) * 100.0, F.lit(default)), 2)
 
 
 def run_scores(scored: DataFrame, keys: list[str]) -> DataFrame:
@@ -57,7 +57,7 @@ def run_scores(scored: DataFrame, keys: list[str]) -> DataFrame:
         F.count_if(~c("__no_e") & ~c("__no_p") & ~c("is_correct")).alias("wrong_value_fields"), F.avg("similarity").alias("mean"),
     )
     return counts.select(
-        *keys, _percent(c("fields_correct"), c("fields_total"), 0.0).alias("field_accuracy_pct"), F.round(100 * c("mean"), 2).alias("avg_field_similarity_pct"),
+        *keys, _percent(c("fields_correct"), c("fields_total"), 0.0).alias("field_accuracy_pct"), text.python_round(c("mean") * 100.0, 2).alias("avg_field_similarity_pct"),
         _percent(c("expected_found_fields"), c("expected_nonmissing_fields"), 100.0).alias("completeness_pct"),
         _percent(c("hallucinated_null_fields"), c("gt_null_fields"), 0.0).alias("hallucination_rate_pct"),
         _percent(c("wrong_value_fields"), c("expected_nonmissing_fields"), 0.0).alias("wrong_value_rate_pct"),
@@ -65,16 +65,59 @@ def run_scores(scored: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+#: What a run's row takes over from the run itself, under the row's names; absent values are 0.
+TAKEN_OVER = {
+    "latency_seconds": "time_seconds", "prompt_tokens": "prompt_tokens", "completion_tokens": "completion_tokens", "total_tokens": "total_tokens",
+    "chunks_total": "chunks_total", "chunks_successful": "chunks_successful", "raw_json_valid_pct": "raw_json_valid_rate", "json_after_cleanup_pct": "json_valid_after_cleanup_rate",
+}
+RUN_COLUMNS = [
+    "field_accuracy_pct", "avg_field_similarity_pct", "completeness_pct", "hallucination_rate_pct", "wrong_value_rate_pct", "fields_correct", "fields_total",
+    "expected_nonmissing_fields", "expected_found_fields", "gt_null_fields", "hallucinated_null_fields", "wrong_value_fields", "omitted_expected_fields", *TAKEN_OVER,
+]
+
+
+def run_rows(scores: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
+    """run_scores()'s rows with what each run of `runs` measured of itself, in the order of the run table's columns; a run without measures has zeros."""
+    kinds = dict(runs.dtypes)
+    taken = [(F.coalesce(F.col(f"__{new}"), F.lit(0)) if old in kinds else F.lit(0)).cast(kinds.get(old, "double")).alias(new) for new, old in TAKEN_OVER.items()]
+    found = runs.select(*keys, *[F.col(old).alias(f"__{new}") for new, old in TAKEN_OVER.items() if old in kinds])
+    return scores.join(found, keys, "left").select(*keys, *[c for c in RUN_COLUMNS if c not in TAKEN_OVER], *taken)
+
+
+def require_scorable(truth: DataFrame, runs: DataFrame, chosen: list[str]) -> None:
+    """An error if a chosen document has no truth, has no run, or if documents' truths have different fields."""
+    names = truth.sparkSession.createDataFrame([(n,) for n in chosen], "rfp string")
+    require_known(names, truth, "rfp")
+    if absent := sorted(r[0] for r in names.join(runs, "rfp", "left_anti").collect()):
+        raise ValueError(f"without a run: {', '.join(absent)}")
+    if truth.groupBy("rfp").agg(F.sort_array(F.collect_set("field")).alias("fields")).select("fields").distinct().limit(2).count() > 1:
+        raise ValueError("documents have different fields")
+
+
+def score_documents(truth: DataFrame, runs: DataFrame, chosen: list[str]) -> DataFrame:
+    """Run rows of the chosen documents: truth(rfp, field, expected), runs(rfp, model, output map, ...), every model of a document."""
+    require_scorable(truth, runs, chosen)
+    some = runs.where(F.col("rfp").isin(chosen))
+    runs_of = truth.join(some.select("rfp", "model", "output"), "rfp")
+    cells = runs_of.select("rfp", "model", "field", "expected", F.element_at("output", F.col("field")).alias("predicted"))
+    return run_rows(run_scores(field_scores(cells), ["rfp", "model"]), some, ["rfp", "model"]).orderBy("rfp", "model")
+
+
 def expected_cells(truth: DataFrame, predictions: DataFrame) -> DataFrame:
     """(rfp, model, field, expected, predicted): every expected field of every run; other predicted fields are left out."""
     runs = predictions.select("rfp", "model").distinct()
     return truth.join(runs, "rfp").join(predictions, ["rfp", "model", "field"], "left").select("rfp", "model", "field", "expected", F.col("value").alias("predicted"))
 
 
+def unknown(names: DataFrame, known: DataFrame, column: str) -> DataFrame:
+    """The distinct values of a column that `known` hasn't."""
+    return names.select(column).distinct().join(known.select(column).distinct(), column, "left_anti")
+
+
 def require_known(names: DataFrame, known: DataFrame, column: str) -> None:
     """An error that names up to ten unknown values."""
-    if unknown := names.select(column).distinct().join(known, column, "left_anti").limit(10).collect():
-        raise ValueError(f"unknown {column}: {', '.join(str(r[0]) for r in unknown)}")
+    if some := unknown(names, known, column).limit(10).collect():
+        raise ValueError(f"unknown {column}: {', '.join(str(r[0]) for r in some)}")
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
@@ -89,13 +132,14 @@ def upsert(existing: DataFrame, new: DataFrame, keys: list[str], order: str | No
 
 
 def model_summary(runs: DataFrame) -> DataFrame:
-    """Unweighted means over documents of each model, rounded; blank names are left out."""
+    """Unweighted means over documents of each model, rounded as Python does; blank names are left out, names are stripped."""
     means = ["field_accuracy_pct", "avg_field_similarity_pct", "completeness_pct", "hallucination_rate_pct", "wrong_value_rate_pct", "latency_seconds", "total_tokens", "raw_json_valid_pct", "json_after_cleanup_pct"]
     there = [m for m in means if m in runs.columns]
     names = {"latency_seconds": "avg_latency_seconds", "total_tokens": "avg_total_tokens"}
     mean = lambda m: F.coalesce(F.avg(m), F.lit(0.0))
-    value = lambda m: F.bround(mean(m)).cast("long") if m == "total_tokens" else F.round(mean(m), 2)
-    return runs.where(F.trim("model") != "").groupBy("model").agg(F.count("*").alias("rfps_evaluated"), *[value(m).alias(names.get(m, m)) for m in there])
+    value = lambda m: text.python_round(mean(m)).cast("long") if m == "total_tokens" else text.python_round(mean(m), 2)
+    named = runs.withColumn("model", text.strip(F.col("model"))).where("model <> ''")
+    return named.groupBy("model").agg(F.count("*").alias("rfps_evaluated"), *[value(m).alias(names.get(m, m)) for m in there])
 
 
 def model_rank(model: Column, order: list[str] = MODEL_ORDER) -> Column:

@@ -22,14 +22,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; those of a few files that Spark can't split are dealt out to all cores, as text work is costly."""
+    docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores // 2 else docs.repartition(2 * cores, "doc_id")
+
+
 def _pick(names: list[str], index):
     return F.element_at(F.array(*[F.lit(n) for n in names]), (index + 1).cast("int"))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("parts"))
-    placed = parts.select("doc_id", "parts", F.posexplode("parts").alias("line_no", "line"))
-    return placed.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line", F.get("parts", F.col("line_no") + 1).alias("next_line"))
+    parts = documents(spark, sf_dir).select("doc_id", F.split("text", "\n").alias("parts"))
+    pairs = F.arrays_zip(F.col("parts").alias("line"), F.slice("parts", 2, F.greatest(F.lit(1), F.size("parts"))).alias("next_line"))
+    placed = parts.select("doc_id", F.posexplode(pairs).alias("line_no", "p"))
+    return placed.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "p.line", "p.next_line")
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,14 +61,39 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_type").alias("model"), (1 + F.col("user_id") % 15).alias("concurrency"), F.col("event_id").alias("job_id"), (F.col("event_id") % 10 != 0).alias("success"), F.col("value").alias("latency_s"), "ts")
 
 
-def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(rfp_no, model, event_id, raw): answers plain, fenced, after thinking, cut off, in a list, in prose."""
-    k, p = F.col("event_id") % 6, F.col("props")
+def responses(spark: SparkSession, sf_dir: str, kind=None) -> DataFrame:
+    """(rfp_no, model, event_id, props, raw): answers plain, fenced, after thinking, cut off, in a list, in prose, by kind modulo 6."""
+    k, p = (F.col("event_id") if kind is None else kind) % 6, F.col("props")
     raw = (
         F.when(k == 0, p).when(k == 1, F.concat(F.lit("```json\n"), p, F.lit("\n```"))).when(k == 2, F.concat(F.lit("<think>x {\n}</think>"), p))
         .when(k == 3, F.substring(p, F.lit(1), F.length(p) - 1)).when(k == 4, F.concat(F.lit("["), p, F.lit("]"))).otherwise(F.concat(F.lit("Answer: "), p, F.lit(" done")))
     )
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("rfp_no"), F.col("event_type").alias("model"), "event_id", raw.alias("raw"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("rfp_no"), F.col("event_type").alias("model"), "event_id", "props", raw.alias("raw"))
+
+
+def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rfp, field, expected): 24 fields of every document, from its words in turn; some null, some that say nothing."""
+    words = documents(spark, sf_dir).select("doc_id", F.split(F.substring("text", 1, 2000), " ").alias("w"))
+    at = F.col("doc_id") + F.col("i")
+    value = F.when(at % 7 == 0, None).when(at % 11 == 0, "n/a").otherwise(F.concat_ws(" ", F.slice("w", (F.col("i") + 1).cast("int"), 3)))
+    each = words.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.lit(len(NAMES) - 1))).alias("i"))
+    return each.select(F.concat(F.lit("rfp"), "doc_id", F.lit(".txt")).alias("rfp"), _pick(NAMES, F.col("i")).alias("field"), value.alias("expected"))
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rfp, model, success, ..., output map): two models' answers to every document, each without some fields, and what was measured."""
+    words = documents(spark, sf_dir).select("doc_id", F.split(F.substring("text", 1, 2000), " ").alias("w"))
+    each = words.select("doc_id", "w", F.explode(F.array(F.lit(0), F.lit(1))).alias("m"))
+    numbered = F.arrays_zip(F.array(*[F.lit(n) for n in NAMES]).alias("name"), F.sequence(F.lit(0), F.lit(len(NAMES) - 1)).alias("i"))
+    there = F.filter(numbered, lambda x: (F.col("doc_id") + x["i"] + F.col("m")) % 5 != 0)
+    output = F.map_from_entries(F.transform(there, lambda x: F.struct(x["name"].alias("key"), F.concat_ws(" ", F.slice("w", (x["i"] + 1 + F.col("m") * (x["i"] % 2)).cast("int"), 3)).alias("value"))))
+    d, n = F.col("doc_id"), F.col("m")
+    return each.select(
+        F.concat(F.lit("rfp"), "doc_id", F.lit(".txt")).alias("rfp"), F.concat(F.lit("model"), n.cast("string")).alias("model"), (d % 3 != 0).alias("success"),
+        (d % 12).cast("int").alias("chunks_total"), (d % 5).cast("int").alias("chunks_successful"), F.when(d % 4 != 0, d / 8.0).alias("time_seconds"),
+        F.when(d % 9 != 0, (d % 100) / 4.0).alias("raw_json_valid_rate"), ((d + n) % 100 / 2.0).alias("json_valid_after_cleanup_rate"),
+        (d * 3).alias("prompt_tokens"), (d + n).alias("completion_tokens"), (d * 4 + n).alias("total_tokens"), output.alias("output"),
+    )
 
 
 def _quoted(s: str) -> str:
@@ -81,6 +113,15 @@ SQL = {
     "candidates": f"""candidates AS (SELECT doc_id AS rfp_no, line_no, {_listed(NAMES)}[doc_id % 24 + 1] AS field,
   {_listed(PHRASES)}[(line_no * line_no + doc_id) % {len(PHRASES)} + 1] AS value, line AS excerpt FROM lines)""",
     "jobs": "jobs AS (SELECT event_type AS model, 1 + user_id % 15 AS concurrency, event_id AS job_id, event_id % 10 <> 0 AS success, value AS latency_s, ts FROM events)",
+    "truth": f"""truth AS (SELECT 'rfp' || doc_id || '.txt' AS rfp, {_listed(NAMES)}[i + 1] AS field,
+  CASE WHEN (doc_id + i) % 7 = 0 THEN NULL WHEN (doc_id + i) % 11 = 0 THEN 'n/a' ELSE array_to_string(w[i + 1 : i + 3], ' ') END AS expected
+  FROM (SELECT doc_id, string_split(substring(text, 1, 2000), ' ') AS w, unnest(range({len(NAMES)})) AS i FROM documents))""",
+    "runs": f"""answers AS (SELECT doc_id, m, 'rfp' || doc_id || '.txt' AS rfp, 'model' || m AS model, i, {_listed(NAMES)}[i + 1] AS field, (doc_id + i + m) % 5 <> 0 AS given,
+  array_to_string(w[i + 1 + m * (i % 2) : i + 3 + m * (i % 2)], ' ') AS value
+  FROM (SELECT doc_id, w, m, unnest(range({len(NAMES)})) AS i FROM (SELECT doc_id, string_split(substring(text, 1, 2000), ' ') AS w, unnest([0, 1]) AS m FROM documents))),
+runs AS (SELECT DISTINCT rfp, model, doc_id % 3 <> 0 AS success, doc_id % 12 AS chunks_total, doc_id % 5 AS chunks_successful, CASE WHEN doc_id % 4 <> 0 THEN doc_id / 8.0 END AS time_seconds,
+  CASE WHEN doc_id % 9 <> 0 THEN (doc_id % 100) / 4.0 END AS raw_json_valid_rate, (doc_id + m) % 100 / 2.0 AS json_valid_after_cleanup_rate,
+  doc_id * 3 AS prompt_tokens, doc_id + m AS completion_tokens, doc_id * 4 + m AS total_tokens FROM answers)""",
     "responses": """responses AS (SELECT user_id AS rfp_no, event_type AS model, event_id, CASE event_id % 6 WHEN 0 THEN props
   WHEN 1 THEN '```json' || chr(10) || props || chr(10) || '```' WHEN 2 THEN '<think>x {' || chr(10) || '}</think>' || props
   WHEN 3 THEN substring(props, 1, length(props) - 1) WHEN 4 THEN '[' || props || ']' ELSE 'Answer: ' || props || ' done' END AS raw FROM events)""",

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text, udfs
 from ..operators import capacity, chunking, dashboard, extract, rules, score
-from ..sources import sinks
+from ..shared import new_path, stored
+from ..sources import files, sinks
 from ..streaming import jobs as job_stream
 from . import fixtures
 from .sql import ORACLES
@@ -37,7 +38,7 @@ def _top(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    return fixtures.table(spark, sf, "documents")
+    return fixtures.documents(spark, sf)
 
 
 def _models(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,9 +107,8 @@ def q_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_chunk_stats(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _documents(spark, sf)
-    sums = chunking.chunks(docs).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("chunk_text")).alias("chars"))
-    return sums.join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("chunks").alias("chunks"), F.sum("chars").alias("chars"))
+    found = chunking.chunks(_documents(spark, sf), keep=("source",))
+    return found.groupBy("source").agg(F.count("*").alias("chunks"), F.sum(F.length("chunk_text")).alias("chars"))
 
 
 def q_split_failed(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,7 +119,7 @@ def q_split_failed(spark: SparkSession, sf: str) -> DataFrame:
 def q_recovery(spark: SparkSession, sf: str) -> DataFrame:
     read = lambda parts: parts.withColumn("cleaned_ok", (F.col("doc_id") + F.col("chunk_no")) % 3 != 0)
     parts = chunking.chunks(_documents(spark, sf)).select("doc_id", _long("chunk_no"), "chunk_text")
-    tried = extract.with_recovery(parts, read, lambda df: df)
+    tried = extract.with_recovery(parts, read, stored)
     return tried.select("doc_id", "chunk_no", _long("part_no"), F.length("chunk_text").cast("long").alias("n_chars"))
 
 
@@ -144,9 +144,12 @@ def q_json_entries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_run_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    e = fixtures.responses(spark, sf).join(fixtures.table(spark, sf, "events").select("event_id", "props"), "event_id")
-    used = e.select(F.col("rfp_no").alias("rfp"), "model", F.col("event_id").alias("chunk_no"), F.lit(0).alias("part_no"), "raw", F.length("props").cast("long").alias("prompt_tokens"), (F.col("event_id") % 100).alias("completion_tokens"), (F.length("props") + F.col("event_id") % 100).alias("total_tokens"))
-    return extract.run_metrics(extract.read_answers(used), used.select("rfp", "model", "chunk_no"), ["rfp", "model"])
+    """Every third event is a chunk's first answer, the two after it are those to its halves."""
+    n = F.col("event_id")
+    e = fixtures.responses(spark, sf, n + F.floor(n / 4))
+    run = F.floor(n / 30)
+    used = e.select(run.alias("rfp"), F.concat(F.lit("m"), (run % 3).cast("string")).alias("model"), F.floor(n / 3).alias("chunk_no"), (n % 3).cast("int").alias("part_no"), "raw", F.length("props").cast("long").alias("prompt_tokens"), (n % 100).alias("completion_tokens"), (F.length("props") + n % 100).alias("total_tokens"))
+    return extract.run_metrics(extract.read_answers(used), used.where("part_no = 0").select("rfp", "model", "chunk_no"), ["rfp", "model"])
 
 
 def q_candidates_top4(spark: SparkSession, sf: str) -> DataFrame:
@@ -175,7 +178,7 @@ def q_select_final(spark: SparkSession, sf: str) -> DataFrame:
 def q_extract_stub(spark: SparkSession, sf: str) -> DataFrame:
     """The whole extraction with the offline backend: every document, one model."""
     docs = _documents(spark, sf).select(F.col("doc_id").alias("rfp"), "text")
-    final, _ = extract.extract_documents(docs, ["stub"], extract.StubBackend(), lambda df: df)
+    final, _ = extract.extract_documents(docs, ["stub"], extract.StubBackend(), stored)
     return extract.answers_as_json(final, ["rfp", "model"])
 
 
@@ -258,7 +261,7 @@ def q_chat_prompts(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_prompts(spark: SparkSession, sf: str) -> DataFrame:
     found = chunking.chunks(_documents(spark, sf))
-    return found.select("doc_id", _long("chunk_no"), F.length(extract.prompt(F.col("chunk_text"))).cast("long").alias("n_chars"))
+    return found.select("doc_id", _long("chunk_no"), F.md5(extract.prompt(F.col("chunk_text"))).alias("digest"))
 
 
 def q_json_payload(spark: SparkSession, sf: str) -> DataFrame:
@@ -270,8 +273,162 @@ def q_windowed_throughput(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("model", "start", "jobs", F.round("mean_latency", 4).alias("mean_latency"))
 
 
+def q_text_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as a file of its own, and all files read back."""
+    folder = new_path(spark, "texts")
+    sinks.save_texts(_documents(spark, sf).select(F.concat(F.lit("rfp"), "doc_id", F.lit(".txt")).alias("rfp"), "text"), folder)
+    return files.text_files(spark, folder).select("rfp", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+def q_results_file(spark: SparkSession, sf: str) -> DataFrame:
+    """All runs as one results file, then those of model1 again with other figures, and the file read back: one row a field."""
+    path = new_path(spark, "results") + ".json"
+    runs = fixtures.runs(spark, sf)
+    sinks.save_results(runs, path)
+    again = runs.where("model = 'model1'").withColumn("total_tokens", F.col("total_tokens") + 1)
+    sinks.save_results(score.upsert(files.benchmark_runs(spark, path), again, ["rfp", "model"]), path)
+    read = files.benchmark_runs(spark, path)
+    return extract.field_table(read, ["rfp", "model", "success", "total_tokens", "time_seconds"]).withColumn("field_id", F.col("field_id").cast("long"))
+
+
+def q_runs_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The runs as a table whose runs of model1 are replaced."""
+    folder = new_path(spark, "runs")
+    runs = fixtures.runs(spark, sf).drop("output")
+    sinks.save_runs(runs, folder)
+    sinks.save_runs(runs.where("model = 'model1'").withColumn("prompt_tokens", F.lit(0).cast("long")), folder)
+    return spark.read.parquet(folder).select("rfp", "model", "prompt_tokens", "completion_tokens", "success")
+
+
+def q_truth_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The expected values as a JSON file, read back."""
+    path = new_path(spark, "truth") + ".json"
+    sinks.save_truth(fixtures.truth(spark, sf), path)
+    return files.ground_truth(spark, path)
+
+
+def _run_rows(spark: SparkSession, sf: str, ratio: bool = True) -> DataFrame:
+    runs = fixtures.runs(spark, sf)
+    predictions = runs.select("rfp", "model", F.explode("output").alias("field", "value"))
+    cells = score.expected_cells(fixtures.truth(spark, sf), predictions)
+    return score.run_rows(score.run_scores(score.field_scores(cells, ratio=ratio), ["rfp", "model"]), runs, ["rfp", "model"])
+
+
+def q_run_rows(spark: SparkSession, sf: str, ratio: bool = True) -> DataFrame:
+    """The run table with all its columns, from expected values and runs."""
+    return _run_rows(spark, sf, ratio)
+
+
+def q_model_means(spark: SparkSession, sf: str, ratio: bool = True) -> DataFrame:
+    """All nine means of each model."""
+    return score.model_summary(_run_rows(spark, sf, ratio))
+
+
+def q_expected_cells(spark: SparkSession, sf: str) -> DataFrame:
+    predictions = fixtures.runs(spark, sf).select("rfp", "model", F.explode("output").alias("field", "value"))
+    return score.expected_cells(fixtures.truth(spark, sf), predictions)
+
+
+def q_scores_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """The run table as a CSV file, read back with its schema; the file must be there and have rows."""
+    path = new_path(spark, "scores")
+    rows = _run_rows(spark, sf, ratio=False)
+    sinks.save_csv(rows, path, rows.columns)
+    return files.csv_rows(spark, path, files.RUN_SCORES, must_exist=True).select("rfp", "model", *RATES, "fields_correct", "latency_seconds", "total_tokens")
+
+
+def q_capacity_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Levels appended to a CSV file model by model, read where the JSON payload is broken, next to those of the whole payload."""
+    csv, whole, broken = (new_path(spark, n) for n in ("levels", "payload", "broken"))
+    levels = stored(_levels(spark, sf))
+    columns = [c.split()[0] for c in files.CAPACITY.split(", ")]
+    for r in levels.select("model").distinct().orderBy("model").collect():  # the registry of models is small
+        sinks.save_csv(levels.where(F.col("model") == r[0]), csv, columns, "append")
+    payload = sinks.capacity_payload(levels, F.struct(F.lit("log").alias("test_type")))
+    payload.write.text(whole)
+    payload.select(F.substring("json", F.lit(1), F.length("json") - 10)).write.text(broken)
+    rows = [files.capacity_rows(spark, json, csv).select(F.lit(kind).alias("kind"), *columns) for kind, json in (("json", whole), ("csv", broken))]
+    return rows[0].union(rows[1])
+
+
+def q_report_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """The three tables of the report pages, written and read as CSV: rows and models of each."""
+    rows = _run_rows(spark, sf, ratio=False)
+    made = {"scores": (rows, files.RUN_SCORES), "summary": (score.model_summary(rows), files.MODEL_SUMMARY), "capacity": (_levels(spark, sf), files.CAPACITY)}
+    paths = {name: (new_path(spark, name), schema) for name, (_, schema) in made.items()}
+    for name, (df, schema) in made.items():
+        sinks.save_csv(df, paths[name][0], [c.split()[0] for c in schema.split(", ")])
+    read = [df.groupBy(F.lit(name).alias("name")).agg(F.count("*").alias("n"), F.count_distinct("model").alias("models")) for name, df in files.report_tables(spark, paths).items()]
+    return read[0].union(read[1]).union(read[2])
+
+
+def q_number_texts(spark: SparkSession, sf: str) -> DataFrame:
+    e = fixtures.table(spark, sf, "events")
+    return e.select("event_id", dashboard.percent_text(F.col("event_id") / 8).alias("percent"), dashboard.thousands(F.col("event_id") * 12345).alias("thousands"))
+
+
+def q_nested_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Objects and arrays within an answer become compact JSON texts, numbers and truth values what Python shows."""
+    raw = F.concat(F.lit('{"Budget": {"a" : [1, '), F.col("props"), F.lit(']}, "Summary": true, "Issue Date": [ ], "Other": '), F.col("event_id").cast("string"), F.lit(".50, \"Start Date\": null}"))
+    found = extract.read_answers(fixtures.table(spark, sf, "events").select("event_id", raw.alias("raw"))).select("event_id", F.explode("entries").alias("e"))
+    return found.select("event_id", F.col("e.pos").cast("long").alias("pos"), "e.key", "e.value")
+
+
+def q_field_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers as rows in the order of fields; another name among them is left out."""
+    odd = fixtures.runs(spark, sf).withColumn("output", F.map_concat("output", F.create_map(F.lit("Other"), F.lit("x"))))
+    return extract.field_table(odd, ["rfp", "model"]).withColumn("field_id", F.col("field_id").cast("long"))
+
+
+def q_enabled_models(spark: SparkSession, sf: str) -> DataFrame:
+    registry = _documents(spark, sf).select(F.concat("source", F.lit("-"), "lang").alias("model"), F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") % 2 == 0).alias("enabled"))
+    return extract.enabled_models(registry).groupBy("model").agg(F.count("*").alias("n"))
+
+
+def q_unknown_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled documents whose conversation is unknown."""
+    known = fixtures.table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"))
+    return score.unknown(fixtures.table(spark, sf, "labels"), known, "doc_id")
+
+
+def q_sorted_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Levels in the order of model and concurrency, with their places."""
+    from pyspark.sql import Window
+
+    return _levels(spark, sf).select("model", "concurrency", F.row_number().over(Window.orderBy("model", "concurrency")).cast("long").alias("place"))
+
+
+def q_final_json(spark: SparkSession, sf: str) -> DataFrame:
+    """One JSON object of all fields for each document."""
+    best = extract.best_candidates(_top(spark, sf), ["rfp_no"])
+    final = extract.final_values(best, _documents(spark, sf).select(F.col("doc_id").alias("rfp_no")), ["rfp_no"])
+    return extract.answers_as_json(final, ["rfp_no"])
+
+
+def q_gauge_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return sinks.gauge_lines(dashboard.gauges(_run_rows(spark, sf, ratio=False), ["field_accuracy_pct", "latency_seconds", "total_tokens"], "rfp"))
+
+
+def q_report_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """What the console shows of each model."""
+    labels = {"field_accuracy_pct": "accuracy", "completeness_pct": "completeness", "hallucination_rate_pct": "hallucination"}
+    return sinks.report_lines(score.model_summary(_run_rows(spark, sf, ratio=False)), "model", labels, ["model"]).select(_long("place"), "line")
+
+
+def q_collected_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates of answers to chunks and their halves, with where they come from and the source around them."""
+    parts = chunking.chunks(_documents(spark, sf)).select("doc_id", _long("chunk_no"), "chunk_text")
+    read = lambda parts: parts.withColumn("cleaned_ok", (F.col("doc_id") + F.col("chunk_no")) % 3 != 0)
+    tried = extract.with_recovery(parts, read, stored).withColumn("cleaned_ok", F.col("cleaned_ok") | (F.col("part_no") > 0))
+    words = F.split(F.col("chunk_text"), " ")
+    entry = lambda pos, key, value: F.struct(F.lit(pos).alias("pos"), F.lit(key).alias("key"), value.alias("value"))
+    entries = F.array(entry(0, "Summary", F.element_at(words, -1)), entry(1, "Other", F.lit("x")), entry(2, "Summary", F.element_at(words, 1)), entry(3, "Budget", F.lit(" N/A ")))
+    found = extract.candidates_of(tried.withColumn("entries", entries), ["doc_id"])
+    return found.select("doc_id", "field", _long("idx"), "source", "value", F.md5("excerpt").alias("digest"))
+
+
 #: Queries over run scores. The sequence ratio has no SQL: their SQL checks variants with the token F1 alone.
-RATIO = [q_model_quality, q_run_scores, q_model_summary_ordered, q_gauges, q_melt_quality, q_detail_by_rfp]
+RATIO = [q_model_quality, q_run_scores, q_model_summary_ordered, q_gauges, q_melt_quality, q_detail_by_rfp, q_run_rows, q_model_means]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -281,4 +438,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     full = {f.__name__ for f in RATIO}
-    return {f"{k}_token_f1" if k in full else k: v.replace("{prompt}", str(len(extract.PROMPT))) for k, v in ORACLES.items()}
+    return {f"{k}_token_f1" if k in full else k: v for k, v in ORACLES.items()}

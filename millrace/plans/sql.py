@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import text
-from ..operators import rules
+from ..operators import extract, rules
 from .fixtures import SQL
 
 
@@ -50,8 +50,13 @@ def with_(*names: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(SQL.get(n, n) for n in names) + "\n"
 
 
+def rounded(x: str, digits: int) -> str:
+    """By the binary value, halves to even."""
+    return f"CAST(printf('%.{digits}f', CAST({x} AS DOUBLE)) AS DOUBLE)"
+
+
 def pct(part: str, whole: str, default: str) -> str:
-    return f"round(coalesce(100.0 * {part} / nullif({whole}, 0), {default}), 2)"
+    return rounded(f"coalesce({part} / nullif({whole}, 0) * 100, {default})", 2)
 
 
 _F1 = """CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 WHEN len(a) = 0 OR len(b) = 0 OR len(list_intersect(a, b)) = 0 THEN 0.0
@@ -72,13 +77,13 @@ runs AS (SELECT rfp_no, model, count(*) AS fields_total, count(*) FILTER (is_cor
   count(*) FILTER (no_e AND NOT no_p) AS hallucinated_null_fields, count(*) FILTER (NOT no_e) AS expected_nonmissing_fields,
   count(*) FILTER (NOT no_e AND NOT no_p) AS expected_found_fields, count(*) FILTER (NOT no_e AND no_p) AS omitted_expected_fields,
   count(*) FILTER (NOT no_e AND NOT no_p AND NOT is_correct) AS wrong_value_fields, avg(similarity) AS mean FROM scored GROUP BY rfp_no, model),
-rated AS (SELECT rfp_no, model, {pct('fields_correct', 'fields_total', '0.0')} AS field_accuracy_pct, round(100 * mean, 2) AS avg_field_similarity_pct,
+rated AS (SELECT rfp_no, model, {pct('fields_correct', 'fields_total', '0.0')} AS field_accuracy_pct, {rounded('mean * 100', 2)} AS avg_field_similarity_pct,
   {pct('expected_found_fields', 'expected_nonmissing_fields', '100.0')} AS completeness_pct, {pct('hallucinated_null_fields', 'gt_null_fields', '0.0')} AS hallucination_rate_pct,
   {pct('wrong_value_fields', 'expected_nonmissing_fields', '0.0')} AS wrong_value_rate_pct, fields_total, fields_correct, gt_null_fields, hallucinated_null_fields,
   expected_nonmissing_fields, expected_found_fields, omitted_expected_fields, wrong_value_fields FROM runs)"""
 ALL_RUNS = ("lines", "cells", NORMALS, TOKENS, F1, SIMILAR, RUNS)
 _MEANS = ["field_accuracy_pct", "avg_field_similarity_pct", "completeness_pct", "hallucination_rate_pct", "wrong_value_rate_pct"]
-SUMMARY = "summary AS (SELECT model, count(*) AS rfps_evaluated, " + ", ".join(f"round(avg({m}), 2) AS {m}" for m in _MEANS) + " FROM rated GROUP BY model)"
+SUMMARY = "summary AS (SELECT model, count(*) AS rfps_evaluated, " + ", ".join(f"{rounded(f'avg({m})', 2)} AS {m}" for m in _MEANS) + " FROM rated GROUP BY model)"
 CHUNKS = rf"""whole AS (SELECT doc_id, {strip("coalesce(text, '')")} AS t FROM documents),
 step(doc_id, t, st, en) AS (
   SELECT doc_id, t, 0, CASE WHEN length(t) <= 8000 THEN length(t) ELSE cut END FROM (SELECT doc_id, t, {{cut0}} AS cut FROM whole WHERE t <> '')
@@ -123,7 +128,14 @@ def score_sql(rule_set: str) -> str:
     """CASE over fields of columns value, v, comb."""
     sets, least = rules.RULE_SETS[rule_set]
     some = lambda on, terms: "(" + " OR ".join(f"contains({on}, {_q(t)})" for t in terms) + ")"
-    match = lambda ps: "(" + " OR ".join(f"regexp_matches({'lower(value)' if p == rules.POINTS else 'value'}, {_q(p)})" for p in ps) + ")"
+    tests = {
+        rules.PERCENT: r"regexp_matches(value, '[0-9]\s*%') AND regexp_matches(value, '(^|[^a-zA-Z0-9_])[0-9]+([.][0-9]+)?\s*%')",
+        rules.POINTS: r"regexp_matches(lower(value), '(^|[^a-z0-9_])[0-9]+([.][0-9]+)?\s*(point|points|pt|pts)($|[^a-z0-9_])')",
+        rules.AMOUNT: r"regexp_matches(value, '[$]\s*[0-9,]')",
+        rules.TWO_NUMBERS: r"len(regexp_extract_all(value, '\b[0-9]+([.][0-9]+)?\b')) > 1",
+        text.EMAIL: r"regexp_matches(value, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z][A-Za-z]+')",
+    }
+    match = lambda ps: "(" + " OR ".join(f"({tests[p]})" for p in ps) + ")"
     branches = []
     for name, rule in sets.items():
         score, no = ["1.0"], []
@@ -169,11 +181,30 @@ def scored_top(rule_set: str) -> str:
     return f"{TOP},\nready AS (SELECT * REPLACE ({cleaned('value')} AS value), v || ' ' || {norm('excerpt')} AS comb FROM top),\nmarked AS (SELECT *, CAST({score_sql(rule_set)} AS DOUBLE) AS score FROM ready)"
 
 
-LEVELS = """levels AS (SELECT model, concurrency, count(*) AS requests_total, count(*) FILTER (success) AS requests_successful, count(*) FILTER (NOT success) AS requests_failed,
-  round(coalesce(avg(latency_s) FILTER (success), 0), 4) AS avg_latency_s, round(coalesce(quantile_cont(latency_s, 0.95) FILTER (success), 0), 4) AS p95_latency_s,
-  round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 4) AS total_test_time_s FROM jobs GROUP BY model, concurrency),
-full_levels AS (SELECT *, round(100.0 * requests_successful / requests_total, 2) AS success_rate_pct,
-  round(coalesce(60.0 * requests_successful / nullif(total_test_time_s, 0), 0), 2) AS throughput_requests_per_min FROM levels)"""
+LEVELS = f"""sums AS (SELECT model, concurrency, count(*) AS requests_total, count(*) FILTER (success) AS requests_successful, count(*) FILTER (NOT success) AS requests_failed,
+  coalesce(avg(latency_s) FILTER (success), 0) AS mean, coalesce(quantile_cont(latency_s, 0.95) FILTER (success), 0) AS p95,
+  (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS wall FROM jobs GROUP BY model, concurrency),
+full_levels AS (SELECT model, concurrency, requests_total, requests_successful, requests_failed, {rounded('mean', 4)} AS avg_latency_s, {rounded('p95', 4)} AS p95_latency_s,
+  {rounded('wall', 4)} AS total_test_time_s, {pct('requests_successful', 'requests_total', '0')} AS success_rate_pct,
+  {rounded('coalesce(requests_successful / nullif(wall, 0) * 60, 0)', 2)} AS throughput_requests_per_min FROM sums)"""
+_LEVEL_COLUMNS = ["model", "concurrency", "requests_total", "requests_successful", "requests_failed", "success_rate_pct", "avg_latency_s", "p95_latency_s", "total_test_time_s", "throughput_requests_per_min"]
+#: Expected values against runs: cells under the names that the scores read.
+_CELLS = "cells AS (SELECT t.rfp AS rfp_no, a.model, t.field, t.expected, CASE WHEN given THEN value END AS predicted FROM truth t JOIN answers a ON a.rfp = t.rfp AND a.field = t.field)"
+_TAKEN = "coalesce(time_seconds, 0) AS latency_seconds, prompt_tokens, completion_tokens, total_tokens, chunks_total, chunks_successful, coalesce(raw_json_valid_rate, 0) AS raw_json_valid_pct, json_valid_after_cleanup_rate AS json_after_cleanup_pct"
+ROWS = f"run_rows AS (SELECT r.rfp_no AS rfp, r.* EXCLUDE (rfp_no), {_TAKEN} FROM rated r JOIN runs_ u ON u.rfp = r.rfp_no AND u.model = r.model)"
+ALL_ROWS = ("truth", "runs", "runs_ AS (SELECT * FROM runs)", _CELLS, NORMALS, TOKENS, F1, SIMILAR, RUNS.replace("runs AS (SELECT", "counts AS (SELECT").replace("FROM runs)", "FROM counts)"), ROWS)
+MEANS = "means AS (SELECT model, count(*) AS rfps_evaluated, " + ", ".join(f"{rounded(f'avg({m})', 2)} AS {n}" for m, n in [*((m, m) for m in _MEANS), ("latency_seconds", "avg_latency_seconds"), ("raw_json_valid_pct", "raw_json_valid_pct"), ("json_after_cleanup_pct", "json_after_cleanup_pct")]) + f", CAST({rounded('avg(total_tokens)', 0)} AS BIGINT) AS avg_total_tokens FROM run_rows GROUP BY model)"
+#: Of each chunk's and half's last and first word as answers: the first of each distinct one, up to four, and the excerpt's end.
+COLLECTED = (
+    "parts AS (SELECT doc_id, chunk_no, 0 AS part_no, chunk_text AS t FROM chunks WHERE (doc_id + chunk_no) % 3 <> 0 UNION ALL SELECT doc_id, chunk_no, part_no + 1, half FROM halved)",
+    "said AS (SELECT doc_id, chunk_no, part_no, t, unnest([0, 2]) AS pos, unnest([string_split(t, ' ')[-1], string_split(t, ' ')[1]]) AS said FROM parts)",
+    f"normed AS (SELECT *, {cleaned('said')} AS value, {norm('said')} AS v FROM said)",
+    "firsts AS (SELECT * FROM normed WHERE v <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, v ORDER BY chunk_no, part_no, pos) = 1)",
+    "four AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_no, part_no, pos) AS idx, length(t) AS n FROM firsts QUALIFY idx <= 4)",
+    "words AS (SELECT *, regexp_extract_all(lower(value), '[a-z0-9@.$%+-]{4,}') AS w0 FROM four)",
+    "places AS (SELECT *, coalesce(list_min(list_filter(list_transform(list_filter(w0, lambda x, i: list_position(w0, x) = i)[1:10], lambda x: strpos(lower(t), x)), lambda p: p > 0)) - 1, nullif(strpos(lower(t), 'summary'), 0) - 1, n // 2) AS centre FROM words)",
+    "reach2 AS (SELECT *, least(n, greatest(0, centre - 450) + 900) AS e FROM places)",
+)
 _KEEP = "regexp_replace({}, '[^0-9]', '', 'g')"
 
 ORACLES = {
@@ -201,10 +232,11 @@ ends AS (SELECT *, least(n, greatest(0, centre - 450) + 900) AS e FROM places)""
     "q_heading_reference": with_("lines") + f"SELECT doc_id, line_no, {heading('line')} AS heading_only, {reference('line')} AS reference_count FROM lines",
     "q_json_valid": with_("responses") + "SELECT event_id, coalesce(CASE WHEN json_valid(trim(raw)) THEN json_type(trim(raw)) = 'OBJECT' ELSE false END, false) AS raw_ok, event_id % 6 <> 3 AS cleaned_ok FROM responses",
     "q_json_entries": "SELECT event_id, 0 AS pos, 'k' AS key, json_extract_string(props, '$.k') AS value FROM events WHERE event_id % 6 <> 3",
-    "q_run_metrics": """SELECT user_id AS rfp, event_type AS model, count(*) FILTER (event_id % 6 <> 3) > 0 AS success, count(*) AS chunks_total, count(*) FILTER (event_id % 6 <> 3) AS chunks_successful,
-  round(100.0 * count(*) FILTER (event_id % 6 = 0) / count(*), 2) AS raw_json_valid_rate, round(100.0 * count(*) FILTER (event_id % 6 <> 3) / count(*), 2) AS json_valid_after_cleanup_rate,
-  CAST(sum(length(props)) AS BIGINT) AS prompt_tokens, CAST(sum(event_id % 100) AS BIGINT) AS completion_tokens, CAST(sum(length(props) + event_id % 100) AS BIGINT) AS total_tokens
-FROM events GROUP BY user_id, event_type""",
+    "q_run_metrics": """WITH a AS (SELECT event_id // 30 AS rfp, 'm' || (event_id // 30 % 3) AS model, event_id // 3 AS chunk_no, event_id % 3 AS part_no, (event_id + event_id // 4) % 6 AS k, length(props) AS p, event_id % 100 AS c FROM events),
+chunks AS (SELECT rfp, model, chunk_no, coalesce(bool_or(k <> 3) FILTER (part_no = 0), false) OR coalesce(bool_and(k <> 3) FILTER (part_no > 0), false) AS good, count(*) FILTER (part_no = 0) AS n,
+  count(*) FILTER (part_no = 0 AND k = 0) AS raw, count(*) FILTER (part_no = 0 AND k <> 3) AS ok, sum(p) AS p, sum(c) AS c FROM a GROUP BY ALL)
+SELECT rfp, model, count(*) FILTER (good) > 0 AS success, CAST(sum(n) AS BIGINT) AS chunks_total, count(*) FILTER (good) AS chunks_successful, """ + pct("sum(raw)", "sum(n)", "0") + " AS raw_json_valid_rate, " + pct("sum(ok)", "sum(n)", "0") + """ AS json_valid_after_cleanup_rate,
+  CAST(sum(p) AS BIGINT) AS prompt_tokens, CAST(sum(c) AS BIGINT) AS completion_tokens, CAST(sum(p) + sum(c) AS BIGINT) AS total_tokens FROM chunks GROUP BY rfp, model HAVING sum(n) > 0""",
     "q_candidates_top4": with_("lines", "candidates", TOP) + "SELECT rfp_no, field, idx, value FROM top",
     "q_rule_score_v5": with_("lines", "candidates", scored_top("v5")) + "SELECT rfp_no, field, idx, score FROM marked",
     "q_rule_score_capacity": with_("lines", "candidates", scored_top("capacity")) + "SELECT rfp_no, field, idx, score FROM marked",
@@ -216,7 +248,7 @@ ON b.rfp_no = d.doc_id AND b.field = f.field""",
 LEFT JOIN (SELECT source, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY source) b USING (source)""",
     "q_run_matrix": "SELECT d.source, m.model, count(*) AS runs FROM documents d CROSS JOIN (SELECT DISTINCT event_type AS model FROM events) m GROUP BY d.source, m.model",
     "q_capacity_levels": with_("jobs", LEVELS) + "SELECT * FROM full_levels",
-    "q_capacity_overview": with_("jobs", LEVELS) + "SELECT round(100.0 * sum(requests_successful) / sum(requests_total), 2) AS overall_success_pct, CAST(sum(requests_total) AS BIGINT) AS requests, max(throughput_requests_per_min) AS max_throughput, min(avg_latency_s) AS min_avg_latency, max(p95_latency_s) AS max_p95, max(concurrency) AS max_concurrency FROM full_levels",
+    "q_capacity_overview": with_("jobs", LEVELS) + "SELECT " + pct("sum(requests_successful)", "sum(requests_total)", "0") + " AS overall_success_pct, CAST(sum(requests_total) AS BIGINT) AS requests, max(throughput_requests_per_min) AS max_throughput, min(avg_latency_s) AS min_avg_latency, max(p95_latency_s) AS max_p95, max(concurrency) AS max_concurrency FROM full_levels",
     "q_peak_per_model": with_("jobs", LEVELS) + "SELECT model, concurrency, throughput_requests_per_min FROM full_levels QUALIFY row_number() OVER (PARTITION BY model ORDER BY throughput_requests_per_min DESC, concurrency) = 1",
     "q_extreme_levels": with_("jobs", LEVELS) + "SELECT * FROM (SELECT 'max' AS kind, model, concurrency, throughput_requests_per_min AS value FROM full_levels ORDER BY value DESC, model, concurrency LIMIT 1) UNION ALL (SELECT 'min', model, concurrency, throughput_requests_per_min AS value FROM full_levels ORDER BY value, model, concurrency LIMIT 1)",
     "q_resume_plan": with_("jobs", LEVELS) + "SELECT model, concurrency FROM full_levels WHERE NOT success_rate_pct >= 90",
@@ -229,6 +261,33 @@ LEFT JOIN (SELECT source, count(*) AS n FROM documents JOIN labels USING (doc_id
     "q_model_union": "SELECT DISTINCT event_type AS model FROM events UNION SELECT source FROM documents",
     "q_colours": "SELECT model, CAST((row_number() OVER (ORDER BY model) - 1) % 4 AS INTEGER) AS colour FROM (SELECT DISTINCT event_type AS model FROM events)",
     "q_chat_prompts": "SELECT conv_id, md5(string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) || '<|im_start|>assistant' || chr(10)) AS digest FROM conversations GROUP BY conv_id",
-    "q_prompts": with_(CHUNKS, recursive=True) + "SELECT doc_id, chunk_no, length(chunk_text) + {prompt} AS n_chars FROM chunks",
+    "q_prompts": with_(CHUNKS, recursive=True) + f"SELECT doc_id, chunk_no, md5({_q(extract.PROMPT)} || chunk_text) AS digest FROM chunks",
     "q_windowed_throughput": "SELECT event_type AS model, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS jobs, round(avg(value), 4) AS mean_latency FROM events GROUP BY ALL",
+    "q_text_files": "SELECT 'rfp' || doc_id || '.txt' AS rfp, length(text) AS n_chars, md5(text) AS digest FROM documents",
+    "q_results_file": with_("runs") + f"SELECT a.rfp, a.model, success, total_tokens + a.m AS total_tokens, time_seconds, i AS field_id, field, value FROM answers a JOIN runs r ON r.rfp = a.rfp AND r.model = a.model WHERE given",
+    "q_runs_table": with_("runs") + "SELECT rfp, model, CASE WHEN model = 'model1' THEN 0 ELSE prompt_tokens END AS prompt_tokens, completion_tokens, success FROM runs",
+    "q_truth_file": with_("truth") + "SELECT rfp, field, expected FROM truth",
+    "q_expected_cells": with_("truth", "runs") + "SELECT t.rfp, a.model, t.field, t.expected, CASE WHEN given THEN value END AS predicted FROM truth t JOIN answers a ON a.rfp = t.rfp AND a.field = t.field",
+    "q_run_rows": with_(*ALL_ROWS) + "SELECT * FROM run_rows",
+    "q_model_means": with_(*ALL_ROWS, MEANS) + "SELECT * FROM means",
+    "q_scores_csv": with_(*ALL_ROWS) + "SELECT rfp, model, field_accuracy_pct, avg_field_similarity_pct, completeness_pct, hallucination_rate_pct, wrong_value_rate_pct, CAST(fields_correct AS INTEGER) AS fields_correct, latency_seconds, total_tokens FROM run_rows",
+    "q_capacity_files": with_("jobs", LEVELS) + f"SELECT kind, {', '.join(_LEVEL_COLUMNS)} FROM full_levels, (VALUES ('json'), ('csv')) k(kind)",
+    "q_report_tables": with_("jobs", LEVELS) + "SELECT 'scores' AS name, 2 * count(*) AS n, 2 AS models FROM documents UNION ALL SELECT 'summary', 2, 2 UNION ALL SELECT 'capacity', count(*), count(DISTINCT model) FROM full_levels",
+    "q_number_texts": "SELECT event_id, printf('%.2f', event_id / 8) AS percent, format('{:,}', event_id * 12345) AS thousands FROM events",
+    "q_nested_values": """SELECT event_id, CAST(e.pos AS BIGINT) AS pos, e.key, e.value FROM (SELECT event_id, unnest([
+  {'pos': 0, 'key': 'Budget', 'value': '{"a":[1,{"k":' || json_extract_string(props, '$.k') || '}]}'}, {'pos': 1, 'key': 'Summary', 'value': 'True'}, {'pos': 2, 'key': 'Issue Date', 'value': '[]'},
+  {'pos': 3, 'key': 'Other', 'value': event_id || '.5'}, {'pos': 4, 'key': 'Start Date', 'value': NULL}]) AS e FROM events)""",
+    "q_field_table": with_("runs") + "SELECT rfp, model, i AS field_id, field, value FROM answers WHERE given",
+    "q_enabled_models": "SELECT source || '-' || lang AS model, count(*) AS n FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 2 = 0 GROUP BY ALL",
+    "q_unknown_names": "SELECT doc_id FROM labels EXCEPT SELECT conv_id FROM conversations",
+    "q_sorted_levels": with_("jobs", LEVELS) + "SELECT model, concurrency, row_number() OVER (ORDER BY model, concurrency) AS place FROM full_levels",
+    "q_final_json": with_("lines", "candidates", scored_top("v5"))
+    + f"""SELECT d.doc_id AS rfp_no, '{{' || string_agg(to_json(f.field) || ':' || to_json(coalesce(CASE WHEN f.field = {_q(rules.REFERENCES)} THEN coalesce({reference('b.value')}, b.value) ELSE b.value END, 'Not Specified')), ',' ORDER BY f.n) || '}}' AS json
+FROM documents d CROSS JOIN (SELECT unnest([{', '.join(map(_q, rules.NAMES))}]) AS field, unnest(range({len(rules.NAMES)})) AS n) f LEFT JOIN (SELECT * FROM marked WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY rfp_no, field ORDER BY score DESC, idx) = 1) b
+ON b.rfp_no = d.doc_id AND b.field = f.field GROUP BY d.doc_id""",
+    "q_gauge_lines": with_(*ALL_ROWS, "last AS (SELECT * FROM run_rows QUALIFY row_number() OVER (PARTITION BY model ORDER BY rfp DESC) = 1)")
+    + " UNION ALL ".join(f"""SELECT '{m}{{model="' || model || '"}} ' || CAST({m} AS DOUBLE) AS line FROM last""" for m in ("field_accuracy_pct", "latency_seconds", "total_tokens")),
+    "q_report_lines": with_(*ALL_ROWS, MEANS) + "SELECT row_number() OVER (ORDER BY model) AS place, model || ': accuracy=' || field_accuracy_pct || '% | completeness=' || completeness_pct || '% | hallucination=' || hallucination_rate_pct || '%' AS line FROM means",
+    "q_collected_candidates": with_(CHUNKS, "failed AS (SELECT * FROM chunks WHERE (doc_id + chunk_no) % 3 = 0 AND length(chunk_text) >= 2000)", halves("chunk_text", "failed", "doc_id, chunk_no"), *COLLECTED, recursive=True)
+    + f"SELECT doc_id, 'Summary' AS field, idx, 'chunk ' || chunk_no || CASE WHEN part_no > 0 THEN '.' || part_no ELSE '' END AS source, value, md5(CASE WHEN n <= 900 THEN {strip('t')} ELSE {strip('substring(t, greatest(0, e - 900) + 1, 900)')} END) AS digest FROM reach2",
 }

@@ -7,6 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.shared import stored
 from millrace.operators import capacity, chunking, dashboard, extract, rules, score
 from millrace.sources import files, sinks
 from millrace.streaming import jobs
@@ -40,7 +41,7 @@ CASES = [
     (rules.CONTACT, "a@b.ca", "questions", 7.5, 5.5), (rules.REFERENCES, "three (3)", "references", 5.5, 5.5), (rules.REFERENCES, "some", "references", None, None),
     (rules.NAMES[11], "Section 4", "", None, None), (rules.NAMES[13], "api and cloud", "", 5.5, 5.5), (rules.NAMES[13], "", "", None, None), (rules.NAMES[14], "pricing 40, quality 60", "", 4.5, None),
     (rules.NAMES[15], "70%", "minimum", 4.5, 1.5), (rules.NAMES[17], "insurance of $2,000,000", "", 6.5, 1.5), (rules.NAMES[22], "yes", "", 2.5, None), (rules.NAMES[22], "demo", "", 5.5, 5.5), (rules.NAMES[22], "no", "", None, None),
-    ("Issue Date", "x", "", None, 1.5),
+    ("Issue Date", "x", "", None, 1.5), (rules.NAMES[14], "quality weight 3.5", "", None, None), (rules.NAMES[14], "quality 3.5.1", "", 1.5, None), (rules.NAMES[14], "price 30 points", "", 4.5, 4.5),
 ]
 
 
@@ -66,9 +67,8 @@ def test_extraction(spark, tmp_path):
             raw = "no answer" if len(chunk) > 4000 else json.dumps({"Budget": f"budget {chunk[0]}", "Unknown": 1, "Summary": "N/A"})
             return {"raw": raw, "finish_reason": "stop", "prompt_tokens": 10, "completion_tokens": 1, "total_tokens": 11, "time_s": 0.1}
 
-    spark.sparkContext.setCheckpointDir(str(tmp_path))
     docs = spark.createDataFrame([("r1", "a" * 6000), ("r2", "b" * 100), ("r3", "boom")], "rfp string, text string")
-    final, metrics = extract.extract_documents(docs, ["m"], Scripted(), extract.checkpointed(spark))
+    final, metrics = extract.extract_documents(docs, ["m"], Scripted(), stored, most_calls=2)
     values = {(r.rfp, r.field): r.value for r in final.collect()}
     assert len(values) == 72 and values["r1", "Budget"] == "budget a" and values["r2", "Budget"] == "budget b" and values["r3", "Budget"] == values["r2", "Summary"] == "Not Specified"
     m = {r.rfp: r for r in metrics.collect()}
@@ -101,16 +101,64 @@ def test_field_scores(spark):
     assert (none.completeness_pct, none.hallucination_rate_pct, none.wrong_value_rate_pct) == (100.0, 0.0, 0.0)
 
 
-#: Published figures of five documents: model, accuracy, similarity, completeness, hallucination, wrong values, latency, tokens.
-GOLDEN = [
-    ("Qwen-4B-AWQ", 58.33, 60.11, 72.22, 0.0, 27.78, 12.01, 29266), ("Qwen-4B-AWQ", 50.0, 50.63, 76.19, 0.0, 33.33, 15.17, 30187), ("Qwen-4B-AWQ", 54.17, 50.25, 57.14, 0.0, 9.52, 21.2, 31379),
-    ("Qwen-4B-AWQ", 62.5, 58.72, 75.0, 0.0, 20.0, 12.51, 23325), ("Qwen-4B-AWQ", 41.67, 48.5, 76.19, 33.33, 38.1, 16.64, 29372),
-]
+#: Published figures of the runs: accuracy, similarity, completeness, hallucination, wrong values, latency, tokens, JSON valid as it is and after cleaning.
+GOLDEN_RUNS = {
+    "Granite-8B-AWQ": [
+        (54.17, 59.67, 88.89, 33.33, 38.89, 37.77, 34639, 83.33, 91.67), (50.0, 50.19, 85.71, 33.33, 38.1, 31.59, 31183, 91.67, 100.0), (29.17, 37.01, 61.9, 33.33, 38.1, 43.52, 32056, 55.56, 77.78),
+        (54.17, 59.26, 85.0, 0.0, 40.0, 32.03, 24996, 87.5, 87.5), (45.83, 53.7, 80.95, 0.0, 42.86, 34.71, 33420, 91.67, 91.67),
+    ],
+    "OpenAI": [
+        (54.17, 60.32, 83.33, 16.67, 38.89, 18.7, 28294, 100.0, 100.0), (54.17, 55.44, 80.95, 0.0, 33.33, 16.48, 27959, 100.0, 100.0), (62.5, 57.82, 80.95, 0.0, 23.81, 15.48, 22271, 100.0, 100.0),
+        (70.83, 61.81, 85.0, 0.0, 20.0, 12.07, 19192, 100.0, 100.0), (54.17, 56.41, 80.95, 0.0, 33.33, 15.63, 26955, 100.0, 100.0),
+    ],
+    "Qwen-4B-AWQ": [
+        (58.33, 60.11, 72.22, 0.0, 27.78, 12.01, 29266, 66.67, 100.0), (50.0, 50.63, 76.19, 0.0, 33.33, 15.17, 30187, 83.33, 100.0), (54.17, 50.25, 57.14, 0.0, 9.52, 21.2, 31379, 44.44, 77.78),
+        (62.5, 58.72, 75.0, 0.0, 20.0, 12.51, 23325, 50.0, 87.5), (41.67, 48.5, 76.19, 33.33, 38.1, 16.64, 29372, 75.0, 100.0),
+    ],
+}
+#: Published means of the models.
+GOLDEN_MEANS = {
+    "Granite-8B-AWQ": (46.67, 51.97, 80.49, 20.0, 39.59, 35.92, 31259, 81.95, 89.72), "OpenAI": (59.17, 58.36, 82.24, 3.33, 29.87, 15.67, 24934, 100.0, 100.0),
+    "Qwen-4B-AWQ": (53.33, 53.64, 71.35, 6.67, 25.75, 15.51, 28706, 63.89, 93.06),
+}
 
 
 def test_model_summary_golden(spark):
-    rows = spark.createDataFrame(GOLDEN, "model string, field_accuracy_pct double, avg_field_similarity_pct double, completeness_pct double, hallucination_rate_pct double, wrong_value_rate_pct double, latency_seconds double, total_tokens long")
-    assert tuple(score.model_summary(rows).first()) == ("Qwen-4B-AWQ", 5, 53.33, 53.64, 71.35, 6.67, 25.75, 15.51, 28706)
+    names = ["field_accuracy_pct", "avg_field_similarity_pct", "completeness_pct", "hallucination_rate_pct", "wrong_value_rate_pct", "latency_seconds", "total_tokens", "raw_json_valid_pct", "json_after_cleanup_pct"]
+    rows = spark.createDataFrame([(f" {model} ", *r) for model, runs in GOLDEN_RUNS.items() for r in runs] + [("  ", *GOLDEN_MEANS["OpenAI"])], "model string, " + ", ".join(f"{n} {'long' if n == 'total_tokens' else 'double'}" for n in names))
+    assert {r[0]: tuple(r)[2:] for r in score.model_summary(rows).collect()} == GOLDEN_MEANS
+
+
+def test_documents_are_scored(spark):
+    truth = spark.createDataFrame([("r1", "Budget", "5"), ("r1", "Summary", None), ("r2", "Budget", "7"), ("r2", "Summary", "x")], "rfp string, field string, expected string")
+    runs = spark.createDataFrame([("r1", "m", {"Budget": "5", "Other": "1"}, 2.5, 7), ("r2", "m", None, None, None), ("r3", "m", {}, 1.0, 1)], "rfp string, model string, output map<string,string>, time_seconds double, total_tokens long")
+    rows = score.score_documents(truth, runs, ["r1", "r2"]).collect()
+    assert [(r.rfp, r.field_accuracy_pct, r.omitted_expected_fields, r.latency_seconds, r.total_tokens, r.chunks_total) for r in rows] == [("r1", 100.0, 0, 2.5, 7, 0), ("r2", 0.0, 2, 0.0, 0, 0)]
+    assert rows[0].__fields__ == [c.split()[0] for c in files.RUN_SCORES.split(", ")]
+    for chosen, said in ((["r9"], "unknown rfp: r9"), (["r3"], "unknown rfp: r3")):
+        with pytest.raises(ValueError, match=said):
+            score.score_documents(truth, runs, chosen)
+    with pytest.raises(ValueError, match="without a run: r2"):
+        score.score_documents(truth, runs.where("rfp = 'r1'"), ["r1", "r2"])
+    with pytest.raises(ValueError, match="different fields"):
+        score.score_documents(truth.where("rfp = 'r1' OR field = 'Budget'"), runs, ["r1", "r2"])
+
+
+def test_usage():
+    assert extract.usage({"usage": {"input_tokens": 3, "output_tokens": 2}}) == {"prompt_tokens": 3, "completion_tokens": 2, "total_tokens": 5}
+    assert extract.usage({"prompt_tokens": 3, "completion_tokens": None, "total_tokens": 9}) == {"prompt_tokens": 3, "completion_tokens": 0, "total_tokens": 9}
+    assert set(extract.usage({}).values()) == {0}
+
+
+def test_percentile_of_many(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    values = {"a": rng.normal(size=3000).round(2), "b": np.array([5.0]), "c": np.repeat([1.0, 2.0, 1e9], [50, 900, 50]), "d": np.array([1.0, 2.0]), None: rng.random(77)}
+    frame = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs] + [("e", None), ("a", None)], "k string, v double")
+    for p in (0.0, 0.5, 0.95, 1.0):
+        got = {r.k: r.value for r in capacity.interpolated(frame, ["k"], "v", p).collect()}
+        assert got == pytest.approx({k: np.percentile(v, 100 * p) for k, v in values.items()})
 
 
 def test_capacity(spark):
@@ -183,8 +231,41 @@ def test_readers_and_writers(spark, tmp_path):
     sinks.save_runs(runs([("a", "m", 1), ("b", "m", 1)]), str(tmp_path / "runs"))
     sinks.save_runs(runs([("b", "m", 2)]), str(tmp_path / "runs"))
     assert {(r.rfp, r.n) for r in spark.read.parquet(str(tmp_path / "runs")).collect()} == {("a", 1), ("b", 2)}
-    sinks.save_texts(spark.createDataFrame([("r1", "x\ny")], "rfp string, text string"), str(tmp_path / "texts"))
-    assert spark.read.text(str(tmp_path / "texts")).count() == 2
+    there = f"file://{tmp_path}/texts"
+    assert sinks.save_texts(spark.createDataFrame([("r1.txt", "x\ny"), ("é.txt", None), (None, "z")], "rfp string, text string"), there) == 2
+    assert sorted(tuple(r) for r in files.text_files(spark, there).collect()) == [("r1.txt", "x\ny")] and (tmp_path / "texts" / "é.txt").read_bytes() == b""
+    with pytest.raises(Exception, match="not a file name"):
+        sinks.save_texts(spark.createDataFrame([("a/b", "x")], "rfp string, text string"), there)
+
+
+def test_json_files(spark, tmp_path):
+    path = f"file://{tmp_path}/results.json"
+    assert files.benchmark_runs(spark, path).count() == 0
+    runs = spark.createDataFrame([("r2", "b", True, 2.0, {"Budget": 'é "5"'}), ("r1", "b", False, None, None), ("r1", "a", True, 1.5, {"Summary": "x\ny", "Budget": None})], "rfp string, model string, success boolean, time_seconds double, output map<string,string>")
+    sinks.save_results(runs, path)
+    text = (tmp_path / "results.json").read_text(encoding="utf-8")
+    want = {"r1": {"a": {"success": True, "time_seconds": 1.5, "output": {"Summary": "x\ny", "Budget": None}}, "b": {"success": False, "time_seconds": None, "output": None}}, "r2": {"b": {"success": True, "time_seconds": 2.0, "output": {"Budget": 'é "5"'}}}}
+    assert json.loads(text) == want and text == json.dumps(want, indent=2, ensure_ascii=False)
+    assert {(r.rfp, r.model, r.time_seconds) for r in files.benchmark_runs(spark, path).collect()} == {("r1", "a", 1.5), ("r1", "b", None), ("r2", "b", 2.0)}
+    sinks.save_results(runs.limit(0), path)
+    assert (tmp_path / "results.json").read_text() == "{}" and not list(tmp_path.glob("*.tmp")) and files.benchmark_runs(spark, path).count() == 0
+    (tmp_path / "truth.json").write_text('{"r": {"a": true, "b": 3.50, "c": null, "d": "x", "e": [1, {"k": 2}]}}')
+    assert {r.field: r.expected for r in files.ground_truth(spark, f"{tmp_path}/truth.json").collect()} == {"a": "True", "b": "3.5", "c": None, "d": "x", "e": '[1,{"k":2}]'}
+
+
+def test_guards_of_files(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x")
+    files.require_documents(spark, str(tmp_path), ["a.txt"], ["a.txt", "b.txt"])
+    for names, allowed, said in (([], None, "no documents"), (["c.txt"], ["a.txt"], "unknown documents: c.txt"), (["a.txt", "b.txt", "d.txt"], None, "b.txt, d.txt")):
+        with pytest.raises((ValueError, FileNotFoundError), match=said):
+            files.require_documents(spark, str(tmp_path), names, allowed)
+    with pytest.raises(FileNotFoundError, match="one.csv.*two.csv"):
+        files.report_tables(spark, {"a": (f"{tmp_path}/one.csv", "x int"), "b": (f"{tmp_path}/two.csv", "x int")})
+    (tmp_path / "broken.json").write_text('{"summary": [')
+    (tmp_path / "levels.csv").write_text(",".join(c.split()[0] for c in files.CAPACITY.split(", ")) + "\nm,2.0,4,3,x,75.0,2.3,3.8,,60.0\n")
+    with pytest.warns(UserWarning, match="could not read"):
+        row = files.capacity_rows(spark, f"{tmp_path}/broken.json", f"{tmp_path}/levels.csv").first()
+    assert (row.concurrency, row.requests_failed, row.total_test_time_s, row.throughput_requests_per_min) == (2, None, None, 60.0)
 
 
 def test_stream_equals_batch(spark, tmp_path):

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import difflib
+import json
 import math
 import os
+import re
+import sys
 
 import duckdb
 import pytest
 
+from millrace.functions.spans import spans
+from millrace.operators import rules
 from millrace.plans import queries
 
+sys.path.insert(0, os.path.dirname(__file__))
+from test_text import plain_comparable, plain_missing  # noqa: E402
+
 DATA = "/root/testdata/sf0.001"
 
 
@@ -55,3 +64,75 @@ def test_runs_count_by_the_sequence_ratio(spark):
     assert all(abs(r.avg_field_similarity_pct - 100 * sums[k] / r.fields_total) < 0.006 for k, r in full.items())
     assert all(r.avg_field_similarity_pct >= f1[k].avg_field_similarity_pct for k, r in full.items())
     assert any(r.avg_field_similarity_pct > f1[k].avg_field_similarity_pct for k, r in full.items())
+
+
+def plain_similarity(field, expected, predicted):
+    if expected is None or plain_missing(expected):
+        return float(predicted is None or plain_missing(predicted))
+    if predicted is None or plain_missing(predicted):
+        return 0.0
+    e, p = plain_comparable(expected), plain_comparable(predicted)
+    mails = [set(re.findall(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", x)) for x in (expected, predicted)]
+    numbers = [re.findall(r"\b\d+(?:\.\d+)?\b", x) for x in (e, p)]
+    if e == p or (field.startswith("RFP Contact") and mails[0] and mails[0] <= mails[1]) or (field.startswith("Number of References") and all(numbers) and numbers[0][0] == numbers[1][0]):
+        return 1.0
+    a, b = (set(re.findall(r"[a-z0-9@.$%+-]+", x)) for x in (e, p))
+    common = len(a & b)
+    f1 = 1.0 if not a and not b else 2 * common / (len(a) + len(b)) if a and b else 0.0
+    return max(difflib.SequenceMatcher(None, e, p).ratio(), f1)
+
+
+def test_similarity_against_python(spark):
+    from millrace.plans import fixtures
+
+    cells = {(r.rfp_no, r.line_no): r for r in fixtures.cells(spark, DATA).collect()}
+    got = queries.queries()["q_field_similarity"](spark, DATA).collect()
+    assert len(got) == len(cells)
+    for r in got:
+        c = cells[r.rfp_no, r.line_no]
+        want = plain_similarity(c.field, c.expected, c.predicted)
+        assert r.similarity == pytest.approx(want, abs=6e-5) and r.is_correct == (want >= (0.45 if dict(rules.FIELDS)[c.field] else 0.70)), c
+    lines = {(r.doc_id, r.line_no): r for r in fixtures.lines(spark, DATA).collect()}
+    for r in queries.queries()["q_seq_ratio"](spark, DATA).collect():
+        c = lines[r.doc_id, r.line_no]
+        assert r.ratio == (None if c.next_line is None else pytest.approx(difflib.SequenceMatcher(None, c.line, c.next_line).ratio(), abs=6e-5))
+
+
+def test_run_rows_against_python(spark):
+    from collections import defaultdict
+
+    from millrace.plans import fixtures
+
+    truth = defaultdict(dict)
+    for r in fixtures.truth(spark, DATA).collect():
+        truth[r.rfp][r.field] = r.expected
+    runs = {(r.rfp, r.model): r for r in fixtures.runs(spark, DATA).collect()}
+    rows = queries.queries()["q_run_rows"](spark, DATA).collect()
+    assert len(rows) == len(runs)
+    for r in rows:
+        run, want = runs[r.rfp, r.model], truth[r.rfp]
+        similar = {f: plain_similarity(f, e, run.output.get(f)) for f, e in want.items()}
+        right = sum(s >= (0.45 if dict(rules.FIELDS)[f] else 0.70) for f, s in similar.items())
+        assert (r.fields_correct, r.field_accuracy_pct) == (right, round(right / 24 * 100, 2))
+        assert r.avg_field_similarity_pct == pytest.approx(sum(similar.values()) / 24 * 100, abs=0.0051)
+        assert (r.latency_seconds, r.total_tokens, r.raw_json_valid_pct) == (run.time_seconds or 0, run.total_tokens, run.raw_json_valid_rate or 0)
+
+
+def test_stub_extraction_against_python(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    for r in queries.queries()["q_extract_stub"](spark, DATA).collect():
+        whole, best = texts[r.rfp].strip(), (0.0, "Not Specified")
+        for a, b in spans(whole):
+            line = whole[a:b].strip().split("\n", 1)[0].replace("\\", " ").replace('"', "'").strip()
+            n = len(re.sub(r"\s+", " ", line.lower()).strip(" .;:"))
+            points = 2.0 + 0.5 * (n <= 500) if n >= 30 and not plain_missing(line) else 0.0
+            best = max(best, (points, line), key=lambda x: x[0])
+        values = json.loads(r.json)
+        assert values.pop("Summary") == best[1] and set(values.values()) == {"Not Specified"} and len(values) == 23
+
+
+def test_payload_against_levels(spark):
+    payload = json.loads(queries.queries()["q_json_payload"](spark, DATA).first().json)
+    levels = sorted((r.asDict() for r in queries.queries()["q_capacity_levels"](spark, DATA).collect()), key=lambda r: (r["model"], r["concurrency"]))
+    assert payload["summary"] == levels and payload["configuration"] == {"test_type": "log"}
+    assert payload["completed_concurrency_levels"] == sorted({r["concurrency"] for r in levels})

@@ -66,6 +66,17 @@ def test_ratio_and_f1(spark):
         assert r.f == (1.0 if not a and not b else 2 * len(a & b) / (len(a) + len(b)) if a and b else 0.0)
 
 
+def test_rounding_is_pythons(spark):
+    import random
+
+    random.seed(4)
+    values = [0.125, 2.675, 1.005, 0.5, 1.5, 2.5, -2.675, -0.125, 0.0, 99.995, 2192133.56735, 1e9 + 0.125, 33.335, 1 / 3, None]
+    values += [random.randrange(10**9) / 10**random.randrange(8) for _ in range(2000)] + [random.randrange(10**7) / 2**random.randrange(12) for _ in range(2000)] + [(2 * random.randrange(10**6) + 1) / 200 for _ in range(2000)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", *[text.python_round(F.col("v"), d).alias(f"r{d}") for d in (0, 2, 4)]).collect()
+    for r in rows:
+        assert (r.r0, r.r2, r.r4) == ((None,) * 3 if r.v is None else (round(r.v), round(r.v, 2), round(r.v, 4))), r.v
+
+
 def test_answers(spark):
     raws = {
         '{"a": 1}': (True, True, [("a", "1")]), '```json\n{"a": "x"}\n```': (False, True, [("a", "x")]), '<think>{"n": 1}</think>{"a": true}': (False, True, [("a", "True")]),
@@ -88,3 +99,5 @@ def test_excerpt(spark):
 def test_sql_names(spark):
     udfs.register(spark)
     assert spark.sql("SELECT seq_ratio('tide', 'diet') AS r, nfkd_norm('é') AS n").first()[0] == difflib.SequenceMatcher(None, "tide", "diet").ratio()
+    row = spark.sql("SELECT raw_json_valid(' {\"a\": 1} ') AS a, raw_json_valid('[1]') AS b, raw_json_valid(NULL) AS c, chunk_text(repeat('line of text\\n', 1000)) AS t, chunk_text(NULL) AS n").first()
+    assert (row.a, row.b, row.c, row.n) == (True, False, False, []) and len(row.t) == 2 and row.t[0].startswith("line of text") and max(map(len, row.t)) <= 8000
