@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms for personal data, in DataFrame expressions only.
 
-Numbers and dates that prove valid - payment cards by their Luhn digit, telephone numbers, IPv4 addresses, social security
-numbers, IBANs by their check digits, calendar dates - are mapped by a keyed Feistel permutation of all values of their
+Numbers and dates that prove valid - payment cards by their Luhn digit, telephone numbers, IPv4 and IPv6 addresses, social
+security numbers, IBANs by their check digits, calendar dates - are mapped by a keyed Feistel permutation of all values of their
 format, so a pseudonym is valid too, equal values have equal pseudonyms in every document, and different values different
 ones. E-mail addresses and secrets have no format of fixed size: they become keyed digests of the same shape, equal for
 equal values. Nothing is shuffled: a text is split at its findings and joined again.
@@ -15,21 +15,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _EDGE, _END = r"(?<![\w.+-])", r"(?![\w-]|\.\w)"
+_HEX = r"[0-9A-Fa-f]{1,4}"
+#: Four digits four times or more, 4-6-5 and 4-6-4 digits, or in one piece: how cards are written as a rule.
+_LAYOUT = r"(?:\d{4}(?:[ -]\d{4}){3,11}|\d{4}[ -]\d{6}[ -]\d{4,5}|\d{13,19})" + _END
 PATTERNS = {
     "email": r"(?<![\w.+%-])[\w+%-][\w.+%-]{0,63}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])",
     "key": r"(?<!\w)AKIA[A-Z0-9]{16}(?!\w)",
     "secret": r'(?i:(?<![\w])(?:api[_-]?key|secret|token|password|passwd|pwd)\s{0,3}[=:]\s{0,3}"?[\w+/.~-]{8,200}"?)',
+    "ip6": rf"(?<![\w:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:{_HEX}(?::{_HEX}){{0,6}})?)(?![\w:]|\.\w)",
     "ip": _EDGE + r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}" + _END,
     "phone": r"(?<![\w.+-])(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}" + _END,
+    "abroad": r"(?<![\w.+-])\+[1-9]\d{0,2}(?:[ .-]?\(?\d{1,4}\)?){2,6}" + _END,
     "ssn": _EDGE + r"\d{3}-\d{2}-\d{4}" + _END,
     "date": _EDGE + r"\d{4}-\d{2}-\d{2}" + _END,
-    "iban": _EDGE + r"[A-Z]{2}\d{13,32}" + _END,
-    "card": _EDGE + r"\d(?:[ -]?\d){12,18}" + _END,
-}
+    "day": _EDGE + r"\d{1,2}(?:/\d{1,2}/|\.\d{1,2}\.)\d{4}" + _END,
+    "iban": _EDGE + r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)" + _END,
+    "card": _EDGE + rf"(?:{_LAYOUT}|\d(?:[ -]?(?!{_LAYOUT})\d){{12,18}}{_END})",
+}
 PATTERN = "|".join(PATTERNS.values())
 ROUNDS = 10
 #: Dates from this one on, as many days as the two factors' product, are permuted among themselves.
-FIRST_DAY, DAYS = "1900-01-01", (250, 292)
+FIRST_DAY, DAYS = "1800-01-01", (381, 383)
 
 
 def _digest(key: str, *parts: Column | str) -> Column:
@@ -76,13 +82,38 @@ def _refilled(shape: Column, digits: Column) -> Column:
     return F.aggregate(F.split(shape, ""), start, step)["out"]
 
 
+def _valid_card(d: Column) -> Column:
+    return F.length(d).between(13, 19) & F.call_function("luhn_check", d) & ~d.rlike("^0+$")
+
+
+def _new_card(key: str, d: Column) -> Column:
+    """The digits of another card that begins alike."""
+    body = F.concat(F.substring(d, 1, 1), _permuted_digits(key, "card", F.substring(d, F.lit(2), F.length(d) - 2)))
+    return _bound(body, lambda p: F.element_at(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda c: F.concat(p, c.cast("string"))), lambda x: F.call_function("luhn_check", x)), 1))
+
+
 def _card(key: str, m: Column) -> Column:
-    def renamed(d: Column) -> Column:
-        body = F.concat(F.substring(d, 1, 1), _permuted_digits(key, "card", F.substring(d, F.lit(2), F.length(d) - 2)))
-        checked = _bound(body, lambda p: F.element_at(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda c: F.concat(p, c.cast("string"))), lambda x: F.call_function("luhn_check", x)), 1))
-        return F.when(F.call_function("luhn_check", d) & ~d.rlike("^0+$"), _refilled(m, checked)).otherwise(m)
+    """A card as a whole; of more than four groups of four digits, each four in a row that prove valid."""
+
+    def four(groups: Column, gaps: Column, i: Column) -> Column:
+        return F.array_join(F.slice(groups, i + 1, 4), "")
+
+    def walked(g: Column) -> Column:
+        start = F.struct(F.lit("").alias("out"), F.lit(0).alias("next"))
 
-    return _bound(F.regexp_replace(m, "[ -]", ""), renamed)
+        def step(s: Column, i: Column) -> Column:
+            gap = F.when(i > 0, F.get(g["gaps"], i - 1)).otherwise("")
+            d = four(g["groups"], g["gaps"], i)
+            shape = lambda x: F.concat(*[y for k in range(4) for y in ([F.get(g["gaps"], i + (k - 1))] if k else []) + [F.substring(x, 4 * k + 1, 4)]])
+            found = F.struct(F.concat(s["out"], gap, _bound(_new_card(key, d), shape)).alias("out"), (i + 4).alias("next"))
+            other = F.struct(F.concat(s["out"], gap, F.get(g["groups"], i)).alias("out"), (i + 1).alias("next"))
+            return F.when(i < s["next"], s).when((F.length(d) == 16) & _valid_card(d), found).otherwise(other)
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(g["groups"]) - 1), start, step)["out"]
+
+    parts = F.struct(F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0)).alias("groups"), F.regexp_extract_all(m, F.lit("[ -]"), F.lit(0)).alias("gaps"))
+    whole = lambda d: F.when(_valid_card(d), _refilled(m, _new_card(key, d))).when(m.rlike(r"^\d{4}(?:[ -]\d{4}){4,}$"), _bound(parts, walked)).otherwise(m)
+    return _bound(F.regexp_replace(m, "[ -]", ""), whole)
 
 
 def _phone(key: str, m: Column) -> Column:
@@ -94,6 +125,28 @@ def _phone(key: str, m: Column) -> Column:
     return _bound(F.regexp_replace(m, "[^0-9]", ""), renamed)
 
 
+def _abroad(key: str, m: Column) -> Column:
+    """A number with another country's code, of 8 to 15 digits: all but the first two are permuted."""
+    renamed = lambda d: F.when(F.length(d).between(8, 15), _refilled(m, F.concat(F.substring(d, 1, 2), _permuted_digits(key, "abroad", F.substring(d, F.lit(3), F.length(d) - 2))))).otherwise(m)
+    return _bound(F.regexp_replace(m, "[^0-9]", ""), renamed)
+
+
+def _ip6(key: str, m: Column) -> Column:
+    """Eight groups, or at least three around a double colon; both halves are permuted, and the result has all groups."""
+    side = lambda i: F.filter(F.split(F.get(F.split(m, "::"), F.lit(i)), ":"), lambda x: x != "")
+    left, right = side(0), F.when(m.contains("::"), side(1)).otherwise(F.array().cast("array<string>"))
+    groups = F.concat(left, F.array_repeat(F.lit("0"), 8 - F.size(left) - F.size(right)), right)
+    number = lambda g, i: F.conv(F.get(g, F.lit(i)), 16, 10).cast("long") * 65536 + F.conv(F.get(g, F.lit(i + 1)), 16, 10).cast("long")
+
+    def renamed(g: Column) -> Column:
+        halves = [feistel(key, f"ip6-{i}", number(g, i), number(g, i + 2), 1 << 32, 1 << 32) for i in (0, 4)]
+        hexed = lambda n: F.concat_ws(":", F.lower(F.hex(F.floor(n / 65536))), F.lower(F.hex(n % 65536)))
+        return F.concat_ws(":", *[_bound(h, lambda s: F.concat_ws(":", hexed(s["a"]), hexed(s["b"]))) for h in halves])
+
+    enough = (F.size(left) + F.size(right)).between(3, 8) & (m.contains("::") | (F.size(left) == 8)) & m.rlike("[0-9]")
+    return F.when(enough & (F.size(left) + F.size(right) <= F.when(m.contains("::"), 7).otherwise(8)), _bound(groups, renamed)).otherwise(m)
+
+
 def _ip(key: str, m: Column) -> Column:
     def renamed(o: Column) -> Column:
         out = feistel(key, "ip", o[0] * 256 + o[1], o[2] * 256 + o[3], 1 << 16, 1 << 16)
@@ -111,25 +164,55 @@ def _ssn(key: str, m: Column) -> Column:
     return F.when(m.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"), new).otherwise(m)
 
 
-def _date(key: str, m: Column) -> Column:
+def _other_day(key: str, day: Column, write) -> Column:
+    """write(another date) for a date of the permuted ones, else null."""
+
     def renamed(n: Column) -> Column:
         out = feistel(key, "date", F.floor(n / DAYS[1]), n % DAYS[1], *DAYS)
-        new = _bound(out, lambda s: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (s["a"] * DAYS[1] + s["b"]).cast("int")), "yyyy-MM-dd"))
-        return F.when(n.between(0, DAYS[0] * DAYS[1] - 1), new).otherwise(m)
+        new = _bound(out, lambda s: F.date_add(F.lit(FIRST_DAY).cast("date"), (s["a"] * DAYS[1] + s["b"]).cast("int")))
+        return F.when(n.between(0, DAYS[0] * DAYS[1] - 1), _bound(new, write))
+
+    return _bound(F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long"), renamed)
+
+
+def _date(key: str, m: Column) -> Column:
+    return F.coalesce(_other_day(key, m.try_cast("date"), lambda d: F.date_format(d, "yyyy-MM-dd")), m)
+
+
+def _day(key: str, m: Column) -> Column:
+    """Month, day and year between slashes, or day first where that is no date; day, month and year between dots. Single digits stay single where they can."""
+    p = F.split(m, "[/.]")
+    date = lambda month, day: F.concat_ws("-", p[2], _padded(month, 2), _padded(day, 2)).try_cast("date")
+
+    def written(first: str, second: str):
+        number = lambda d, part, i: F.when(F.length(p[i]) == 1, F.date_format(d, part[0])).otherwise(F.date_format(d, part))
+        return lambda d: F.concat(number(d, first, 0), F.substring(m, F.length(p[0]) + 1, F.lit(1)), number(d, second, 1), F.substring(m, F.length(p[0]) + 1, F.lit(1)), F.date_format(d, "yyyy"))
+
+    american = F.when(m.contains("/"), _other_day(key, date(p[0], p[1]), written("MM", "dd")))
+    return F.coalesce(american, _other_day(key, date(p[1], p[0]), written("dd", "MM")), m)
+
 
-    return F.coalesce(_bound(F.datediff(m.try_cast("date"), F.lit(FIRST_DAY).cast("date")).cast("long"), renamed), m)
+def _rest(text: Column) -> Column:
+    """A number with letters as 10 to 35 modulo 97."""
+    step = lambda acc, c: F.when(c.between("0", "9"), (acc * 10 + (F.ascii(c) - 48)) % 97).otherwise((acc * 100 + (F.ascii(c) - 55)) % 97)
+    return F.aggregate(F.split(text, ""), F.lit(0), step)
 
 
 def _iban(key: str, m: Column) -> Column:
-    """Two letters, two check digits and a number of digits; the check digits are worked out anew."""
-    country = F.concat((F.ascii(F.substring(m, 1, 1)) - 55).cast("string"), (F.ascii(F.substring(m, 2, 1)) - 55).cast("string"))
-    rest = lambda number, check: F.concat(number, country, check).try_cast("decimal(38,0)") % F.lit(97).cast("decimal(38,0)")
+    """An account's digits are permuted, its letters stay, the check digits are worked out anew. Of groups, the most that prove valid."""
 
-    def renamed(number: Column) -> Column:
-        checked = lambda new: F.concat(F.substring(m, 1, 2), _padded((98 - rest(new, F.lit("00"))).cast("int"), 2), new)
-        return F.when(rest(number, F.substring(m, 3, 2)) == 1, _bound(_permuted_digits(key, "iban", number), checked)).otherwise(m)
+    def renamed(x: Column) -> Column:
+        account = F.substring(x, F.lit(5), F.length(x) - 4)
+        digits = F.regexp_replace(account, "[A-Z]", "")
+        new = F.when(F.length(digits) > 1, _refilled(account, _permuted_digits(key, "iban", digits))).otherwise(account)
+        check = lambda a: F.concat(F.substring(x, 1, 2), _padded(98 - _rest(F.concat(a, F.substring(x, 1, 2), F.lit("00"))), 2), a)
+        return _bound(new, check)
 
-    return F.coalesce(_bound(F.substring(m, F.lit(5), F.length(m) - 4), renamed), m)
+    valid = lambda x: F.length(x).between(15, 34) & (_rest(F.concat(F.substring(x, F.lit(5), F.length(x) - 4), F.substring(x, 1, 4))) == 1)
+    groups = F.split(m, " ")
+    prefixes = F.when(F.size(groups) > 1, F.transform(F.sequence(F.size(groups), F.lit(1)), lambda n: F.array_join(F.slice(groups, F.lit(1), n), ""))).otherwise(F.array(m))
+    shaped = lambda x: F.concat(F.when(F.size(groups) > 1, F.trim(F.regexp_replace(renamed(x), "(.{4})", "$1 "))).otherwise(renamed(x)), F.substring(m, F.length(x) + F.when(F.size(groups) > 1, F.floor((F.length(x) - 1) / 4)).otherwise(0).cast("int") + 1, F.length(m)))
+    return F.coalesce(_bound(F.get(F.filter(prefixes, valid), F.lit(0)), lambda x: F.when(x.isNotNull(), shaped(x))), m)
 
 
 def _email(key: str, m: Column) -> Column:
@@ -148,7 +231,7 @@ def _pseudonym(key: str, m: Column) -> Column:
     full = lambda kind: m.rlike("^(?:" + PATTERNS[kind] + ")$")
     makers = {
         "email": _email, "key": lambda k, x: F.concat(F.lit("AKIA"), F.upper(F.substring(_digest(k, "key", x), 1, 16))), "secret": _secret,
-        "ip": _ip, "phone": _phone, "ssn": _ssn, "date": _date, "iban": _iban, "card": _card,
+        "ip6": _ip6, "ip": _ip, "phone": _phone, "abroad": _abroad, "ssn": _ssn, "date": _date, "day": _day, "iban": _iban, "card": _card,
     }
     return reduce(lambda other, kind: F.when(full(kind), makers[kind](key, m)).otherwise(other), reversed(list(PATTERNS)), m)
 
@@ -156,15 +239,15 @@ def _pseudonym(key: str, m: Column) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str | None = None) -> DataFrame:
     """docs with findings in `text` replaced; `count` names a column for the number of replacements.
 
-    Findings that don't prove valid stay. Null and empty texts stay as they are, with count 0; all other columns and all
+    Findings that don't prove valid stay, and so do cards of 19 digits in groups. Null and empty texts stay as they are, with count 0; all other columns and all
     rows stay, repeated ones too; an empty table gives an empty result. Keep the key secret: it undoes linkage only by being lost.
     """
     if count is not None and count in docs.columns:
         raise ValueError(f"{count} is a column already")
-    value = F.col(f"`{text}`")
+    value, held = F.col(f"`{text}`"), next(n for n in ("__pairs", *(f"__pairs{i}" for i in range(len(docs.columns)))) if n not in docs.columns)
     pairs = F.transform(F.regexp_extract_all(value, F.lit(PATTERN), F.lit(0)), lambda m: F.struct(m.alias("old"), _pseudonym(key, m).alias("new")))
-    out = docs.withColumn("__pairs", F.when(value.rlike("[0-9@=:]") & value.rlike(PATTERN), pairs))
-    joined = F.array_join(F.zip_with(F.split(value, PATTERN, -1), F.concat("__pairs.new", F.array(F.lit(""))), lambda gap, m: F.concat(gap, m)), "")
-    changed = F.size(F.filter("__pairs", lambda x: x["old"] != x["new"]))
-    columns = [F.when(F.col("__pairs").isNull(), value).otherwise(joined).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*columns, *([F.when(F.col("__pairs").isNull(), 0).otherwise(changed).alias(count)] if count else []))
+    out = docs.withColumn(held, F.when(value.rlike("[0-9@=:]") & value.rlike(PATTERN), pairs))
+    joined = F.array_join(F.zip_with(F.split(value, PATTERN, -1), F.concat(F.col(held)["new"], F.array(F.lit(""))), lambda gap, m: F.concat(gap, m)), "")
+    changed = F.size(F.filter(held, lambda x: x["old"] != x["new"]))
+    columns = [F.when(F.col(held).isNull(), value).otherwise(joined).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*columns, *([F.when(F.col(held).isNull(), 0).otherwise(changed).alias(count)] if count else []))
