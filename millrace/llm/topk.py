@@ -1,13 +1,16 @@
 """Exact top-k by inner product as a Voronoi kNN join.
 
-Data are grouped by nearest pivot; of each cell its size and radius are summarised. From the summaries alone every query has
-a lower bound of its k-th best score: a cell's members score at least q.p - |q| * radius. A vector x of cell p scores at most
-q.p + |q| * |x - p|, so a group of queries needs only those at a distance of at least the group's bound for that cell. Data are
-replicated to the groups that need them, in blocks, solved locally, and the blocks' results merged.
+Data are grouped by nearest pivot; of each cell its size, its radius and the distances of its k + 1 members nearest the pivot are
+summarised. From the summaries alone every query has a lower bound of its k-th best score: a vector x of cell p scores
+q.p - |q| * |x - p| at least, so the best of these bounds count. It scores q.p + |q| * |x - p| at most, so a group of queries
+needs only vectors at a distance from their pivot of at least the group's bound for that cell. Data are replicated to the groups
+that need them - once a group, and there are as many groups as blocks of queries -, solved locally, and the results merged.
+Where vectors have no clusters at all no distance rules a vector out, and every group needs every vector.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,25 +21,28 @@ from pyspark.sql import functions as F
 from .shared import slices, stored
 from .vectors import matrix, sample, spread, usable
 
-SAMPLE, PIVOTS = 4096, 64
+#: Fewest and most pivots, and vectors of the sample for each of them.
+LEAST_PIVOTS, MOST_PIVOTS, SAMPLED = 64, 1024, 16
 #: Queries and vectors that a block holds.
-QUERY_BLOCK, DATA_BLOCK = 1024, 16_384
+QUERY_BLOCK, DATA_BLOCK = 4096, 16_384
 
 
-def top_k(vectors: DataFrame, queries_where: str, k: int = 10, scale: int = 1024) -> DataFrame:
+def top_k(vectors: DataFrame, queries_where: str, k: int = 10, scale: int = 1024, told: dict | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) of vectors(vec_id, embedding): each query's k highest scores, ties to the smaller vec_id.
 
     Components become floor(scale * x); the score is their inner product, exact up to 2**53. A query's own row is no
     candidate. Vectors that are null or hold null or non-finite components take no part; of unequal lengths, the shorter is
     filled with zeros; rows without vec_id are left out; repeated rows of a vec_id are candidates each, but for queries of
-    that id; with fewer than k candidates all are returned; an empty table gives an empty result.
+    that id; with fewer than k candidates all are returned; an empty table gives an empty result. told, if given, is told the
+    numbers of vectors, groups and vectors sent to groups.
     """
     spark = vectors.sparkSession
     rows = vectors.where(F.col("vec_id").isNotNull() & usable("embedding"))
     rows = rows.select(F.col("vec_id").cast("long"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("x"), F.expr(f"coalesce({queries_where}, false)").alias("query"))
     rows = stored(rows, "vectors")
-    dim = rows.agg(F.max(F.size("x"))).first()[0] or 0
-    points = spread(sample(rows, "vec_id", "x", SAMPLE), PIVOTS)
+    count, dim = rows.agg(F.count("*"), F.coalesce(F.max(F.size("x")), F.lit(0))).first()
+    wanted = min(MOST_PIVOTS, max(LEAST_PIVOTS, round(math.sqrt(count) / 4)))
+    points = spread(sample(rows, "vec_id", "x", SAMPLED * wanted), wanted)
     points = np.pad(points, ((0, 0), (0, dim - points.shape[1]))) if len(points) else np.zeros((1, dim))
     half = (points**2).sum(1) / 2
 
@@ -48,23 +54,23 @@ def top_k(vectors: DataFrame, queries_where: str, k: int = 10, scale: int = 1024
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cell.astype(np.int32)), pa.array(away), b.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["vec_id", "cell", "away", "query", "x"])
 
     placed = stored(rows.mapInArrow(place, "vec_id long, cell int, away double, query boolean, x binary"), "cells")
-    summary = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()  # a row for each pivot at most
+    summary = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).orderBy("cell").collect()  # a row for each pivot at most
     cells = np.array([r["cell"] for r in summary], np.int64)
-    sizes, radius = np.array([r["n"] for r in summary], np.int64), np.array([r["radius"] for r in summary])
     asked = placed.where("query").count()
-    groups = min(len(points), max(4, -(-asked // QUERY_BLOCK)))
+    groups = min(len(points), max(1, -(-asked // QUERY_BLOCK)))
+    place_in_cell = F.row_number().over(Window.partitionBy("cell").orderBy("away"))
+    nearest = placed.select("cell", "away").withColumn("n", place_in_cell).where(F.col("n") <= k + 1).select("cell", "away").collect()  # k + 1 numbers a pivot at most
+    index = {c: i for i, c in enumerate(cells.tolist())}
+    near_cell, near_away = np.array([index[r["cell"]] for r in nearest], np.int64), np.array([r["away"] for r in nearest])
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 2048):
-            if not len(b):
-                continue
+        for b in slices(batches, 256):
             q = np.frombuffer(b"".join(b.column(1).to_pylist())).reshape(len(b), dim)
             to, length = q @ points[cells].T, np.sqrt((q * q).sum(1))
-            least = to - length[:, None] * radius
-            order = np.argsort(-least, axis=1)
-            enough = np.cumsum(sizes[order], axis=1) > k  # one more than k: the query itself may be among them
-            at = np.where(enough.any(1), enough.argmax(1), 0)
-            kth = np.where(enough.any(1), np.take_along_axis(least, order, 1)[np.arange(len(q)), at], -np.inf)
+            least = to[:, near_cell] - length[:, None] * near_away
+            kth = np.full(len(q), -np.inf)
+            if least.shape[1] > k:  # one more than k: the query itself may be among them
+                kth = np.partition(least, least.shape[1] - k - 1, axis=1)[:, least.shape[1] - k - 1]
             with np.errstate(divide="ignore", invalid="ignore"):
                 need = np.where(length[:, None] > 0, (kth[:, None] - to) / length[:, None], -np.inf)
             need = np.where(np.isfinite(need), need - 1e-9 * np.abs(need) - 1e-6, -1.0)
@@ -74,8 +80,11 @@ def top_k(vectors: DataFrame, queries_where: str, k: int = 10, scale: int = 1024
     queries = stored(placed.where("query").select("vec_id", "x").mapInArrow(bound, "query_id long, group int, need array<double>, q binary"), "queries")
     at_cell = F.posexplode("need").alias("i", "need")
     names = F.array(*[F.lit(int(c)) for c in cells]) if len(cells) else F.array().cast("array<int>")
-    needs = queries.select("group", at_cell).groupBy("group", "i").agg(F.min("need").alias("need")).select("group", F.get(names, F.col("i")).alias("needed_cell"), "need")  # groups x pivots rows at most
+    radius = F.array(*[F.lit(float(r["radius"])) for r in summary]) if summary else F.array().cast("array<double>")
+    needs = queries.select("group", at_cell).groupBy("group", "i").agg(F.min("need").alias("need")).where(F.col("need") <= F.get(radius, F.col("i"))).select("group", F.get(names, F.col("i")).alias("needed_cell"), "need")  # groups x pivots rows at most
     sent = stored(placed.join(F.broadcast(needs), (F.col("cell") == F.col("needed_cell")) & (F.col("away") >= F.col("need"))).select("group", "vec_id", "x"), "sent")
+    if told is not None:
+        told |= {"vectors": count, "groups": groups, "sent": sent.count()}
     blocks = lambda df, size: df.groupBy("group").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
     shape = blocks(queries, QUERY_BLOCK).withColumnRenamed("blocks", "query_blocks").join(blocks(sent, DATA_BLOCK).withColumnRenamed("blocks", "data_blocks"), "group")
     shape = F.broadcast(spark.createDataFrame(shape.collect(), "group int, query_blocks int, data_blocks int"))  # a row for each group

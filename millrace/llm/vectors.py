@@ -33,12 +33,16 @@ def sample(vectors: DataFrame, id_column: str, column: str, most: int) -> np.nda
     return matrix(rows.column(0), max(sizes)) if len(rows) else np.zeros((0, 0))
 
 
-def spread(rows: np.ndarray, count: int) -> np.ndarray:
-    """Up to `count` of the rows, each the farthest from those chosen before, so that a crowd gives few."""
+def spread(rows: np.ndarray, count: int, seed: int = 5) -> np.ndarray:
+    """Up to `count` different ones of the rows, each drawn with a weight of its squared distance from those drawn before: a crowd gives few, an outlier is no likelier than it is far."""
     if not len(rows):
         return rows
-    chosen, gap = [0], ((rows - rows[0]) ** 2).sum(1)
+    rng, square = np.random.default_rng(seed), (rows**2).sum(1)
+    apart = lambda i: np.maximum(0.0, square + square[i] - 2 * (rows @ rows[i]))
+    chosen, gap = [0], apart(0)
     while len(chosen) < count and gap.max() > 1e-12:
-        chosen.append(int(gap.argmax()))
-        gap = np.minimum(gap, ((rows - rows[chosen[-1]]) ** 2).sum(1))
+        total = np.cumsum(gap * (gap > 1e-12))
+        chosen.append(int(np.searchsorted(total, rng.random() * total[-1], side="right")))
+        gap = np.minimum(gap, apart(chosen[-1]))
+        gap[chosen[-1]] = 0.0
     return rows[chosen]

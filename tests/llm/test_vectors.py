@@ -65,6 +65,39 @@ def test_top_k(crowd, monkeypatch):
     assert sorted(tuple(r) for r in topk.top_k(frame, "vec_id % 20 = 0", 10).collect()) == want
 
 
+def test_top_k_sends_what_groups_need(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 10)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(60, 24)) * 4
+    rows = np.concatenate([centres[rng.integers(0, 60, 2900)] + rng.normal(size=(2900, 24)) * 0.1, rng.normal(size=(100, 24))])
+    frame, told = spark.createDataFrame([(i, x) for i, x in enumerate(rows.tolist())], "vec_id long, embedding array<double>"), {}
+    got = sorted(tuple(r) for r in topk.top_k(frame, "vec_id % 10 = 0", 10, told=told).collect())
+    assert got == sorted(plain_top(dict(enumerate(rows)), range(0, 3000, 10), 10))
+    assert told["vectors"] == 3000 and told["groups"] == 30 and told["sent"] < 0.2 * 30 * 3000
+
+
+@pytest.mark.parametrize("pivots", [64, 256, 1024, 4096])
+def test_recall_with_any_number_of_pivots(pivots):
+    """Pairs with a cosine of exactly 0.9 in 64 unrelated dimensions that share two of their nearest pivots."""
+    rng = np.random.default_rng(7)
+    x, z, points = (embeddings._unit(rng.normal(size=(n, 64))) for n in (2000, 2000, pivots))
+    z = embeddings._unit(z - (z * x).sum(1)[:, None] * x)
+    order = [np.argsort(-(v @ points.T), axis=1, kind="stable")[:, : embeddings.near_for(pivots)] for v in (x, 0.9 * x + math.sqrt(0.19) * z)]
+    assert ((order[0][:, :, None] == order[1][:, None, :]).any(2).sum(1) >= 2).mean() > 0.99
+
+
+def test_near_duplicates_of_floats(spark):
+    rng = np.random.default_rng(8)
+    rows = rng.normal(size=(400, 12)).astype("f4")
+    rows[200:300] = rows[:100] + rng.normal(size=(100, 12)).astype("f4") * np.float32(0.1)
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(rows.tolist())], "vec_id long, embedding array<float>").selectExpr("*", "1 AS h1", "2 AS list")
+    unit = embeddings._unit(rows.astype(float))
+    near = unit @ unit.T >= 0.9
+    np.fill_diagonal(near, False)
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(frame).collect()}
+    assert sum(got.values()) >= 0.99 * near.sum() and all(n <= near[i].sum() for i, n in got.items())
+
+
 def test_top_k_edges(spark):
     frame = spark.createDataFrame(VECTORS, "vec_id long, embedding array<double>")
     good = {1: [1.0, 0.0], 2: [1.0, 0.01], 3: [0.0, 1.0], 5: [0.0, 0.0], 8: [1.0, 0.0], 10: [0.0, 0.0], 11: [2.0, 0.0]}
