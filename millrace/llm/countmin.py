@@ -10,7 +10,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 
 from .scan import mixed
@@ -19,7 +18,7 @@ from .shared import slices
 ROWS = 2
 SHARD_BITS = 20
 #: Cells that are sorted at once.
-HELD = 1 << 22
+HELD = 1 << 21
 
 
 def _cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -27,15 +26,22 @@ def _cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
 
 
 def _coded(cells: np.ndarray, twice: np.ndarray) -> bytes:
-    """Ascending cells of one shard and whether each was counted twice: gaps and flags, byte plane by byte plane."""
+    """Ascending cells of one shard and whether each was counted twice: gaps as Rice codes - high parts unary, low bits, flags, one after the other."""
     gaps = np.diff(cells, prepend=cells[0] >> SHARD_BITS << SHARD_BITS)
-    return zstandard.compress(((gaps << 1) | twice).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    k = max(0, int(math.log2(0.69 * (1 << SHARD_BITS) / len(cells))))
+    unary = np.zeros(int((gaps >> k).sum()) + len(cells), np.uint8)
+    unary[np.cumsum((gaps >> k) + 1) - 1] = 1
+    low = (gaps[:, None] >> np.arange(k) & 1).astype(np.uint8)
+    return np.array([len(cells), k, len(unary)], "<u4").tobytes() + b"".join(np.packbits(x).tobytes() for x in (unary, low.ravel(), twice))
 
 
 def _decoded(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8)
-    code = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
-    return np.cumsum(code >> 1, dtype=np.int64), (code & 1).astype(bool)
+    n, k, unary = np.frombuffer(data, "<u4", 3).tolist()
+    sizes = [-(-x // 8) for x in (unary, n * k, n)]
+    at = np.cumsum([12, *sizes])
+    high, low, twice = (np.unpackbits(np.frombuffer(data, np.uint8, size, a), count=x) for a, size, x in zip(at, sizes, (unary, n * k, n), strict=False))
+    gaps = (np.diff(np.flatnonzero(high), prepend=-1) - 1 << k) + low.reshape(n, k).astype(np.int64) @ (1 << np.arange(k))
+    return np.cumsum(gaps), twice.astype(bool)
 
 
 def sketch(table: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> np.ndarray:

@@ -3,7 +3,7 @@
 What decides a packing is how many pieces there are of each length, at most `limit` numbers: the plan is made from them,
 as patterns of lengths with multiplicities. Gaps are filled exactly from an index of single, pair and triple length sums
 under availability counts; what is left is placed best-fit, longest first. Every step uses up a length or a kind of gap,
-so plans stay small while the corpus grows. Pieces then take their places by their rank among those of their length.
+so plans stay small while the corpus grows. Pieces then take their places by their rank among those of their length, in three levels.
 """
 
 from __future__ import annotations
@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import slices, stored
+from .shared import slices, small_batches, stored
 from .tokens import encoder
 
-#: Pieces of one length that are ranked together.
-RANKED = 512
+#: Pieces of one length that are ranked together, and how many such blocks are counted together.
+RANKED, BLOCKS = 512, 4096
 
 
 def token_pieces(docs: DataFrame, path: str, end_id: int, limit: int, with_ids: bool = False) -> DataFrame:
@@ -100,7 +100,7 @@ def plan(counts: dict[int, int], limit: int) -> list[tuple[tuple[int, ...], int]
 def pack(pieces: DataFrame, limit: int) -> DataFrame:
     """pieces(length, ...) with sequence_id and offset: no sequence is longer than `limit`, offsets have no gaps.
 
-    pieces must read the same rows each time (a stored table). No pieces give an empty result.
+    pieces must read the same rows each time (a stored table) and have doc_id and piece. No pieces give an empty result.
     """
     spark = pieces.sparkSession
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # `limit` rows at most
@@ -115,8 +115,11 @@ def pack(pieces: DataFrame, limit: int) -> DataFrame:
     slot = spark.createDataFrame(slots, "slot_length long, low long, high long, base long, offset long")
     blocks = spark.createDataFrame([(n, -(-c // RANKED)) for n, c in counts.items()], "length long, blocks long")
     dealt = pieces.join(F.broadcast(blocks), "length").withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), "blocks")).drop("blocks")
-    before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = dealt.groupBy("length", "block").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    running = lambda over: F.coalesce(F.sum("n").over(over), F.lit(0))
+    bases = dealt.groupBy("length", "block").agg(F.count("*").alias("n")).withColumn("upper", F.floor(F.col("block") / BLOCKS))
+    uppers = bases.groupBy("length", "upper").agg(F.sum("n").alias("n")).withColumn("first", running(before("length").orderBy("upper"))).drop("n")
+    bases = bases.withColumn("within", running(before("length", "upper").orderBy("block"))).join(uppers, ["length", "upper"]).select("length", "block", (F.col("first") + F.col("within")).alias("before"))
     ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("length", "block").orderBy("doc_id", "piece")) - 1).join(bases, ["length", "block"]).withColumn("rank", F.col("rank") + F.col("before"))
     placed = ranked.join(F.broadcast(slot), (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     return placed.select(*pieces.columns, (F.col("base") + F.col("rank")).alias("sequence_id"), F.col("offset"))
@@ -124,4 +127,6 @@ def pack(pieces: DataFrame, limit: int) -> DataFrame:
 
 def pack_documents(docs: DataFrame, path: str, end_id: int, limit: int = 1024, with_ids: bool = False) -> DataFrame:
     """token_pieces() of docs with their places by pack()."""
-    return pack(stored(token_pieces(docs, path, end_id, limit, with_ids), "pieces"), limit)
+    with small_batches(docs.sparkSession):
+        pieces = stored(token_pieces(docs, path, end_id, limit, with_ids), "pieces")
+    return pack(pieces, limit)

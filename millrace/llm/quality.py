@@ -95,11 +95,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, most_bytes: i
     known = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("label_id"), "quality").distinct()
     counts = {r[0]: r[1] for r in known.groupBy("quality").count().collect()}
     rate = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
+    picked = [known.where(F.col("quality") == q).orderBy(F.xxhash64("label_id"), "label_id").limit(per_class) for q in (0, 1)]
+    picked = F.broadcast(picked[0].union(picked[1]))  # 2 * per_class rows at most
+    sample = docs.join(picked, F.col("doc_id") == F.col("label_id")).where(F.octet_length("text").between(1, most_bytes)).select("doc_id", "text", "quality")
     texts: dict[int, list[bytes]] = {0: [], 1: []}
-    for quality in texts:
-        picked = known.where(F.col("quality") == quality).orderBy(F.xxhash64("label_id"), "label_id").limit(per_class)
-        sample = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("label_id")).where(F.octet_length("text").between(1, most_bytes)).select("doc_id", "text")
-        texts[quality] = [r["text"].encode() for r in sorted(sample.collect())]
+    for r in sorted(sample.collect()):
+        texts[r["quality"]].append(r["text"].encode())
     if min(map(len, texts.values())) < 4:
         return Model(b"", b"", np.zeros(3), np.ones(3), np.r_[np.log(rate / (1 - rate)), np.zeros(8)])
     model = Model(_dictionary(texts[1][::2], dictionary), _dictionary(texts[0][::2], dictionary), np.zeros(3), np.ones(3), np.zeros(9))

@@ -17,7 +17,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import new_path, slices, stored
+from .shared import new_path, slices, small_batches, stored
 from .tokens import encoder
 
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n", "<u8")])
@@ -98,12 +98,13 @@ def parse(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, list[np.ndarray
     return head["doc_id"], [raw[b : b + int(h["n"]) * int(h["width"])].view(f"<u{h['width']}") for b, h in zip(begin, head, strict=True)]
 
 
-def write_records(docs: DataFrame, path: str, end_id: int, folder: str | None = None) -> DataFrame:
+def write_records(docs: DataFrame, path: str, end_id: int, folder: str | None = None, shard_bytes: int = 1 << 28) -> DataFrame:
     """Writes docs(doc_id, text) in ascending doc_id order and returns the manifest, one row a shard.
 
     Manifest: shard, records_path, index_path, n_records, n_ids, start (ids in earlier shards). Shards are ranges of doc_id;
     a task names its files anew and only files in the manifest count, so lost or repeated tasks do no harm. Null texts count
-    as empty; rows without doc_id are left out; repeated rows have records each; no rows give an empty manifest.
+    as empty; rows without doc_id are left out; repeated rows have records each; no rows give an empty manifest. There are as
+    many shards as shuffle partitions, or more so that each has about `shard_bytes` of text at most.
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "records")
@@ -135,9 +136,11 @@ def write_records(docs: DataFrame, path: str, end_id: int, folder: str | None =
             yield pa.RecordBatch.from_pylist([{"shard": shard, "records_path": f"{folder}/{name}.rec", "index_path": f"{folder}/{name}.idx", "n_records": len(table), "n_ids": int(table["n"].sum())}])
 
     kept = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
     sorted_docs = kept.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    manifest = stored(sorted_docs.mapInArrow(run, "shard long, records_path string, index_path string, n_records long, n_ids long"), "manifest")
+    with small_batches(spark, 256):
+        manifest = stored(sorted_docs.mapInArrow(run, "shard long, records_path string, index_path string, n_records long, n_ids long"), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
@@ -161,5 +164,4 @@ def read_records(manifest: DataFrame, at_once: int = 256) -> DataFrame:
                         crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
                         yield pa.RecordBatch.from_arrays([pa.array(doc_ids.astype(np.int64)), pa.array(starts[i : i + at_once]), pa.array([len(x) for x in ids], pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    parts = max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return manifest.repartition(parts, "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.repartition(max(1, manifest.count())).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .countmin import bits_for, counted_twice, sketch
 from .scan import Table, mixed, runs_hash, word_hashes, word_slices
-from .shared import broadcast_if_small, slices, stored
+from .shared import broadcast_if_small, slices, small_batches, stored
 
 #: Windows that a task remembers to report once, and words that are looked at together.
 REMEMBERED, AT_ONCE = 2_000_000, 1 << 18
@@ -133,15 +133,19 @@ def drop_repeats(docs: DataFrame, width: int = 35, most_bits: int = 30) -> DataF
     words by one space.
     """
     spark = docs.sparkSession
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("digest"), F.col("text").cast("string").alias("text"))
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    again = stored(texts.groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("again")), "again")
+    digest = F.when(F.col("again"), F.xxhash64("text")).otherwise(0)  # where doc_id alone doesn't tell rows apart
+    texts = texts.join(broadcast_if_small(again), "doc_id", "left").select("doc_id", digest.alias("digest"), "text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = bits_for(size / 6.5, most_bits)
-    merged = spark.sparkContext.broadcast(sketch(texts, lambda b: (w.hashes for w in windows(b.column(2), width)), bits))
-    reports = _reports(texts, width, bits, merged)
-    total = F.sum("n").over(Window.partitionBy("h1", "h2"))
-    covered = reports.withColumn("total", total).where("total > 1 and length > 0").groupBy("doc_id", "digest").agg(F.collect_list(F.struct("place", "length")).alias("runs"))
-    covered = stored(covered.select("doc_id", "digest", F.col("runs.place").alias("places"), F.col("runs.length").alias("lengths")), "covered")
-    merged.destroy()
+    with small_batches(spark):
+        bits = bits_for(size / 6.5, most_bits)
+        merged = spark.sparkContext.broadcast(sketch(texts, lambda b: (w.hashes for w in windows(b.column(2), width)), bits))
+        reports = _reports(texts, width, bits, merged)
+        total = F.sum("n").over(Window.partitionBy("h1", "h2"))
+        covered = reports.withColumn("total", total).where("total > 1 and length > 0").groupBy("doc_id", "digest").agg(F.collect_list(F.struct("place", "length")).alias("runs"))
+        covered = stored(covered.select("doc_id", "digest", F.col("runs.place").alias("places"), F.col("runs.length").alias("lengths")), "covered")
+        merged.destroy()
     keys = broadcast_if_small(covered.select("doc_id", "digest"))  # texts that lose nothing aren't shuffled
     hit = texts.join(keys, ["doc_id", "digest"], "left_semi").join(covered, ["doc_id", "digest"]).select("doc_id", "text", "places", "lengths")
     rest = texts.join(keys, ["doc_id", "digest"], "left_anti").select("doc_id", "text", F.lit(None).cast("array<int>").alias("places"), F.lit(None).cast("array<int>").alias("lengths"))

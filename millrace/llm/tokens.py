@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 from .scan import Table, buffers, bytes_hash
 
 #: Words that a worker remembers; beyond it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 #: Bytes of a text that are read at once.
 AT_ONCE = 1 << 20
 #: One space or line feed between two characters that are no white space: no piece of the tokenizers below reaches across it.

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -12,6 +14,7 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from millrace.llm import countmin, licenses, mixing, packing, pii, quality, queries, records, simhash, substrings, tokens
@@ -288,6 +291,35 @@ def test_quality(spark, docs, edges, nothing):
     assert {r.score for r in quality.score(edges, constant).collect()} == {0.5}
 
 
+def test_quality_against_plain_scores(spark, docs, texts):
+    import zstandard
+
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    model = quality.fit(docs, labels)
+    known = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    good, bad = ([texts[i].encode() for i in sorted(known) if known[i] == q and 0 < len(texts[i].encode()) <= 1 << 16] for q in (1, 0))
+    assert model.good == quality._dictionary(good[::2], 112_640) and model.bad == quality._dictionary(bad[::2], 112_640)
+    size = lambda x, d=None: len(zstandard.ZstdCompressor(level=3, **({"dict_data": zstandard.ZstdCompressionDict(d)} if d else {})).compress(x))
+
+    def features(x):
+        g, b, plain, n = size(x, model.good), size(x, model.bad), size(x), len(x)
+        return np.array([(b - g) / (n + 1), (b - g) / (plain + 20), np.log((plain + 20) / (n + 20))])
+
+    kept = np.array([features(x) for x in [*good[1::2], *bad[1::2]]])
+    mean, scale = kept.mean(0), kept.std(0) + 1e-9
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    for i, t in texts.items():
+        x = np.clip((features(t.encode()) - mean) / scale, -6, 6)
+        z = model.weights @ [1, *x, *x**2, x[0] * x[2], x[1] * x[2]]
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+    x = np.clip((kept - mean) / scale, -6, 6)  # the weights: no step makes the calibration's penalised loss smaller
+    terms, y = np.c_[np.ones(len(x)), x, x**2, x[:, 0] * x[:, 2], x[:, 1] * x[:, 2]], np.r_[np.ones(len(good[1::2])), np.zeros(len(bad[1::2]))]
+    rate = (sum(known.values()) + 1) / (len(known) + 2)
+    w = model.weights - np.r_[np.log(rate / (1 - rate)) - np.log(y.mean() / (1 - y.mean())), np.zeros(8)]
+    slope = terms.T @ (1 / (1 + np.exp(-terms @ w)) - y) + np.r_[1e-6, np.ones(8)] * w
+    assert np.abs(slope).max() < 1e-4
+
+
 def test_mixing(spark, docs, texts, edges, nothing):
     rows = queries.op5_mixing(spark, DATA).collect()
     sources = {r.doc_id: r.source for r in docs.collect()}
@@ -347,6 +379,23 @@ def test_pii(spark, edges, nothing):
     assert same[8] == "é ß ü 日本語 <|endoftext|> x" and pii.pseudonymise(edges, "k").columns == edges.columns and pii.pseudonymise(nothing, "k").count() == 0
 
 
+def test_pii_against_python(spark, docs, texts):
+    sys.path.insert(0, os.path.dirname(__file__))
+    import plain_pii
+
+    got = {r.doc_id: (r.text, r.n_replaced) for r in queries.op2_pii(spark, DATA).collect()}
+    assert len(got) == docs.count() and got == {i: plain_pii.pseudonymise(t, queries.PII_KEY) for i, t in texts.items()}
+    assert sum(n for _, n in got.values()) > 10
+    odd = [
+        "4111 1111 1111 1111 12/27", "12 4111 1111 1111 1111", "4111111111111111 123", "1111 4111 1111 1111 1112 5555 5555 5555 4444 0000", "3782 822463 10005", "4111-1111-1111-1112", "6011000990139424 4111 11111111 1111",
+        "on 2024-02-29 and 1850-07-01 and 2/29/2024, 31/12/2023, 30.6.1999, 31.02.2024, 1799-01-01", "GB82 WEST 1234 5698 7654 32 ABCD and GB82WEST12345698765432 DE89 3704 0044 0532 0130 00, FR1420041010050500013M02606",
+        "+44 20 7946 0958, +49 (30) 901820, +1 (207) 555-7294, +7 12", "2001:db8::8a2e:370:7334 and 2001:0db8:0000:0000:0000:8a2e:0370:7334 std::vector fe80::1 12:30:45 1:2:3:4:5:6:7:8 a::b:c",
+    ]
+    rows = pii.pseudonymise(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").withColumn("__pairs", F.lit(1)), "k", count="n").orderBy("doc_id").collect()
+    assert [(r.text, r.n) for r in rows] == [plain_pii.pseudonymise(t, "k") for t in odd] and rows[0]["__pairs"] == 1
+    assert rows[0].text.endswith(" 12/27") and "1111" not in rows[1].text and "5555" not in rows[3].text and rows[7].n == 5 and rows[8].n == 4 and rows[9].n == 3 and rows[10].n == 3
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
 
