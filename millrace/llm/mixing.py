@@ -101,7 +101,7 @@ def split_quotas(root: DataFrame, levels: int, seed: int) -> DataFrame:
     return nodes.select(F.col("node").alias("shard"), "quotas")
 
 
-def mix(docs: DataFrame, seed: int = 17, shard_words: int = 1 << 20, shard_blocks: int = 64) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, seed: int = 17, shard_words: int = 1 << 20, shard_blocks: int = 64, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(documents, draws) of docs(doc_id, text, source).
 
     documents: key, doc_id, source, size, source_size, target, one row per row. draws: key, shard, place (order within the
@@ -109,27 +109,29 @@ def mix(docs: DataFrame, seed: int = 17, shard_words: int = 1 << 20, shard_block
     `source_key` null-safe. A source's words drawn are its target rounded; no document is drawn more often than targets allow.
     Null and empty texts have size 0 and are never drawn; null is a source of its own; rows without doc_id take part and keep
     their null; repeated rows are rows of their own; no rows give empty results. The same rows and seed give the same draws.
+    `keep` names columns that the documents keep; with doc_id they decide the order. Each node of the tree has a number for
+    each source, and shards of a source are numbered by one task, which holds for sources up to some ten thousands.
     """
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    sizes = stored(docs.select("doc_id", F.col("source").cast("string"), word_count(F.col("text")).alias("size")), "sizes")
+    sizes = stored(docs.select("doc_id", *keep, F.col("source").cast("string"), word_count(F.col("text")).alias("size")), "sizes")
     aims = stored(targets(sizes), "targets").withColumn("words", F.round("target").cast("long"))
     total, kinds = aims.agg(F.sum("words"), F.count("*")).first()
     levels = max(3, math.ceil(math.log2(max(1, (total or 0) / shard_words))))
     block_words = max(1, -(-(total or 0) // (shard_blocks << levels)))
 
-    h = F.xxhash64(F.lit(seed), "doc_id", "size")
+    h = F.xxhash64(F.lit(seed), "doc_id", "size", *keep)
     placed = sizes.withColumn("source_key", key).withColumn("h", h).withColumn("bucket", F.pmod("h", F.lit(FAN * FAN)).cast("int"))
     before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     running = lambda over: F.coalesce(F.sum("size").over(over), F.lit(0))
     buckets = placed.groupBy("source_key", "bucket").agg(F.sum("size").alias("size")).withColumn("upper", F.floor(F.col("bucket") / FAN).cast("int"))
     uppers = buckets.groupBy("source_key", "upper").agg(F.sum("size").alias("size")).withColumn("upper_at", running(before("source_key").orderBy("upper"))).drop("size")
     buckets = buckets.withColumn("bucket_at", running(before("source_key", "upper").orderBy("bucket"))).drop("size").join(uppers, ["source_key", "upper"])
-    inner = Window.partitionBy("source_key", "bucket").orderBy("h", "doc_id")
+    inner = Window.partitionBy("source_key", "bucket").orderBy("h", "doc_id", *keep)
     placed = placed.withColumn("at", running(inner.rowsBetween(Window.unboundedPreceding, -1))).withColumn("number", F.row_number().over(inner))
     placed = placed.join(buckets.select("source_key", "bucket", (F.col("bucket_at") + F.col("upper_at")).alias("base")), ["source_key", "bucket"])
     keyed = aims.withColumn("source_key", key).select("source_key", "source_size", "target", "words")
     placed = placed.join(keyed, "source_key").withColumn("at", F.col("at") + F.col("base"))
-    documents = placed.select(F.struct("source_key", "bucket", "number").alias("key"), "source_key", "doc_id", "source", "size", "source_size", "target", "words", "at", "h")
+    documents = placed.select(F.struct("source_key", "bucket", "number").alias("key"), "source_key", "doc_id", *keep, "source", "size", "source_size", "target", "words", "at", "h")
 
     epochs = F.sequence(F.lit(0), F.lit(MOST_EPOCHS - 1))
     draws = documents.where("size > 0").select("key", "source_key", "size", "words", "h", F.explode(epochs).alias("epoch"), (F.col("epoch") * F.col("source_size") + F.col("at")).alias("at"))

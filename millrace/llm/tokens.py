@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 from .scan import Table, buffers, bytes_hash
 
 #: Words that a worker remembers; beyond it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 1_200_000
 #: Bytes of a text that are read at once.
 AT_ONCE = 1 << 20
 #: One space or line feed between two characters that are no white space: no piece of the tokenizers below reaches across it.
@@ -58,8 +58,18 @@ class Encoder:
 
     def forget(self) -> None:
         self.table, self.ids, self.used = Table(), np.zeros(1 << 16, self.dtype), 0
-        self.starts = self.counts = self.sizes = np.zeros(0, np.int32)
-        self.bytes, self.places, self.held = np.zeros(1 << 16, np.uint8), np.zeros(0, np.int64), 0
+        self.words = 0  # of each: where its ids start, how many it has, where its bytes start, how many it has
+        self.starts, self.counts, self.places, self.sizes = (np.zeros(1 << 12, t) for t in (np.int32, np.int32, np.int64, np.int32))
+        self.bytes, self.held = np.zeros(1 << 16, np.uint8), 0
+
+    def _append(self, **columns: np.ndarray) -> None:
+        """Values of new words; room doubles when it is used up."""
+        for name, new in columns.items():
+            there = getattr(self, name)
+            if self.words + len(new) > len(there):
+                there = np.r_[there, np.zeros(max(len(there), len(new)), there.dtype)]
+                setattr(self, name, there)
+            there[self.words : self.words + len(new)] = new
 
     def stretches(self, text: str) -> Iterator[str]:
         """A text in parts of about AT_ONCE characters whose ids, one after the other, are the text's."""
@@ -79,9 +89,9 @@ class Encoder:
         while self.held + len(flat) > len(self.bytes):
             self.bytes = np.r_[self.bytes, np.zeros_like(self.bytes)]
         self.bytes[self.held : self.held + len(flat)] = flat
-        self.places = np.r_[self.places, self.held + np.cumsum(sizes) - sizes]
-        self.sizes = np.r_[self.sizes, sizes.astype(np.int32)]
+        self._append(places=self.held + np.cumsum(sizes) - sizes, sizes=sizes)
         self.held += len(flat)
+        self.words += len(words)
 
     def _learn(self, words: list[str]) -> None:
         ids = np.array(self.listed.encode_batch_fast([self.mark.join(words)], add_special_tokens=False)[0].ids, np.int64)
@@ -92,8 +102,7 @@ class Encoder:
         while self.used + len(ids) > len(self.ids):
             self.ids = np.r_[self.ids, np.zeros_like(self.ids)]
         self.ids[self.used : self.used + len(ids)] = ids
-        self.starts = np.r_[self.starts, (starts + self.used).astype(np.int32)]
-        self.counts = np.r_[self.counts, (stops - starts).astype(np.int32)]
+        self._append(starts=starts + self.used, counts=stops - starts)
         self.used += len(ids)
 
     def _run(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:

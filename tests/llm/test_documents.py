@@ -95,7 +95,9 @@ def test_near_duplicates(spark, texts, edges, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
-def test_near_duplicates_past_failed_links(spark):
+@pytest.mark.parametrize("head_bytes", [1 << 26, 0])
+def test_near_duplicates_past_failed_links(spark, head_bytes, monkeypatch):
+    monkeypatch.setattr(simhash, "HEAD_BYTES", head_bytes)
     rng = np.random.default_rng(5)
     new = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
     rows, pairs = {}, []
