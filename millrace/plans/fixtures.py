@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents; those of a few files that Spark can't split are dealt out to all cores, as text work is costly."""
     docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
-    return docs if docs.rdd.getNumPartitions() >= cores // 2 else docs.repartition(2 * cores, "doc_id")
+    return docs if docs.rdd.getNumPartitions() > 2 * cores else docs.repartition(2 * cores, "doc_id")
 
 
 def _pick(names: list[str], index):
