@@ -130,16 +130,17 @@ def source_excerpt(source: Column, field: Column, value: Column, size: int = 900
     return strip(F.when(n <= size, text).otherwise(F.substring(text, (start + 1).cast("int"), F.lit(size))))
 
 
-def contains_any(c: Column, terms: Iterable[str]) -> Column:
-    lowered, found = F.lower(c), F.lit(False)
+def contains_any(c: Column, terms: Iterable[str], is_lower: bool = False) -> Column:
+    """Whether any of the terms is there; is_lower: c is lower case already."""
+    lowered, found = c if is_lower else F.lower(c), F.lit(False)
     for t in terms:
         found = found | F.contains(lowered, F.lit(t))
     return found
 
 
-def count_matches(c: Column, terms: Iterable[str]) -> Column:
-    """How many of the terms are there; terms within others count too."""
-    lowered, n = F.lower(c), F.lit(0)
+def count_matches(c: Column, terms: Iterable[str], is_lower: bool = False) -> Column:
+    """How many of the terms are there; terms within others count too; is_lower: c is lower case already."""
+    lowered, n = c if is_lower else F.lower(c), F.lit(0)
     for t in terms:
         n = n + F.contains(lowered, F.lit(t)).cast("int")
     return n

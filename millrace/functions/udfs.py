@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import json
 import re
 import unicodedata
@@ -13,7 +12,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from . import text
+from . import ratio, text
 from .spans import spans
 
 ENTRY = StructType([StructField("pos", IntegerType()), StructField("key", StringType()), StructField("value", StringType())])
@@ -28,12 +27,6 @@ def nfkd(values: pd.Series) -> pd.Series:
     return values.map(lambda s: unicodedata.normalize("NFKD", s), na_action="ignore")
 
 
-def _ratio(a: str, b: str, least: float) -> float:
-    """Matching-blocks ratio of two strings in this order; 0 where its upper bound, from the letters alone, is no more than `least`."""
-    matcher = difflib.SequenceMatcher(None, a, b)
-    return 0.0 if matcher.quick_ratio() <= least else matcher.ratio()
-
-
 @F.pandas_udf(DoubleType())
 def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-blocks ratio of two strings in this order; null for a null."""
@@ -47,11 +40,11 @@ def seq_ratio_above(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
 
 
 def ratios(a: pd.Series, b: pd.Series, least: Iterable[float]) -> pd.Series:
-    known: dict = {}  # pairs repeat within a batch
-    for pair in zip(a, b, least, strict=True):
-        if pair not in known:
-            known[pair] = None if pair[0] is None or pair[1] is None else _ratio(*pair)
-    return pd.Series([known[pair] for pair in zip(a, b, least, strict=True)], dtype="float64")
+    """ratio.ratios() of the pairs without a null, each once: pairs repeat within a batch."""
+    rows = pd.DataFrame({"a": a, "b": b, "least": least})
+    known = rows.dropna(subset=["a", "b"]).drop_duplicates()
+    known = known.assign(ratio=ratio.ratios(known["a"].tolist(), known["b"].tolist(), known["least"].to_numpy()))
+    return rows.merge(known, "left", ["a", "b", "least"])["ratio"].astype("float64")
 
 
 def _object(raw: str) -> dict | None:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import text
 
 KEYS = ["model", "concurrency"]
-#: Ranges of values, whose counts are summed up to find a rank.
-RANGES = 1024
+#: Ranges of values, whose counts are summed up to find a rank, and the error of their bounds as a part of all values.
+RANGES, ERROR = 64, 1e-3
 
 
 def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -25,13 +25,13 @@ def interpolated(values: DataFrame, keys: list[str], column: str, p: float) -> D
     """(keys, value): the exact percentile of each key's values, linear between ranks, nulls left out.
 
     Equal values are counted first and the counts' running sums find the two ranks, so a key's values are never in one
-    aggregation buffer: ranges of values are summed up before, and ranks are sought within the one or two ranges they lie in.
+    aggregation buffer: a mergeable sketch of the different values cuts them into ranges of about equal numbers however they are spread,
+    ranges are summed up, and ranks are sought within the one or two ranges they lie in. The sketch sets the ranges only; ranks are exact.
     """
     counted = values.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("__v")).agg(F.count("*").alias("__n"))
-    bounds = counted.groupBy(*keys).agg(F.sum("__n").alias("__total"), F.min("__v").alias("__low"), F.max("__v").alias("__high"))
-    width = F.try_divide(F.col("__high") - F.col("__low"), F.lit(float(RANGES)))
-    range_of = F.coalesce(F.least(F.lit(RANGES - 1), F.try_divide(F.col("__v") - F.col("__low"), width).try_cast("int")), F.lit(0))
-    placed = _joined(counted, bounds, keys).withColumn("__range", range_of)
+    cuts = F.percentile_approx("__v", [k / RANGES for k in range(1, RANGES)], F.lit(int(1 / ERROR)))
+    bounds = counted.groupBy(*keys).agg(F.sum("__n").alias("__total"), cuts.alias("__cuts"))
+    placed = _joined(counted, bounds, keys).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col("__v")))).drop("__cuts")
     sums = placed.groupBy(*keys, "__range").agg(F.sum("__n").alias("__in"))
     sums = sums.withColumn("__before", F.sum("__in").over(Window.partitionBy(*keys).orderBy("__range")) - F.col("__in"))
     at = (F.col("__total") - 1) * p

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, udfs
+from ..sources.store import last_of
 from . import rules
 
 LONG_LEAST, LEAST = 0.45, 0.70
@@ -84,23 +88,24 @@ def run_rows(scores: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
     return scores.join(found, keys, "left").select(*keys, *[c for c in RUN_COLUMNS if c not in TAKEN_OVER], *taken)
 
 
-def require_scorable(truth: DataFrame, runs: DataFrame, chosen: list[str]) -> None:
-    """An error if a chosen document has no truth, has no run, or if documents' truths have different fields."""
-    names = truth.sparkSession.createDataFrame([(n,) for n in chosen], "rfp string")
+def require_scorable(truth: DataFrame, runs: DataFrame, names: DataFrame) -> None:
+    """An error if no document is chosen by names(rfp), one has no truth or no run, or if documents' truths have different fields."""
+    if names.isEmpty():
+        raise ValueError("no documents are chosen")
     require_known(names, truth, "rfp")
-    if absent := sorted(r[0] for r in names.join(runs, "rfp", "left_anti").collect()):
-        raise ValueError(f"without a run: {', '.join(absent)}")
+    require_known(names, runs, "rfp", "without a run")
     if truth.groupBy("rfp").agg(F.sort_array(F.collect_set("field")).alias("fields")).select("fields").distinct().limit(2).count() > 1:
         raise ValueError("documents have different fields")
 
 
-def score_documents(truth: DataFrame, runs: DataFrame, chosen: list[str]) -> DataFrame:
-    """Run rows of the chosen documents: truth(rfp, field, expected), runs(rfp, model, output map, ...), every model of a document."""
-    require_scorable(truth, runs, chosen)
-    some = runs.where(F.col("rfp").isin(chosen))
+def score_documents(truth: DataFrame, runs: DataFrame, chosen: list[str] | DataFrame, ratio: bool = True) -> DataFrame:
+    """Run rows of the chosen documents, a list or a table (rfp): truth(rfp, field, expected), runs(rfp, model, output map, ...), every model of a document."""
+    names = chosen.select("rfp").distinct() if isinstance(chosen, DataFrame) else truth.sparkSession.createDataFrame([(n,) for n in set(chosen)], "rfp string")
+    require_scorable(truth, runs, names)
+    some = runs.join(names, "rfp", "left_semi")
     runs_of = truth.join(some.select("rfp", "model", "output"), "rfp")
     cells = runs_of.select("rfp", "model", "field", "expected", F.element_at("output", F.col("field")).alias("predicted"))
-    return run_rows(run_scores(field_scores(cells), ["rfp", "model"]), some, ["rfp", "model"]).orderBy("rfp", "model")
+    return run_rows(run_scores(field_scores(cells, ratio=ratio), ["rfp", "model"]), some, ["rfp", "model"]).orderBy("rfp", "model")
 
 
 def expected_cells(truth: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -114,21 +119,19 @@ def unknown(names: DataFrame, known: DataFrame, column: str) -> DataFrame:
     return names.select(column).distinct().join(known.select(column).distinct(), column, "left_anti")
 
 
-def require_known(names: DataFrame, known: DataFrame, column: str) -> None:
-    """An error that names up to ten unknown values."""
-    if some := unknown(names, known, column).limit(10).collect():
-        raise ValueError(f"unknown {column}: {', '.join(str(r[0]) for r in some)}")
+def require_known(names: DataFrame, known: DataFrame, column: str, said: str | None = None) -> None:
+    """An error that names up to ten unknown values, the first in order."""
+    if some := unknown(names, known, column).orderBy(column).limit(10).collect():
+        raise ValueError(f"{said or f'unknown {column}'}: {', '.join(str(r[0]) for r in some)}")
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """Rows of existing and new, the new one for equal keys; of repeated keys on one side the last by `order`."""
-    def last(df: DataFrame) -> DataFrame:
-        if order is None:
-            return df.dropDuplicates(keys)
-        return df.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(c) for c in df.columns]), order).alias("__r")).select("__r.*")
-
-    new = last(new)
-    return last(existing).join(new, keys, "left_anti").unionByName(new).orderBy(*keys)
+    """Rows of existing and new in the order of keys, the new one for equal keys; of repeated keys on one side the last by `order`, or else the last of the table's rows."""
+    named = [f"__{k}" for k in keys]
+    new = last_of(new, keys, order)
+    known = new.select(*[F.col(k).alias(n) for k, n in zip(keys, named, strict=True)])
+    same = reduce(operator.and_, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, named, strict=True)])
+    return last_of(existing, keys, order).join(known, same, "left_anti").unionByName(new).orderBy(*keys)
 
 
 def model_summary(runs: DataFrame) -> DataFrame:

@@ -72,21 +72,24 @@ def responses(spark: SparkSession, sf_dir: str, kind=None) -> DataFrame:
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(rfp, field, expected): 24 fields of every document, from its words in turn; some null, some that say nothing."""
-    words = documents(spark, sf_dir).select("doc_id", F.split(F.substring("text", 1, 2000), " ").alias("w"))
-    at = F.col("doc_id") + F.col("i")
-    value = F.when(at % 7 == 0, None).when(at % 11 == 0, "n/a").otherwise(F.concat_ws(" ", F.slice("w", (F.col("i") + 1).cast("int"), 3)))
-    each = words.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.lit(len(NAMES) - 1))).alias("i"))
-    return each.select(F.concat(F.lit("rfp"), "doc_id", F.lit(".txt")).alias("rfp"), _pick(NAMES, F.col("i")).alias("field"), value.alias("expected"))
+    """(rfp, field, expected): 24 fields of every document, three words from each 24th of its whole text; some null, some that say nothing."""
+    said = lambda i: F.when((F.col("doc_id") + i) % 7 == 0, None).when((F.col("doc_id") + i) % 11 == 0, "n/a").otherwise(_words(i, 0))
+    each = documents(spark, sf_dir).select("doc_id", F.posexplode(F.array(*[said(i) for i in range(len(NAMES))])).alias("i", "value"))
+    return each.select(F.concat(F.lit("rfp"), "doc_id", F.lit(".txt")).alias("rfp"), _pick(NAMES, F.col("i")).alias("field"), F.col("value").alias("expected"))
+
+
+def _words(i: int, shift: int):
+    """Three words of a whole text, from its i-th part on."""
+    w = F.split("text", " ")
+    return F.concat_ws(" ", F.slice(w, (F.floor(F.size(w) * i / len(NAMES)) + 1 + shift).cast("int"), 3))
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(rfp, model, success, ..., output map): two models' answers to every document, each without some fields, and what was measured."""
-    words = documents(spark, sf_dir).select("doc_id", F.split(F.substring("text", 1, 2000), " ").alias("w"))
-    each = words.select("doc_id", "w", F.explode(F.array(F.lit(0), F.lit(1))).alias("m"))
-    numbered = F.arrays_zip(F.array(*[F.lit(n) for n in NAMES]).alias("name"), F.sequence(F.lit(0), F.lit(len(NAMES) - 1)).alias("i"))
-    there = F.filter(numbered, lambda x: (F.col("doc_id") + x["i"] + F.col("m")) % 5 != 0)
-    output = F.map_from_entries(F.transform(there, lambda x: F.struct(x["name"].alias("key"), F.concat_ws(" ", F.slice("w", (x["i"] + 1 + F.col("m") * (x["i"] % 2)).cast("int"), 3)).alias("value"))))
+    given = lambda i, m: F.when((F.col("doc_id") + i + m) % 5 != 0, F.struct(F.lit(NAMES[i]).alias("key"), _words(i, m * (i % 2)).alias("value")))
+    answers = [F.struct(F.lit(m).alias("m"), F.array_compact(F.array(*[given(i, m) for i in range(len(NAMES))])).alias("entries")) for m in (0, 1)]
+    each = documents(spark, sf_dir).select("doc_id", F.explode(F.array(*answers)).alias("a")).select("doc_id", "a.*")
+    output = F.map_from_entries("entries")
     d, n = F.col("doc_id"), F.col("m")
     return each.select(
         F.concat(F.lit("rfp"), "doc_id", F.lit(".txt")).alias("rfp"), F.concat(F.lit("model"), n.cast("string")).alias("model"), (d % 3 != 0).alias("success"),
@@ -114,11 +117,11 @@ SQL = {
   {_listed(PHRASES)}[(line_no * line_no + doc_id) % {len(PHRASES)} + 1] AS value, line AS excerpt FROM lines)""",
     "jobs": "jobs AS (SELECT event_type AS model, 1 + user_id % 15 AS concurrency, event_id AS job_id, event_id % 10 <> 0 AS success, value AS latency_s, ts FROM events)",
     "truth": f"""truth AS (SELECT 'rfp' || doc_id || '.txt' AS rfp, {_listed(NAMES)}[i + 1] AS field,
-  CASE WHEN (doc_id + i) % 7 = 0 THEN NULL WHEN (doc_id + i) % 11 = 0 THEN 'n/a' ELSE array_to_string(w[i + 1 : i + 3], ' ') END AS expected
-  FROM (SELECT doc_id, string_split(substring(text, 1, 2000), ' ') AS w, unnest(range({len(NAMES)})) AS i FROM documents))""",
+  CASE WHEN (doc_id + i) % 7 = 0 THEN NULL WHEN (doc_id + i) % 11 = 0 THEN 'n/a' ELSE array_to_string(w[len(w) * i // 24 + 1 : len(w) * i // 24 + 3], ' ') END AS expected
+  FROM (SELECT doc_id, string_split(text, ' ') AS w, unnest(range({len(NAMES)})) AS i FROM documents))""",
     "runs": f"""answers AS (SELECT doc_id, m, 'rfp' || doc_id || '.txt' AS rfp, 'model' || m AS model, i, {_listed(NAMES)}[i + 1] AS field, (doc_id + i + m) % 5 <> 0 AS given,
-  array_to_string(w[i + 1 + m * (i % 2) : i + 3 + m * (i % 2)], ' ') AS value
-  FROM (SELECT doc_id, w, m, unnest(range({len(NAMES)})) AS i FROM (SELECT doc_id, string_split(substring(text, 1, 2000), ' ') AS w, unnest([0, 1]) AS m FROM documents))),
+  array_to_string(w[len(w) * i // 24 + 1 + m * (i % 2) : len(w) * i // 24 + 3 + m * (i % 2)], ' ') AS value
+  FROM (SELECT doc_id, w, m, unnest(range({len(NAMES)})) AS i FROM (SELECT doc_id, string_split(text, ' ') AS w, unnest([0, 1]) AS m FROM documents))),
 runs AS (SELECT DISTINCT rfp, model, doc_id % 3 <> 0 AS success, doc_id % 12 AS chunks_total, doc_id % 5 AS chunks_successful, CASE WHEN doc_id % 4 <> 0 THEN doc_id / 8.0 END AS time_seconds,
   CASE WHEN doc_id % 9 <> 0 THEN (doc_id % 100) / 4.0 END AS raw_json_valid_rate, (doc_id + m) % 100 / 2.0 AS json_valid_after_cleanup_rate,
   doc_id * 3 AS prompt_tokens, doc_id + m AS completion_tokens, doc_id * 4 + m AS total_tokens FROM answers)""",

@@ -274,35 +274,37 @@ def q_windowed_throughput(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_text_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document as a file of its own, and all files read back."""
+    """Every document as a file of its own, every tenth one empty, and all files read back."""
     folder = new_path(spark, "texts")
-    sinks.save_texts(_documents(spark, sf).select(F.concat(F.lit("rfp"), "doc_id", F.lit(".txt")).alias("rfp"), "text"), folder)
+    text_ = F.when(F.col("doc_id") % 10 != 0, F.col("text")).otherwise("")
+    sinks.save_texts(_documents(spark, sf).select(F.concat(F.lit("rfp"), "doc_id", F.lit(".txt")).alias("rfp"), text_.alias("text")), folder)
     return files.text_files(spark, folder).select("rfp", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
 
 
 def q_results_file(spark: SparkSession, sf: str) -> DataFrame:
-    """All runs as one results file, then those of model1 again with other figures, and the file read back: one row a field."""
-    path = new_path(spark, "results") + ".json"
+    """All runs as results files, merged with those of model1 that have other figures, written and read back: one row a field."""
+    first, second = new_path(spark, "results"), new_path(spark, "results")
     runs = fixtures.runs(spark, sf)
-    sinks.save_results(runs, path)
+    sinks.save_results(runs, first)
     again = runs.where("model = 'model1'").withColumn("total_tokens", F.col("total_tokens") + 1)
-    sinks.save_results(score.upsert(files.benchmark_runs(spark, path), again, ["rfp", "model"]), path)
-    read = files.benchmark_runs(spark, path)
+    sinks.save_results(score.upsert(files.benchmark_runs(spark, first), again, ["rfp", "model"]), second)
+    read = files.benchmark_runs(spark, second)
     return extract.field_table(read, ["rfp", "model", "success", "total_tokens", "time_seconds"]).withColumn("field_id", F.col("field_id").cast("long"))
 
 
 def q_runs_table(spark: SparkSession, sf: str) -> DataFrame:
-    """The runs as a table whose runs of model1 are replaced."""
+    """The runs as a committed table whose runs of model1 are replaced; the replacement is tried twice under one token."""
     folder = new_path(spark, "runs")
     runs = fixtures.runs(spark, sf).drop("output")
     sinks.save_runs(runs, folder)
-    sinks.save_runs(runs.where("model = 'model1'").withColumn("prompt_tokens", F.lit(0).cast("long")), folder)
-    return spark.read.parquet(folder).select("rfp", "model", "prompt_tokens", "completion_tokens", "success")
+    for cost in (0, 5):
+        sinks.save_runs(runs.where("model = 'model1'").withColumn("prompt_tokens", F.lit(cost).cast("long")), folder, token="model1")
+    return sinks.run_store(spark, folder).read().select("rfp", "model", "prompt_tokens", "completion_tokens", "success")
 
 
 def q_truth_file(spark: SparkSession, sf: str) -> DataFrame:
-    """The expected values as a JSON file, read back."""
-    path = new_path(spark, "truth") + ".json"
+    """The expected values as JSON files, read back."""
+    path = new_path(spark, "truth")
     sinks.save_truth(fixtures.truth(spark, sf), path)
     return files.ground_truth(spark, path)
 
@@ -343,7 +345,7 @@ def q_capacity_files(spark: SparkSession, sf: str) -> DataFrame:
     levels = stored(_levels(spark, sf))
     columns = [c.split()[0] for c in files.CAPACITY.split(", ")]
     for r in levels.select("model").distinct().orderBy("model").collect():  # the registry of models is small
-        sinks.save_csv(levels.where(F.col("model") == r[0]), csv, columns, "append")
+        sinks.save_csv(levels.where(F.col("model") == r[0]), csv, columns, "append", single=True)
     payload = sinks.capacity_payload(levels, F.struct(F.lit("log").alias("test_type")))
     payload.write.text(whole)
     payload.select(F.substring("json", F.lit(1), F.length("json") - 10)).write.text(broken)
@@ -357,7 +359,7 @@ def q_report_tables(spark: SparkSession, sf: str) -> DataFrame:
     made = {"scores": (rows, files.RUN_SCORES), "summary": (score.model_summary(rows), files.MODEL_SUMMARY), "capacity": (_levels(spark, sf), files.CAPACITY)}
     paths = {name: (new_path(spark, name), schema) for name, (_, schema) in made.items()}
     for name, (df, schema) in made.items():
-        sinks.save_csv(df, paths[name][0], [c.split()[0] for c in schema.split(", ")])
+        sinks.save_csv(df, paths[name][0], [c.split()[0] for c in schema.split(", ")], single=name != "scores")
     read = [df.groupBy(F.lit(name).alias("name")).agg(F.count("*").alias("n"), F.count_distinct("model").alias("models")) for name, df in files.report_tables(spark, paths).items()]
     return read[0].union(read[1]).union(read[2])
 
@@ -415,6 +417,50 @@ def q_report_lines(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.report_lines(score.model_summary(_run_rows(spark, sf, ratio=False)), "model", labels, ["model"]).select(_long("place"), "line")
 
 
+def q_run_report(spark: SparkSession, sf: str) -> DataFrame:
+    """What the console shows of each run."""
+    return _run_rows(spark, sf, ratio=False).select("rfp", F.concat("model", F.lit(": "), sinks.report_line(sinks.RUN_REPORT)).alias("line"))
+
+
+def q_level_report(spark: SparkSession, sf: str) -> DataFrame:
+    """What the console shows of each level of the load test."""
+    return _levels(spark, sf).select("model", "concurrency", sinks.report_line(sinks.LEVEL_REPORT).alias("line"))
+
+
+def q_score_documents(spark: SparkSession, sf: str, ratio: bool = True) -> DataFrame:
+    """Guarded scoring of all documents: each must have expected values and a run."""
+    names = _documents(spark, sf).select(F.concat(F.lit("rfp"), "doc_id", F.lit(".txt")).alias("rfp"))
+    return score.score_documents(fixtures.truth(spark, sf), fixtures.runs(spark, sf), names, ratio)
+
+
+def q_upsert_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    """The last event of each user and kind, where one side or both repeat keys; those with an even number are the new ones."""
+    e = fixtures.table(spark, sf, "events").select("user_id", "event_type", "event_id", "value")
+    merged = score.upsert(e.where("event_id % 2 = 1"), e.where("event_id % 2 = 0"), ["user_id", "event_type"], "event_id")
+    return merged.select("user_id", "event_type", "event_id", "value")
+
+
+def q_committed_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Levels from a stream of level rows, committed batch by batch; then all of them come once more and add nothing."""
+    folder, store, columns = new_path(spark, "level-rows"), new_path(spark, "levels"), [c.split()[0] for c in files.CAPACITY.split(", ")]
+    kept = job_stream.level_store(spark, store)
+    typed = [F.col(name).cast(kind) for name, kind in (c.split() for c in files.CAPACITY.split(", "))]
+    _levels(spark, sf).select(*typed).repartition(4, "model").write.parquet(folder)
+    for k in range(2):
+        job_stream.commit_levels(job_stream.level_stream(spark, folder, 1), kept, new_path(spark, f"levels-{k}"), f"run {k}").awaitTermination()
+    return kept.read().select(*columns)
+
+
+def q_latest_gauges(spark: SparkSession, sf: str) -> DataFrame:
+    """The last latency of each model and level by event time, from the job log as a stream."""
+    folder, store = new_path(spark, "jobs"), new_path(spark, "gauges")
+    jobs = fixtures.jobs(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    jobs.repartitionByRange(4, "ts").write.parquet(folder)
+    kept = job_stream.gauge_store(spark, store)
+    job_stream.follow_gauges(job_stream.log_stream(spark, folder, 1), kept, new_path(spark, "gauges-log")).awaitTermination()
+    return kept.read().select("model", "concurrency", "job_id", F.col("latency_s").alias("value"))
+
+
 def q_collected_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates of answers to chunks and their halves, with where they come from and the source around them."""
     parts = chunking.chunks(_documents(spark, sf)).select("doc_id", _long("chunk_no"), "chunk_text")
@@ -428,7 +474,7 @@ def q_collected_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: Queries over run scores. The sequence ratio has no SQL: their SQL checks variants with the token F1 alone.
-RATIO = [q_model_quality, q_run_scores, q_model_summary_ordered, q_gauges, q_melt_quality, q_detail_by_rfp, q_run_rows, q_model_means]
+RATIO = [q_model_quality, q_run_scores, q_model_summary_ordered, q_gauges, q_melt_quality, q_detail_by_rfp, q_run_rows, q_model_means, q_score_documents]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -263,7 +263,7 @@ LEFT JOIN (SELECT source, count(*) AS n FROM documents JOIN labels USING (doc_id
     "q_chat_prompts": "SELECT conv_id, md5(string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) || '<|im_start|>assistant' || chr(10)) AS digest FROM conversations GROUP BY conv_id",
     "q_prompts": with_(CHUNKS, recursive=True) + f"SELECT doc_id, chunk_no, md5({_q(extract.PROMPT)} || chunk_text) AS digest FROM chunks",
     "q_windowed_throughput": "SELECT event_type AS model, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS jobs, round(avg(value), 4) AS mean_latency FROM events GROUP BY ALL",
-    "q_text_files": "SELECT 'rfp' || doc_id || '.txt' AS rfp, length(text) AS n_chars, md5(text) AS digest FROM documents",
+    "q_text_files": "SELECT 'rfp' || doc_id || '.txt' AS rfp, length(t) AS n_chars, md5(t) AS digest FROM (SELECT doc_id, CASE WHEN doc_id % 10 <> 0 THEN text ELSE '' END AS t FROM documents)",
     "q_results_file": with_("runs") + f"SELECT a.rfp, a.model, success, total_tokens + a.m AS total_tokens, time_seconds, i AS field_id, field, value FROM answers a JOIN runs r ON r.rfp = a.rfp AND r.model = a.model WHERE given",
     "q_runs_table": with_("runs") + "SELECT rfp, model, CASE WHEN model = 'model1' THEN 0 ELSE prompt_tokens END AS prompt_tokens, completion_tokens, success FROM runs",
     "q_truth_file": with_("truth") + "SELECT rfp, field, expected FROM truth",
@@ -288,6 +288,17 @@ ON b.rfp_no = d.doc_id AND b.field = f.field GROUP BY d.doc_id""",
     "q_gauge_lines": with_(*ALL_ROWS, "last AS (SELECT * FROM run_rows QUALIFY row_number() OVER (PARTITION BY model ORDER BY rfp DESC) = 1)")
     + " UNION ALL ".join(f"""SELECT '{m}{{model="' || model || '"}} ' || CAST({m} AS DOUBLE) AS line FROM last""" for m in ("field_accuracy_pct", "latency_seconds", "total_tokens")),
     "q_report_lines": with_(*ALL_ROWS, MEANS) + "SELECT row_number() OVER (ORDER BY model) AS place, model || ': accuracy=' || field_accuracy_pct || '% | completeness=' || completeness_pct || '% | hallucination=' || hallucination_rate_pct || '%' AS line FROM means",
+    "q_run_report": with_(*ALL_ROWS) + "SELECT rfp, model || ': accuracy=' || field_accuracy_pct || '% | similarity=' || avg_field_similarity_pct || '% | completeness=' || completeness_pct || '% | hallucination=' || hallucination_rate_pct || '% | wrong-value=' || wrong_value_rate_pct || '%' AS line FROM run_rows",
+    "q_level_report": with_("jobs", LEVELS) + "SELECT model, concurrency, 'success=' || success_rate_pct || '% | avg full-RFP latency=' || avg_latency_s || 's | p95=' || p95_latency_s || 's | throughput=' || throughput_requests_per_min || ' RFP/min' AS line FROM full_levels",
+    "q_score_documents": with_(*ALL_ROWS) + "SELECT * FROM run_rows",
+    "q_json_payload": with_("jobs", LEVELS)
+    + """SELECT '{"configuration":{"test_type":"log"},"completed_concurrency_levels":[' || (SELECT string_agg(c, ',' ORDER BY c) FROM (SELECT DISTINCT concurrency AS c FROM full_levels)) || '],"summary":[' ||
+  string_agg('{"model":"' || model || '","concurrency":' || concurrency || ',"requests_total":' || requests_total || ',"requests_successful":' || requests_successful || ',"requests_failed":' || requests_failed ||
+  ',"avg_latency_s":' || avg_latency_s || ',"p95_latency_s":' || p95_latency_s || ',"total_test_time_s":' || total_test_time_s || ',"success_rate_pct":' || success_rate_pct ||
+  ',"throughput_requests_per_min":' || throughput_requests_per_min || '}', ',' ORDER BY model, concurrency) || ']}' AS json FROM full_levels""",
+    "q_upsert_repeats": "SELECT user_id, event_type, coalesce(max(event_id) FILTER (event_id % 2 = 0), max(event_id)) AS event_id, coalesce(arg_max(value, event_id) FILTER (event_id % 2 = 0), arg_max(value, event_id)) AS value FROM events GROUP BY user_id, event_type",
+    "q_committed_levels": with_("jobs", LEVELS) + f"SELECT {', '.join(_LEVEL_COLUMNS)} FROM full_levels",
+    "q_latest_gauges": with_("jobs") + "SELECT model, concurrency, job_id, latency_s AS value FROM jobs WHERE success QUALIFY row_number() OVER (PARTITION BY model, concurrency ORDER BY ts DESC, job_id DESC) = 1",
     "q_collected_candidates": with_(CHUNKS, "failed AS (SELECT * FROM chunks WHERE (doc_id + chunk_no) % 3 = 0 AND length(chunk_text) >= 2000)", halves("chunk_text", "failed", "doc_id, chunk_no"), *COLLECTED, recursive=True)
     + f"SELECT doc_id, 'Summary' AS field, idx, 'chunk ' || chunk_no || CASE WHEN part_no > 0 THEN '.' || part_no ELSE '' END AS source, value, md5(CASE WHEN n <= 900 THEN {strip('t')} ELSE {strip('substring(t, greatest(0, e - 900) + 1, 900)')} END) AS digest FROM reach2",
 }

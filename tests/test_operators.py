@@ -230,10 +230,10 @@ def test_readers_and_writers(spark, tmp_path):
     runs = lambda v: spark.createDataFrame(v, "rfp string, model string, n int")
     sinks.save_runs(runs([("a", "m", 1), ("b", "m", 1)]), str(tmp_path / "runs"))
     sinks.save_runs(runs([("b", "m", 2)]), str(tmp_path / "runs"))
-    assert {(r.rfp, r.n) for r in spark.read.parquet(str(tmp_path / "runs")).collect()} == {("a", 1), ("b", 2)}
+    assert {(r.rfp, r.n) for r in sinks.run_store(spark, str(tmp_path / "runs")).read().collect()} == {("a", 1), ("b", 2)}
     there = f"file://{tmp_path}/texts"
     assert sinks.save_texts(spark.createDataFrame([("r1.txt", "x\ny"), ("é.txt", None), (None, "z")], "rfp string, text string"), there) == 2
-    assert sorted(tuple(r) for r in files.text_files(spark, there).collect()) == [("r1.txt", "x\ny")] and (tmp_path / "texts" / "é.txt").read_bytes() == b""
+    assert sorted(tuple(r) for r in files.text_files(spark, there).collect()) == [("r1.txt", "x\ny"), ("é.txt", "")] and (tmp_path / "texts" / "é.txt").read_bytes() == b""
     with pytest.raises(Exception, match="not a file name"):
         sinks.save_texts(spark.createDataFrame([("a/b", "x")], "rfp string, text string"), there)
 
