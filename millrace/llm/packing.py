@@ -2,8 +2,9 @@
 
 What decides a packing is how many pieces there are of each length, at most `limit` numbers: the plan is made from them,
 as patterns of lengths with multiplicities. Gaps are filled exactly from an index of single, pair and triple length sums
-under availability counts; what is left is placed best-fit, longest first. Every step uses up a length or a kind of gap,
-so plans stay small while the corpus grows. Pieces then take their places by their rank among those of their length, in three levels.
+under availability counts; what is left is placed best-fit, longest first. As exact fillings may use up small pieces that
+later long ones need, plans are also made with fewer kinds of them, or for longer gaps only, and the one of fewest sequences is
+taken. Every step uses up a length or a kind of gap, so plans stay small while the corpus grows. Pieces then take their places by their rank among those of their length, in three levels.
 """
 
 from __future__ import annotations
@@ -47,7 +48,20 @@ def token_pieces(docs: DataFrame, path: str, end_id: int, limit: int, with_ids:
 
 
 def plan(counts: dict[int, int], limit: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, number of such sequences), using each length as often as counts says."""
+    """(lengths of a sequence, number of such sequences), using each length as often as counts says; never more sequences than best-fit decreasing."""
+    least = -(-sum(n * c for n, c in counts.items()) // limit)
+    best: list[tuple[tuple[int, ...], int]] = []
+    for kinds, least_long in ((3, 1), (3, limit // 2), (2, 1), (2, limit // 2), (1, 1), (0, 1)):
+        made = _plan(counts, limit, kinds, least_long)
+        if not best or sum(t for _, t in made) < sum(t for _, t in best):
+            best = made
+        if sum(t for _, t in best) <= least:
+            break
+    return best
+
+
+def _plan(counts: dict[int, int], limit: int, kinds: int, least_long: int) -> list[tuple[tuple[int, ...], int]]:
+    """A plan whose gaps are filled exactly by up to `kinds` lengths, behind lengths of at least least_long."""
     left = np.zeros(limit + 1, np.int64)
     for n, c in counts.items():
         left[n] = c
@@ -59,19 +73,19 @@ def plan(counts: dict[int, int], limit: int) -> list[tuple[tuple[int, ...], int]
             left[list(set(lengths))] -= [times * lengths.count(n) for n in set(lengths)]
             out.append((lengths, times))
 
-    for long in range(limit, 0, -1):
+    for long in range(limit, least_long - 1, -1):
         gap = limit - long
         if left[long] and not gap:
             take(long)
-        if left[long] and gap and gap <= long:
+        if kinds > 0 and left[long] and gap and gap <= long:
             take(long, gap)
         for a in range(min(gap - 1, long), (gap - 1) // 2, -1):  # pairs a >= b
-            if not left[long]:
+            if kinds < 2 or not left[long]:
                 break
             if left[a] and left[gap - a]:
                 take(long, a, gap - a)
         for a in range(min(gap - 2, long), max(0, (gap - 1) // 3), -1):  # triples a >= b >= c
-            if not left[long]:
+            if kinds < 3 or not left[long]:
                 break
             if left[a]:
                 b = np.arange((gap - a + 1) // 2, min(a, gap - a - 1) + 1)
