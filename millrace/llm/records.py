@@ -138,7 +138,7 @@ def write_records(docs: DataFrame, path: str, end_id: int, folder: str | None =
     kept = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     size = kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
-    sorted_docs = kept.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    sorted_docs = kept.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")  # rows of one doc_id come in the same order in every run
     with small_batches(spark, 256):
         manifest = stored(sorted_docs.mapInArrow(run, "shard long, records_path string, index_path string, n_records long, n_ids long"), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
