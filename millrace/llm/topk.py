@@ -3,9 +3,10 @@
 Data are grouped by nearest pivot; of each cell its size, its radius and the distances of its k + 1 members nearest the pivot are
 summarised. From the summaries alone every query has a lower bound of its k-th best score: a vector x of cell p scores
 q.p - |q| * |x - p| at least, so the best of these bounds count. It scores q.p + |q| * |x - p| at most, so a group of queries
-needs only vectors at a distance from their pivot of at least the group's bound for that cell. Data are replicated to the groups
-that need them - once a group, and there are as many groups as blocks of queries -, solved locally, and the results merged.
-Where vectors have no clusters at all no distance rules a vector out, and every group needs every vector.
+needs only vectors at a distance from their pivot of at least the group's bound for that cell. Queries are grouped by nearest
+pivot; groups near each other that need much the same vectors are made one, which is told from the summaries. Data are replicated
+to the groups that need them, once a group, solved locally, and the results merged. Where vectors have no clusters at all no
+distance rules a vector out, every group needs every vector, and so there is but one.
 """
 
 from __future__ import annotations
@@ -25,6 +26,29 @@ from .vectors import matrix, sample, spread, usable
 LEAST_PIVOTS, MOST_PIVOTS, SAMPLED = 64, 1024, 16
 #: Queries and vectors that a block holds.
 QUERY_BLOCK, DATA_BLOCK = 4096, 16_384
+#: Steps by which a summary tells how a cell's distances from its pivot are spread, and by how much more work joined groups may cost.
+STEPS, DEARER = 16, 1.25
+
+
+def joined_groups(points: np.ndarray, asked: np.ndarray, needed: np.ndarray) -> np.ndarray:
+    """The group that each group of queries becomes part of: groups' pivots, numbers of queries, and vectors needed of each cell.
+
+    A group joins the nearest one before it if all queries of both then meet at most DEARER times as many vectors.
+    """
+    joined, members, work = np.arange(len(points)), [], []
+    for g in range(len(points)):
+        if members:
+            k = int(np.argmin([((points[g] - points[m[0]]) ** 2).sum() for m in members]))
+            both = np.maximum(work[k][1], needed[g])
+            own = work[k][0] * work[k][1].sum() + asked[g] * needed[g].sum()
+            if (work[k][0] + asked[g]) * both.sum() <= DEARER * own:
+                members[k].append(g)
+                work[k] = (work[k][0] + asked[g], both)
+                joined[g] = members[k][0]
+                continue
+        members.append([g])
+        work.append((asked[g], needed[g]))
+    return joined
 
 
 def top_k(vectors: DataFrame, queries_where: str, k: int = 10, scale: int = 1024, told: dict | None = None) -> DataFrame:
@@ -54,10 +78,9 @@ def top_k(vectors: DataFrame, queries_where: str, k: int = 10, scale: int = 1024
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cell.astype(np.int32)), pa.array(away), b.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["vec_id", "cell", "away", "query", "x"])
 
     placed = stored(rows.mapInArrow(place, "vec_id long, cell int, away double, query boolean, x binary"), "cells")
-    summary = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).orderBy("cell").collect()  # a row for each pivot at most
+    steps = F.percentile_approx("away", [s / STEPS for s in range(STEPS)], 1000).alias("steps")
+    summary = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius"), F.count_if("query").alias("asked"), steps).orderBy("cell").collect()  # a row for each pivot at most
     cells = np.array([r["cell"] for r in summary], np.int64)
-    asked = placed.where("query").count()
-    groups = min(len(points), max(1, -(-asked // QUERY_BLOCK)))
     place_in_cell = F.row_number().over(Window.partitionBy("cell").orderBy("away"))
     nearest = placed.select("cell", "away").withColumn("n", place_in_cell).where(F.col("n") <= k + 1).select("cell", "away").collect()  # k + 1 numbers a pivot at most
     index = {c: i for i, c in enumerate(cells.tolist())}
@@ -74,17 +97,28 @@ def top_k(vectors: DataFrame, queries_where: str, k: int = 10, scale: int = 1024
             with np.errstate(divide="ignore", invalid="ignore"):
                 need = np.where(length[:, None] > 0, (kth[:, None] - to) / length[:, None], -np.inf)
             need = np.where(np.isfinite(need), need - 1e-9 * np.abs(need) - 1e-6, -1.0)
-            group = np.argmax(q @ points[:groups].T - half[:groups], axis=1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(group.astype(np.int32)), pa.array(need.tolist(), pa.list_(pa.float64())), b.column(1)], ["query_id", "group", "need", "q"])
-
-    queries = stored(placed.where("query").select("vec_id", "x").mapInArrow(bound, "query_id long, group int, need array<double>, q binary"), "queries")
-    at_cell = F.posexplode("need").alias("i", "need")
-    names = F.array(*[F.lit(int(c)) for c in cells]) if len(cells) else F.array().cast("array<int>")
-    radius = F.array(*[F.lit(float(r["radius"])) for r in summary]) if summary else F.array().cast("array<double>")
-    needs = queries.select("group", at_cell).groupBy("group", "i").agg(F.min("need").alias("need")).where(F.col("need") <= F.get(radius, F.col("i"))).select("group", F.get(names, F.col("i")).alias("needed_cell"), "need")  # groups x pivots rows at most
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(need.tolist(), pa.list_(pa.float64())), b.column(1)], ["query_id", "group", "need", "q"])
+
+    queries = stored(placed.where("query").select("vec_id", "x", "cell").mapInArrow(bound, "query_id long, cell int, need array<double>, q binary"), "queries")
+    least = queries.select("cell", F.posexplode("need").alias("i", "need")).groupBy("cell", "i").agg(F.min("need").alias("need")).toArrow()  # pivots x pivots numbers at most
+    first = {c: i for i, c in enumerate(sorted(set(least.column("cell").to_pylist())))}
+    needed = np.full((len(first), len(cells)), np.inf)
+    needed[[first[c] for c in least.column("cell").to_pylist()], least.column("i").to_numpy()] = least.column("need").to_numpy()
+    radius, size = np.array([r["radius"] for r in summary]), np.array([r["n"] for r in summary])
+    expected = np.zeros_like(needed)
+    for i, r in enumerate(summary):  # vectors of a cell at such a distance or more, by its steps
+        part = 1 - (np.searchsorted(np.array(r["steps"]), needed[:, i]) - 1).clip(0) / STEPS
+        expected[:, i] = np.where(needed[:, i] <= radius[i], part * size[i], 0)
+    own = np.array(list(first), np.int64)
+    joined = joined_groups(points[own], np.array([summary[index[c]]["asked"] for c in first]), expected)
+    group_of = F.broadcast(spark.createDataFrame([(c, int(joined[i])) for c, i in first.items()], "of int, group int"))  # a row for each pivot
+    queries = queries.join(group_of, F.col("cell") == F.col("of")).drop("cell", "of", "need")
+    groups = sorted(set(joined.tolist()))
+    bounds = [(g, int(cells[i]), float(v)) for g in groups for i, v in enumerate(needed[joined == g].min(0).tolist()) if v <= radius[i]]
+    needs = spark.createDataFrame(bounds, "group int, needed_cell int, need double")  # groups x pivots rows at most
     sent = stored(placed.join(F.broadcast(needs), (F.col("cell") == F.col("needed_cell")) & (F.col("away") >= F.col("need"))).select("group", "vec_id", "x"), "sent")
     if told is not None:
-        told |= {"vectors": count, "groups": groups, "sent": sent.count()}
+        told |= {"vectors": count, "groups": len(groups), "sent": sent.count()}
     blocks = lambda df, size: df.groupBy("group").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
     shape = blocks(queries, QUERY_BLOCK).withColumnRenamed("blocks", "query_blocks").join(blocks(sent, DATA_BLOCK).withColumnRenamed("blocks", "data_blocks"), "group")
     shape = F.broadcast(spark.createDataFrame(shape.collect(), "group int, query_blocks int, data_blocks int"))  # a row for each group

@@ -65,15 +65,22 @@ def test_top_k(crowd, monkeypatch):
     assert sorted(tuple(r) for r in topk.top_k(frame, "vec_id % 20 = 0", 10).collect()) == want
 
 
-def test_top_k_sends_what_groups_need(spark, monkeypatch):
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 10)
+def test_top_k_sends_what_groups_need(spark):
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(60, 24)) * 4
     rows = np.concatenate([centres[rng.integers(0, 60, 2900)] + rng.normal(size=(2900, 24)) * 0.1, rng.normal(size=(100, 24))])
     frame, told = spark.createDataFrame([(i, x) for i, x in enumerate(rows.tolist())], "vec_id long, embedding array<double>"), {}
     got = sorted(tuple(r) for r in topk.top_k(frame, "vec_id % 10 = 0", 10, told=told).collect())
     assert got == sorted(plain_top(dict(enumerate(rows)), range(0, 3000, 10), 10))
-    assert told["vectors"] == 3000 and told["groups"] == 30 and told["sent"] < 0.2 * 30 * 3000
+    assert told["vectors"] == 3000 and told["groups"] > 10 and told["sent"] < 0.2 * told["groups"] * 3000
+
+
+def test_groups_of_queries_are_joined_by_what_they_need():
+    points, asked = np.array([[0.0], [1.0], [10.0], [11.0]]), np.array([5, 5, 5, 5])
+    everything = np.full((4, 4), 100.0)
+    assert topk.joined_groups(points, asked, everything).tolist() == [0, 0, 0, 0]
+    assert topk.joined_groups(points, asked, np.diag([100.0] * 4)).tolist() == [0, 1, 2, 3]
+    assert topk.joined_groups(points, asked, np.repeat(np.diag([100.0, 100.0]), 2, axis=0)).tolist() == [0, 0, 2, 2]
 
 
 @pytest.mark.parametrize("pivots", [64, 256, 1024, 4096])
