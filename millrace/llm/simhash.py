@@ -36,6 +36,8 @@ CROWD = 1 << 18
 FACTOR = 32
 #: Bytes of the sets that every worker holds while others are compared with them.
 HEAD_BYTES = 1 << 26
+#: Classes of hashes whose counts bound how many shingles two texts have in common.
+BINS = 128
 #: Fewest leading bits, so that small inputs have some cells too.
 LEAST_BITS = 4
 
@@ -218,7 +220,7 @@ def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
 
 
 def _sizes(sets: DataFrame, most_bits: int = 30) -> DataFrame:
-    """(doc_id, size, shared) of sets(doc_id, hashes): how many shingles a text has and at most how many of them some other text has.
+    """(doc_id, size, shared, bins) of sets(doc_id, hashes): how many shingles a text has, at most how many of them some other text has, and how many are in each of BINS classes of hashes.
 
     Shingles that a count-min sketch over all these texts has once are in no other; the sketch may take single ones for
     shared, never the other way round.
@@ -233,10 +235,13 @@ def _sizes(sets: DataFrame, most_bits: int = 30) -> DataFrame:
         for b in slices(batches):
             sizes = np.array([len(x.as_buffer()) // 8 for x in b.column(1)])
             owner = np.repeat(np.arange(len(b)), sizes)
-            shared = np.bincount(owner[counted_twice(next(joined(b)), merged.value, bits)], minlength=len(b))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(shared, pa.int64())], ["doc_id", "size", "shared"])
+            hashes = next(joined(b), np.zeros(0, np.uint64))
+            shared = np.bincount(owner[counted_twice(hashes, merged.value, bits)], minlength=len(b))
+            bins = np.bincount(owner * BINS + (mixed(hashes) % np.uint64(BINS)).astype(np.int64), minlength=len(b) * BINS).astype(np.int32)
+            bins = pa.ListArray.from_arrays(np.arange(0, len(bins) + 1, BINS, dtype=np.int32), bins)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(shared, pa.int64()), bins], ["doc_id", "size", "shared", "bins"])
 
-    out = stored(sets.mapInArrow(run, "doc_id long, size long, shared long"), "sizes")
+    out = stored(sets.mapInArrow(run, "doc_id long, size long, shared long, bins array<int>"), "sizes")
     merged.destroy()
     return out
 
@@ -292,7 +297,8 @@ def near_components(rows: DataFrame, width: int = 5, similarity: float = 0.8, ba
     with any other text, so a candidate pair for whose similarity these numbers are too small is none. All others are
     verified on whole texts, and only verified links spare comparisons: a bucket's first text, the one with the smallest part
     of its own, is compared with all others, then those after it, FACTOR times as many in each round, with the later ones they
-    aren't connected to yet, until each two of a bucket are connected, compared or ruled out.
+    aren't connected to yet, until each two of a bucket are connected, compared or ruled out. From the second round on a pair
+    comes from the first bucket alone that both are in, and is ruled out if its classes of hashes can't have enough in common.
     """
     spark = rows.sparkSession
     with small_batches(spark):
@@ -308,10 +314,13 @@ def near_components(rows: DataFrame, width: int = 5, similarity: float = 0.8, ba
 
     slack = 1e-9
     largest = F.col("shared") * (1 + similarity) / similarity - F.col("size") + slack  # that a text alike may be
-    members = members.join(sizes, F.col("id") == F.col("doc_id")).drop("doc_id").withColumn("largest", largest).where(F.col("shared") >= similarity * F.col("size") - slack)
+    members = members.join(sizes.drop("bins"), F.col("id") == F.col("doc_id")).drop("doc_id").withColumn("largest", largest).where(F.col("shared") >= similarity * F.col("size") - slack)
     members = stored(members.select("key", "id", "size", "largest", (1 - F.col("shared") / F.col("size")).alias("own")), "viable")
-    head = lambda df: df.select("key", F.col("id").alias("a"), F.col("size").alias("a_size"), F.col("largest").alias("a_largest"), *[c for c in ("a_group", "a_place") if c in df.columns])
+    head = lambda df: df.select("key", F.col("id").alias("a"), F.col("size").alias("a_size"), F.col("largest").alias("a_largest"), *[c for c in ("a_group", "a_place", "a_keys", "a_bins") if c in df.columns])
     alike = (F.col("size") <= F.col("a_largest")) & (F.col("a_size") <= F.col("largest"))
+    first_shared = F.element_at(F.array_intersect("a_keys", "keys"), 1) == F.col("key")
+    in_common = F.aggregate(F.zip_with("a_bins", "bins", F.least), F.lit(0), lambda n, x: n + x)  # at most
+    enough = in_common >= (F.col("a_size") + F.col("size")) * (similarity / (1 + similarity)) - slack
 
     firsts = members.groupBy("key").agg(F.min_by(F.struct("id", "size", "largest"), F.struct("own", "id")).alias("f"), F.count("*").alias("n")).where("n > 1")
     firsts = stored(head(firsts.select("key", "f.*")), "firsts")
@@ -333,9 +342,10 @@ def near_components(rows: DataFrame, width: int = 5, similarity: float = 0.8, ba
         left = grouped.join(broadcast_if_small(apart), "key").where("least <= largest").drop("least")
         if done == 1:
             left = left.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("own", "id")))
+            left = left.join(nodes.select(F.col("id").alias("of"), "keys"), F.col("id") == F.col("of")).drop("of").join(sizes.select("doc_id", "bins"), F.col("id") == F.col("doc_id")).drop("doc_id")
         left = stored(left, "left")
-        heads = head(left.where(F.col("place").between(done + (done > 1), FACTOR * done)).withColumns({"a_group": F.col("group"), "a_place": F.col("place")}))
-        pairs = heads.join(left, "key").where(alike & F.expr("a_place < place and a_group <> group"))
+        heads = head(left.where(F.col("place").between(done + (done > 1), FACTOR * done)).withColumns({"a_group": F.col("group"), "a_place": F.col("place"), "a_keys": F.col("keys"), "a_bins": F.col("bins")}))
+        pairs = heads.join(left, "key").where(alike & F.expr("a_place < place and a_group <> group") & first_shared & enough)
         waiting, done = left.drop("group"), FACTOR * done
 
     groups = nodes.join(found, F.col("id") == F.col("node"), "left").select("same", F.coalesce("component", "id").alias("component"))
