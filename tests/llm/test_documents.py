@@ -180,7 +180,32 @@ def test_packing(spark, texts):
     rows = queries.op3_packing(spark, DATA).collect()
     used = check_packing(rows, texts, 1024, 2)
     assert {r.doc_id for r in rows} == set(texts)
-    assert used <= 1.02 * -(-sum(r.length for r in rows) // 1024) + 1
+    assert used <= best_fit([r.length for r in rows], 1024)
+
+
+def best_fit(lengths, limit):
+    """Sequences that plain best-fit decreasing takes."""
+    gaps = Counter()
+    for n in sorted(lengths, reverse=True):
+        gap = min((g for g, c in gaps.items() if c and g >= n), default=limit)
+        gaps[gap] -= gaps[gap] > 0
+        gaps[gap - n] += 1
+    return sum(gaps.values())
+
+
+def test_plans_are_no_worse_than_best_fit():
+    rng = np.random.default_rng(9)
+    for k in range(60):
+        limit = int(rng.choice([20, 64, 1024]))
+        n = int(rng.integers(1, 300))
+        lengths = [rng.integers(1, limit + 1, n), np.clip(rng.lognormal(np.log(limit) / 2, 1, n).astype(int), 1, limit), rng.choice(rng.integers(1, limit + 1, 6), n)][k % 3]
+        counts = {int(a): int(b) for a, b in Counter(lengths.tolist()).items()}
+        made = packing.plan(counts, limit)
+        used = Counter()
+        for p, times in made:
+            assert sum(p) <= limit
+            used.update({a: c * times for a, c in Counter(p).items()})
+        assert used == Counter(counts) and sum(t for _, t in made) <= best_fit(lengths.tolist(), limit)
 
 
 def test_packing_edges(edges, nothing):
