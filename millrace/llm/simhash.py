@@ -319,7 +319,7 @@ def near_components(rows: DataFrame, width: int = 5, similarity: float = 0.8, ba
     head = lambda df: df.select("key", F.col("id").alias("a"), F.col("size").alias("a_size"), F.col("largest").alias("a_largest"), *[c for c in ("a_group", "a_place", "a_keys", "a_bins") if c in df.columns])
     alike = (F.col("size") <= F.col("a_largest")) & (F.col("a_size") <= F.col("largest"))
     first_shared = F.element_at(F.array_intersect("a_keys", "keys"), 1) == F.col("key")
-    in_common = F.aggregate(F.zip_with("a_bins", "bins", F.least), F.lit(0), lambda n, x: n + x)  # at most
+    in_common = F.aggregate(F.zip_with("a_bins", "bins", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)  # at most
     enough = in_common >= (F.col("a_size") + F.col("size")) * (similarity / (1 + similarity)) - slack
 
     firsts = members.groupBy("key").agg(F.min_by(F.struct("id", "size", "largest"), F.struct("own", "id")).alias("f"), F.count("*").alias("n")).where("n > 1")
