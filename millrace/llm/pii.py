@@ -19,7 +19,7 @@ _HEX = r"[0-9A-Fa-f]{1,4}"
 #: Four digits four times or more, 4-6-5 and 4-6-4 digits, or in one piece: how cards are written as a rule.
 _LAYOUT = r"(?:\d{4}(?:[ -]\d{4}){3,11}|\d{4}[ -]\d{6}[ -]\d{4,5}|\d{13,19})" + _END
 PATTERNS = {
-    "email": r"(?<![\w.+%-])[\w+%-][\w.+%-]{0,63}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])",
+    "email": r"(?<![\w.+%-])[\w+%-](?:[\w.+%-]|(?<=\w)'(?=\w)){0,63}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])",
     "key": r"(?<!\w)AKIA[A-Z0-9]{16}(?!\w)",
     "secret": r'(?i:(?<![\w])(?:api[_-]?key|secret|token|password|passwd|pwd)\s{0,3}[=:]\s{0,3}"?[\w+/.~-]{8,200}"?)',
     "ip6": rf"(?<![\w:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:{_HEX}(?::{_HEX}){{0,6}})?)(?![\w:]|\.\w)",
@@ -38,11 +38,11 @@ ROUNDS = 10
 FIRST_DAY, DAYS = "1800-01-01", (381, 383)
 
 
-def _digest(key: str, *parts: Column | str) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(key), *(p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts)), 256)
+def _digest(key: Column, *parts: Column | str) -> Column:
+    return F.sha2(F.concat_ws("|", key, *(p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts)), 256)
 
 
-def feistel(key: str, kind: str, a: Column, b: Column, a_size: Column | int, b_size: Column | int) -> Column:
+def feistel(key: Column, kind: str, a: Column, b: Column, a_size: Column | int, b_size: Column | int) -> Column:
     """Struct (a, b) of a keyed permutation of 0 <= a < a_size, 0 <= b < b_size (both up to 10**15), by alternating rounds."""
     sizes = [x if isinstance(x, Column) else F.lit(x).cast("long") for x in (a_size, b_size)]
 
@@ -66,7 +66,7 @@ def _bound(value: Column, make) -> Column:
     return F.element_at(F.transform(F.array(value), make), 1)
 
 
-def _permuted_digits(key: str, kind: str, digits: Column) -> Column:
+def _permuted_digits(key: Column, kind: str, digits: Column) -> Column:
     """A permutation of the strings of as many digits, up to 30."""
     n = F.length(digits)
     left = F.floor(n / 2).cast("int")
@@ -86,13 +86,13 @@ def _valid_card(d: Column) -> Column:
     return F.length(d).between(13, 19) & F.call_function("luhn_check", d) & ~d.rlike("^0+$")
 
 
-def _new_card(key: str, d: Column) -> Column:
+def _new_card(key: Column, d: Column) -> Column:
     """The digits of another card that begins alike."""
     body = F.concat(F.substring(d, 1, 1), _permuted_digits(key, "card", F.substring(d, F.lit(2), F.length(d) - 2)))
     return _bound(body, lambda p: F.element_at(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda c: F.concat(p, c.cast("string"))), lambda x: F.call_function("luhn_check", x)), 1))
 
 
-def _card(key: str, m: Column) -> Column:
+def _card(key: Column, m: Column) -> Column:
     """A card as a whole; of more than four groups of four digits, each four in a row that prove valid."""
 
     def four(groups: Column, gaps: Column, i: Column) -> Column:
@@ -116,7 +116,7 @@ def _card(key: str, m: Column) -> Column:
     return _bound(F.regexp_replace(m, "[ -]", ""), whole)
 
 
-def _phone(key: str, m: Column) -> Column:
+def _phone(key: Column, m: Column) -> Column:
     def renamed(d: Column) -> Column:
         out = feistel(key, "phone", F.substring(d, -10, 3).cast("long") - 200, F.substring(d, -7, 7).cast("long") - 2_000_000, 800, 8_000_000)
         new = _bound(out, lambda s: F.concat((s["a"] + 200).cast("string"), (s["b"] + 2_000_000).cast("string")))
@@ -125,13 +125,13 @@ def _phone(key: str, m: Column) -> Column:
     return _bound(F.regexp_replace(m, "[^0-9]", ""), renamed)
 
 
-def _abroad(key: str, m: Column) -> Column:
+def _abroad(key: Column, m: Column) -> Column:
     """A number with another country's code, of 8 to 15 digits: all but the first two are permuted."""
     renamed = lambda d: F.when(F.length(d).between(8, 15), _refilled(m, F.concat(F.substring(d, 1, 2), _permuted_digits(key, "abroad", F.substring(d, F.lit(3), F.length(d) - 2))))).otherwise(m)
     return _bound(F.regexp_replace(m, "[^0-9]", ""), renamed)
 
 
-def _ip6(key: str, m: Column) -> Column:
+def _ip6(key: Column, m: Column) -> Column:
     """Eight groups, or at least three around a double colon; both halves are permuted, and the result has all groups."""
     side = lambda i: F.filter(F.split(F.get(F.split(m, "::"), F.lit(i)), ":"), lambda x: x != "")
     left, right = side(0), F.when(m.contains("::"), side(1)).otherwise(F.array().cast("array<string>"))
@@ -147,7 +147,7 @@ def _ip6(key: str, m: Column) -> Column:
     return F.when(enough & (F.size(left) + F.size(right) <= F.when(m.contains("::"), 7).otherwise(8)), _bound(groups, renamed)).otherwise(m)
 
 
-def _ip(key: str, m: Column) -> Column:
+def _ip(key: Column, m: Column) -> Column:
     def renamed(o: Column) -> Column:
         out = feistel(key, "ip", o[0] * 256 + o[1], o[2] * 256 + o[3], 1 << 16, 1 << 16)
         new = _bound(out, lambda s: F.concat_ws(".", F.floor(s["a"] / 256).cast("string"), (s["a"] % 256).cast("string"), F.floor(s["b"] / 256).cast("string"), (s["b"] % 256).cast("string")))
@@ -156,7 +156,7 @@ def _ip(key: str, m: Column) -> Column:
     return _bound(F.transform(F.split(m, r"\."), lambda x: x.cast("long")), renamed)
 
 
-def _ssn(key: str, m: Column) -> Column:
+def _ssn(key: Column, m: Column) -> Column:
     part = lambda i, n: F.substring(m, i, n).cast("long")
     area = F.when(part(1, 3) > 666, part(1, 3) - 2).otherwise(part(1, 3) - 1)
     out = feistel(key, "ssn", area, (part(5, 2) - 1) * 9999 + part(8, 4) - 1, 898, 99 * 9999)
@@ -164,7 +164,7 @@ def _ssn(key: str, m: Column) -> Column:
     return F.when(m.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"), new).otherwise(m)
 
 
-def _other_day(key: str, day: Column, write) -> Column:
+def _other_day(key: Column, day: Column, write) -> Column:
     """write(another date) for a date of the permuted ones, else null."""
 
     def renamed(n: Column) -> Column:
@@ -175,11 +175,11 @@ def _other_day(key: str, day: Column, write) -> Column:
     return _bound(F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long"), renamed)
 
 
-def _date(key: str, m: Column) -> Column:
+def _date(key: Column, m: Column) -> Column:
     return F.coalesce(_other_day(key, m.try_cast("date"), lambda d: F.date_format(d, "yyyy-MM-dd")), m)
 
 
-def _day(key: str, m: Column) -> Column:
+def _day(key: Column, m: Column) -> Column:
     """Month, day and year between slashes, or day first where that is no date; day, month and year between dots. Single digits stay single where they can."""
     p = F.split(m, "[/.]")
     date = lambda month, day: F.concat_ws("-", p[2], _padded(month, 2), _padded(day, 2)).try_cast("date")
@@ -198,7 +198,7 @@ def _rest(text: Column) -> Column:
     return F.aggregate(F.split(text, ""), F.lit(0), step)
 
 
-def _iban(key: str, m: Column) -> Column:
+def _iban(key: Column, m: Column) -> Column:
     """An account's digits are permuted, its letters stay, the check digits are worked out anew. Of groups, the most that prove valid."""
 
     def renamed(x: Column) -> Column:
@@ -215,11 +215,11 @@ def _iban(key: str, m: Column) -> Column:
     return F.coalesce(_bound(F.get(F.filter(prefixes, valid), F.lit(0)), lambda x: F.when(x.isNotNull(), shaped(x))), m)
 
 
-def _email(key: str, m: Column) -> Column:
+def _email(key: Column, m: Column) -> Column:
     return F.concat(F.lit("u"), F.substring(_digest(key, "email", F.lower(m)), 1, 16), F.lit("@d"), F.substring(_digest(key, "domain", F.lower(F.substring_index(m, "@", -1))), 1, 8), F.lit(".example"))
 
 
-def _secret(key: str, m: Column) -> Column:
+def _secret(key: Column, m: Column) -> Column:
     """The name and sign stay; the value becomes as many hexadecimal digits."""
     head = F.regexp_extract(m, r'^(?s)([^=:]*[=:]\s*"?)', 1)
     tail = F.when(m.endswith('"'), '"').otherwise("")
@@ -227,7 +227,7 @@ def _secret(key: str, m: Column) -> Column:
     return F.concat(head, F.substring(F.repeat(_digest(key, "secret", F.substring(m, F.length(head) + 1, n)), 4), F.lit(1), n), tail)
 
 
-def _pseudonym(key: str, m: Column) -> Column:
+def _pseudonym(key: Column, m: Column) -> Column:
     full = lambda kind: m.rlike("^(?:" + PATTERNS[kind] + ")$")
     makers = {
         "email": _email, "key": lambda k, x: F.concat(F.lit("AKIA"), F.upper(F.substring(_digest(k, "key", x), 1, 16))), "secret": _secret,
@@ -241,12 +241,15 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str | Non
 
     Findings that don't prove valid stay, and so do cards of 19 digits in groups. Null and empty texts stay as they are, with count 0; all other columns and all
     rows stay, repeated ones too; an empty table gives an empty result. Keep the key secret: it undoes linkage only by being lost.
+    It comes to the rows from a table of its own, so plans and event logs don't show it.
     """
     if count is not None and count in docs.columns:
         raise ValueError(f"{count} is a column already")
-    value, held = F.col(f"`{text}`"), next(n for n in ("__pairs", *(f"__pairs{i}" for i in range(len(docs.columns)))) if n not in docs.columns)
-    pairs = F.transform(F.regexp_extract_all(value, F.lit(PATTERN), F.lit(0)), lambda m: F.struct(m.alias("old"), _pseudonym(key, m).alias("new")))
-    out = docs.withColumn(held, F.when(value.rlike("[0-9@=:]") & value.rlike(PATTERN), pairs))
+    free = lambda name: next(n for n in (name, *(f"{name}{i}" for i in range(len(docs.columns)))) if n not in docs.columns)
+    value, held, secret = F.col(f"`{text}`"), free("__pairs"), free("__secret")
+    given = docs.withColumn(secret, docs.sparkSession.createDataFrame([(key,)], "k string").scalar())
+    pairs = F.transform(F.regexp_extract_all(value, F.lit(PATTERN), F.lit(0)), lambda m: F.struct(m.alias("old"), _pseudonym(F.col(secret), m).alias("new")))
+    out = given.withColumn(held, F.when(value.rlike("[0-9@=:]") & value.rlike(PATTERN), pairs))
     joined = F.array_join(F.zip_with(F.split(value, PATTERN, -1), F.concat(F.col(held)["new"], F.array(F.lit(""))), lambda gap, m: F.concat(gap, m)), "")
     changed = F.size(F.filter(held, lambda x: x["old"] != x["new"]))
     columns = [F.when(F.col(held).isNull(), value).otherwise(joined).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]

@@ -10,7 +10,7 @@ import re
 EDGE, END = r"(?<![\w.+-])", r"(?![\w-]|\.\w)"
 LAYOUT = rf"(?:\d{{4}}(?:[ -]\d{{4}}){{3,11}}|\d{{4}}[ -]\d{{6}}[ -]\d{{4,5}}|\d{{13,19}}){END}"
 FINDERS = [
-    ("email", r"(?<![\w.+%-])[\w+%-][\w.+%-]{0,63}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])"),
+    ("email", r"(?<![\w.+%-])[\w+%-](?:[\w.+%-]|(?<=\w)'(?=\w)){0,63}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])"),
     ("key", r"(?<!\w)AKIA[A-Z0-9]{16}(?!\w)"),
     ("secret", r'(?i:(?<![\w])(?:api[_-]?key|secret|token|password|passwd|pwd)\s{0,3}[=:]\s{0,3}"?[\w+/.~-]{8,200}"?)'),
     ("ip6", r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![\w:]|\.\w)"),

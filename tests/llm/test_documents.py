@@ -183,6 +183,13 @@ def test_packing(spark, texts):
     assert used <= best_fit([r.length for r in rows], 1024)
 
 
+def test_the_key_is_in_no_plan(docs, capsys):
+    frame = pii.pseudonymise(docs, "a very secret key")
+    frame.explain(True)
+    shown = capsys.readouterr().out
+    assert "Physical Plan" in shown and "very secret" not in shown and "very secret" not in frame._jdf.queryExecution().toString()
+
+
 def best_fit(lengths, limit):
     """Sequences that plain best-fit decreasing takes."""
     gaps = Counter()
@@ -416,7 +423,7 @@ def test_pii_against_python(spark, docs, texts):
     odd = [
         "4111 1111 1111 1111 12/27", "12 4111 1111 1111 1111", "4111111111111111 123", "1111 4111 1111 1111 1112 5555 5555 5555 4444 0000", "3782 822463 10005", "4111-1111-1111-1112", "6011000990139424 4111 11111111 1111",
         "on 2024-02-29 and 1850-07-01 and 2/29/2024, 31/12/2023, 30.6.1999, 31.02.2024, 1799-01-01", "GB82 WEST 1234 5698 7654 32 ABCD and GB82WEST12345698765432 DE89 3704 0044 0532 0130 00, FR1420041010050500013M02606",
-        "+44 20 7946 0958, +49 (30) 901820, +1 (207) 555-7294, +7 12", "2001:db8::8a2e:370:7334 and 2001:0db8:0000:0000:0000:8a2e:0370:7334 std::vector fe80::1 12:30:45 1:2:3:4:5:6:7:8 a::b:c",
+        "+44 20 7946 0958, +49 (30) 901820, +1 (207) 555-7294, +7 12", "2001:db8::8a2e:370:7334 and 2001:0db8:0000:0000:0000:8a2e:0370:7334 std::vector fe80::1 12:30:45 1:2:3:4:5:6:7:8 a::b:c", "write to John.O'Neil@ex.com, 'john@ex.com' or d'arcy'@ex.org",
     ]
     rows = pii.pseudonymise(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").withColumn("__pairs", F.lit(1)), "k", count="n").orderBy("doc_id").collect()
     assert [(r.text, r.n) for r in rows] == [plain_pii.pseudonymise(t, "k") for t in odd] and rows[0]["__pairs"] == 1
@@ -426,7 +433,7 @@ def test_pii_against_python(spark, docs, texts):
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
 
-    out = spark.range(7 * 11).select(pii.feistel("k", "t", F.floor(F.col("id") / 11), F.col("id") % 11, 7, 11).alias("x")).select("x.*").collect()
+    out = spark.range(7 * 11).select(pii.feistel(F.lit("k"), "t", F.floor(F.col("id") / 11), F.col("id") % 11, 7, 11).alias("x")).select("x.*").collect()
     assert sorted(map(tuple, out)) == [(a, b) for a in range(7) for b in range(11)]
 
 
