@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +23,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scan import Table, mixed, word_hashes
-from .shared import new_path, slices, stored
+from .shared import new_path, slices, small_batches, stored
+
+
+
+@dataclass(frozen=True)
+class Tiles:
+    """Ids in the first band; cells of a tile that are addressed directly; pairs that a task counts at once; pairs of a tile's part."""
+
+    band: int = 1024
+    cells: int = 1 << 22
+    held: int = 1 << 20
+    part: int = 1 << 22
+
 
-#: Ids in the first band; cells of a tile that are addressed directly; pairs and words that a task counts at once.
-BAND, CELLS, HELD = 1024, 1 << 22, 1 << 22
-#: Pairs of a tile's part, which decides the number of parts of the tiles.
-PART = 1 << 22
 #: Ids of words that workers don't hold.
 TAIL = 1 << 62
 _END = re.compile(rb"[.,;:!?\x0A-\x0D]")
@@ -67,7 +76,7 @@ def _follows(data: bytes) -> np.ndarray:
     return piece[1:] == piece[:-1]
 
 
-def _vocabulary(texts: DataFrame) -> DataFrame:
+def _vocabulary(texts: DataFrame, held: int) -> DataFrame:
     """(lang, word, h, f) of texts(lang, text): occurrences of each word; of a null word: of all words."""
     fields = [("lang", pa.string()), ("word", pa.string()), ("h", pa.int64()), ("f", pa.int64())]
 
@@ -95,7 +104,7 @@ def _vocabulary(texts: DataFrame) -> DataFrame:
                     if len(words) > len(counts):
                         counts = np.r_[counts, np.zeros(max(len(counts), len(words) - len(counts)), np.int64)]
                 counts[at] += n
-                if len(words) > HELD // 4:
+                if len(words) > held // 2:
                     yield out()
                     known, langs, words, hashes, counts, totals = Table(), [], [], [], np.zeros(1 << 16, np.int64), {}
         yield out()
@@ -139,9 +148,9 @@ def _pair_keys(x: np.ndarray, y: np.ndarray, lang: str) -> np.ndarray:
     return mixed(mixed(x.view(np.uint64) + np.uint64(_seed(lang))) ^ (y.view(np.uint64) * _ODD))
 
 
-def _band(ids: np.ndarray) -> np.ndarray:
-    """0 for the first BAND ids, then 1 for as many, 2 for twice as many and so on; 63 for the tail."""
-    return np.where(ids >= TAIL, 63, np.frexp(ids.clip(0, 1 << 50) // BAND)[1])
+def _band(ids: np.ndarray, first: int) -> np.ndarray:
+    """0 for the `first` ids, then 1 for as many, 2 for twice as many and so on; 63 for the tail."""
+    return np.where(ids >= TAIL, 63, np.frexp(ids.clip(0, 1 << 50) // first)[1])
 
 
 def _summed(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,35 +173,35 @@ def _summed(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np
 class _Buffer:
     """Pairs of one language that a task counts: of the most frequent ids by bincount, others as coordinates."""
 
-    side = 2 * BAND
-
-    def __init__(self) -> None:
-        self.cells, self.x, self.y, self.n, self.size = [], [], [], [], 0
+    def __init__(self, side: int) -> None:
+        self.side, self.cells, self.x, self.y, self.size = side, [], [], [], 0
 
     def add(self, x: np.ndarray, y: np.ndarray) -> None:
         head = (x < self.side) & (y < self.side)
         self.cells.append((x[head] * self.side + y[head]).astype(np.int32))
-        self.x.append(x[~head]), self.y.append(y[~head])
+        small = np.int32 if max(int(x.max()), int(y.max())) < 1 << 31 else np.int64
+        self.x.append(x[~head].astype(small)), self.y.append(y[~head].astype(small))
         self.size += len(x)
 
     def counted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         cells = np.bincount(np.concatenate(self.cells), minlength=1)
         there = np.flatnonzero(cells)
-        x, y = np.concatenate(self.x), np.concatenate(self.y)
-        x, y, n = _summed(x, y, np.ones(len(x), np.int64))
+        x, y = np.concatenate(self.x).astype(np.int64), np.concatenate(self.y).astype(np.int64)
+        self.x = self.y = self.cells = []
+        x, y, n = _summed(x, y, np.broadcast_to(np.int64(1), len(x)))
         return np.r_[there // self.side, x], np.r_[there % self.side, y], np.r_[cells[there], n]
 
 
-def _count(texts: DataFrame, ids: Callable[[str, bytes], tuple[np.ndarray, np.ndarray]], least: int, total: int) -> DataFrame:
+def _count(texts: DataFrame, ids: Callable[[str, bytes], tuple[np.ndarray, np.ndarray]], least: int, total: int, tiles: Tiles) -> DataFrame:
     """(lang, x, y, a) of the pairs that ids(lang, data) gives at least `least` times in all texts(lang, text), stored.
 
     total: words of all texts, which decides the number of parts a tile is cut into, by x.
     """
-    parts = 1 << max(0, int(np.ceil(np.log2(max(1, total / (PART * 64))))))  # bands of both sides have equal shares: some 64 tiles hold most
+    parts = 1 << max(0, int(np.ceil(np.log2(max(1, total / (tiles.part * 64))))))  # bands of both sides have equal shares: some 64 tiles hold most
 
     def emit(lang: str, buffer: _Buffer) -> pa.RecordBatch:
         x, y, n = buffer.counted()
-        tile = (_band(x) * 64 + _band(y)) * parts + np.where(x >= TAIL, x >> 7, x) % parts
+        tile = (_band(x, tiles.band) * 64 + _band(y, tiles.band)) * parts + np.where(x >= TAIL, x >> 7, x) % parts
         order = np.argsort(tile, kind="stable")
         tile, x, y, n = tile[order], x[order], y[order], n[order]
         cuts = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]]) if len(tile) else np.zeros(0, np.int64)
@@ -208,8 +217,8 @@ def _count(texts: DataFrame, ids: Callable[[str, bytes], tuple[np.ndarray, np.nd
             for lang, data in _chunks(b):
                 x, y = ids(lang, data)
                 if len(x):
-                    held.setdefault(lang, _Buffer()).add(x, y)
-                if sum(v.size for v in held.values()) > HELD:
+                    held.setdefault(lang, _Buffer(2 * tiles.band)).add(x, y)
+                if sum(v.size for v in held.values()) > tiles.held:
                     fullest = max(held, key=lambda k: held[k].size)
                     yield emit(fullest, held.pop(fullest))
         for lang, buffer in held.items():
@@ -217,8 +226,8 @@ def _count(texts: DataFrame, ids: Callable[[str, bytes], tuple[np.ndarray, np.nd
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, dense, held, size = None, None, [], 0
-        start = lambda band: 0 if band == 0 else BAND << (band - 1)
-        width = lambda band: BAND << max(0, band - 1)
+        start = lambda band: 0 if band == 0 else tiles.band << (band - 1)
+        width = lambda band: tiles.band << max(0, band - 1)
 
         def out() -> Iterator[pa.RecordBatch]:
             lang, tile = now
@@ -239,30 +248,29 @@ def _count(texts: DataFrame, ids: Callable[[str, bytes], tuple[np.ndarray, np.nd
             size = len(held[0][0])
 
         read = lambda v, n: np.frombuffer(v, "<i4" if len(v) == 4 * n else "<i8").astype(np.int64)
-        limit = HELD
-        for b in batches:  # in order of lang and tile
-            for lang, tile, n, *blobs in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (lang, tile) != now:
-                    if now:
-                        if dense is None:
-                            squeeze()
-                        yield from out()
-                    now, held, size, limit = (lang, tile), [], 0, HELD
-                    bx, by = tile // parts // 64, tile // parts % 64
-                    cells = 0 if 63 in (bx, by) else -(-width(bx) // parts) * width(by)
-                    dense = np.zeros(cells, np.int64) if 0 < cells <= CELLS else None
-                x, y, k = (read(v, n) for v in blobs)
-                if dense is not None:
-                    at = (x - start(bx)) // parts * width(by) + y - start(by)
-                    dense += np.bincount(at, weights=k, minlength=len(dense)).astype(np.int64) if n * 8 > len(dense) else 0
-                    if n * 8 <= len(dense):
-                        dense[at] += k  # cells of one row are all different
-                else:
-                    held.append((x, y, k))
-                    size += n
-                    if size > limit:
+        limit = tiles.held
+        for lang, tile, n, *blobs in (row for b in slices(batches, 16) for row in zip(*(c.to_pylist() for c in b.columns), strict=True)):  # in order of lang and tile
+            if (lang, tile) != now:
+                if now:
+                    if dense is None:
                         squeeze()
-                        limit = max(HELD, 2 * size)
+                    yield from out()
+                now, held, size, limit = (lang, tile), [], 0, tiles.held
+                bx, by = tile // parts // 64, tile // parts % 64
+                cells = 0 if 63 in (bx, by) else -(-width(bx) // parts) * width(by)
+                dense = np.zeros(cells, np.int64) if 0 < cells <= tiles.cells else None
+            x, y, k = (read(v, n) for v in blobs)
+            if dense is not None:
+                at = (x - start(bx)) // parts * width(by) + y - start(by)
+                dense += np.bincount(at, weights=k, minlength=len(dense)).astype(np.int64) if n * 8 > len(dense) else 0
+                if n * 8 <= len(dense):
+                    dense[at] += k  # cells of one row are all different
+            else:
+                held.append((x, y, k))
+                size += n
+                if size > limit:
+                    squeeze()
+                    limit = max(tiles.held, 2 * size)
         if now:
             if dense is None:
                 squeeze()
@@ -291,7 +299,7 @@ def _with_ids(rows: DataFrame, key: str, most: int, name: str) -> tuple[DataFram
     return numbered, _Ids(keys, table.column(1).to_numpy().astype(np.int64), len(keys) == total)
 
 
-def collocations(docs: DataFrame, least: int = 10, top: int = 2000, contained: int = 50, listed: int = 1 << 21) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 10, top: int = 2000, contained: int = 50, listed: int = 1 << 21, tiles: Tiles = Tiles()) -> DataFrame:  # noqa: B008
     """(lang, rank, phrase, a, l, r, n, score): the `top` phrases of 2 or 3 words of each lang by the score of their weakest cut.
 
     docs(lang, text): A-Z are lower-cased, pieces end at . , ; : ! ? and LF to CR, words are parted by blanks and tabs; a null lang is
@@ -300,9 +308,14 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000, contained: i
     score = floor(1000000 a a / (l r)), exact for numbers below 10^15. A phrase inside a longer one that has at least `contained` % of its
     occurrences is left out. Ties go to the larger a, then to the phrase that is first in byte order.
     """
+    with small_batches(docs.sparkSession):
+        return _collocations(docs, least, top, contained, listed, tiles)
+
+
+def _collocations(docs: DataFrame, least: int, top: int, contained: int, listed: int, tiles: Tiles) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    vocabulary = stored(_vocabulary(texts).where((F.col("f") >= least) | F.col("word").isNull()), "vocabulary")
+    vocabulary = stored(_vocabulary(texts, tiles.held).where((F.col("f") >= least) | F.col("word").isNull()), "vocabulary")
     sizes = stored(vocabulary.where("word is null").groupBy("lang").agg(F.sum("f").alias("n")), "sizes")
     total = sizes.agg(F.sum("n")).first()[0] or 0
     words, word_ids = _with_ids(_ranked(vocabulary.where("word is not null"), "f", ["word"], "words"), "h", listed, "word-ids")
@@ -326,7 +339,7 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000, contained: i
                 key[lang == one] = _pair_keys(x[lang == one], y[lang == one], one)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(key.view(np.int64))], [*b.schema.names, "key"])
 
-    found = _count(texts, pairs_of, least, total).mapInArrow(keyed, "lang string, x long, y long, a long, key long")
+    found = _count(texts, pairs_of, least, total, tiles).mapInArrow(keyed, "lang string, x long, y long, a long, key long")
     pairs, pair_ids = _with_ids(_ranked(found, "a", ["x", "y"], "pairs"), "key", listed, "pair-ids")
     known = spark.sparkContext.broadcast(pair_ids)
 
@@ -340,7 +353,7 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000, contained: i
         at = np.flatnonzero((pair[:-1] >= 0) & (pair[1:] >= 0))
         return pair[at], x[at + 2]
 
-    triples = _count(texts, triples_of, least, total)
+    triples = _count(texts, triples_of, least, total, tiles)
     given.destroy(), known.destroy()
 
     pair = lambda k: pairs.select(F.col("lang").alias(f"lang{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("id", "x", "y", "a")))
