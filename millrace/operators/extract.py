@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
+from concurrent.futures import TimeoutError as FutureTimeout
+from dataclasses import dataclass
+from threading import Thread
 from typing import Protocol
 
 import pyarrow as pa
@@ -10,33 +15,29 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, udfs
+from ..sources.store import TableStore
 from . import chunking, rules
 
 DEFAULT, MOST_CANDIDATES = "Not Specified", 4
-_INSTRUCTIONS = """Read the chunk of a request-for-proposals document at the end and answer with ONE JSON object, nothing before or after it: no Markdown, no comments.
-
-What may be in it:
-- Only facts that this chunk states. Nothing guessed, concluded or calculated.
-- Only the field names of the list, spelt as they are there.
-- Only fields that the chunk supports. Leave all others out: no null, no "Not Specified" or the like; a field without support is a mistake.
-- Short values that keep dates, times, numbers, percentages, amounts of money, e-mail and web addresses, thresholds and counts exactly as written, and don't say a thing twice.
-
-What the fields mean:
-- Start Date and End Date: of the whole contract or project. Dates of phases, milestones, deadlines, vendor selection or expected completion are neither.
-- Budget: a budget of the project or contract that is stated as one.
-- RFP Contact: the official contact for the request or for questions about it.
-- Submission Method / Portal: how the proposal itself is handed in.
-- Contract Term / Duration: how long the whole contract lasts, and how it may be renewed.
-- Number of References Required: the exact or least number, where one is stated.
-- Evaluation Criteria & Weighting: the criteria with their points or weights; a section's heading alone is not enough.
-- Mandatory Submission Requirements: what a proposal has to contain or its sender has to do; a heading alone is not enough.
-- Mandatory Technical Requirements: what systems and technology have to fulfil; prices, vendors' experience and the form of submission don't belong here.
-- Summary: one short sentence or two on what the request is for.
-
-Field names:
-"""
-#: What a model is asked; the chunk follows.
-PROMPT = _INSTRUCTIONS + "".join(f"- {n}\n" for n in rules.NAMES) + "\nDOCUMENT CHUNK:\n"
+#: What tells a field from one that is easily taken for it.
+_HINTS = {
+    "Start Date": "when the contract begins", "End Date": "when the contract ends", "Number of References Required": "a number",
+    "Evaluation Criteria & Weighting (points breakdown by category)": "each criterion with its points", "Summary": "what is asked for, in one sentence",
+}
+
+
+def _asked_for(name: str, is_long: bool) -> str:
+    """A field's line in the prompt: its name, and how its value is to look."""
+    return f"- {name}: {_HINTS.get(name, 'a sentence or a list' if is_long else 'as it is written')}\n"
+
+
+#: What a model is asked, made from the field dimension; the chunk follows.
+PROMPT = (
+    "Below are the fields that a request for proposals may fill, then a part of one. Which fields does this part fill, and with what?\n"
+    "Reply with a JSON object of strings, keyed by the fields' names, without the fields on which the part is silent and without further text.\n\n"
+    + "".join(_asked_for(*field) for field in rules.FIELDS)
+    + "\nDOCUMENT CHUNK:\n"
+)
 USAGE = "raw string, finish_reason string, prompt_tokens long, completion_tokens long, total_tokens long, time_s double"
 
 
@@ -82,23 +83,78 @@ def usage(answer: dict) -> dict:
     return {"prompt_tokens": prompt_tokens, "completion_tokens": completion_tokens, "total_tokens": prompt_tokens + completion_tokens if total is None else int(total)}
 
 
-def ask(parts: DataFrame, backend: Backend, most_calls: int | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Calls:
+    """How calls are made: at most so many at once, each tried so often, with a pause that doubles, and given up after so many seconds."""
+
+    at_once: int = 2
+    attempts: int = 1
+    pause_s: float = 0.5
+    limit_s: float | None = None
+
+    def made(self, call: Callable[[], dict]) -> dict:
+        """The answer of a call, or why there is none; time_s covers all attempts unless the answer has its own."""
+        began, said = time.monotonic(), ""
+        for k in range(self.attempts):
+            if k:
+                time.sleep(self.pause_s * 2 ** (k - 1))
+            try:
+                answer = call() if self.limit_s is None else _within(call, self.limit_s)
+                return answer if answer.get("time_s") is not None else {**answer, "time_s": time.monotonic() - began}
+            except Exception as e:  # a failed call is a row, not a failed job
+                said = f"error: {e or type(e).__name__}"
+        return {"finish_reason": said, "time_s": time.monotonic() - began}
+
+
+def _within(call: Callable[[], dict], seconds: float) -> dict:
+    """The call's answer if it comes in time; a thread that is late is left to end by itself."""
+    out: Future = Future()
+
+    def run() -> None:
+        try:
+            out.set_result(call())
+        except Exception as e:
+            out.set_exception(e)
+
+    Thread(target=run, daemon=True).start()
+    try:
+        return out.result(seconds)
+    except FutureTimeout:
+        raise TimeoutError(f"no answer within {seconds} s") from None
+
+
+def ask(parts: DataFrame, backend: Backend, calls: Calls | None = None) -> DataFrame:
     """parts(..., model, chunk_text) with the backend's answer and what is read from it. A failed call has a null answer.
 
-    most_calls: so many tasks, each of which makes one call at a time, so a backend has no more calls than that at once.
+    Without calls each task makes one call after the other. With them the backend has at most calls.at_once calls at a time,
+    and as many while work is left: there are no more tasks than calls or cores, each with its share of the calls,
+    and a task makes the next call as soon as one of its own ends. Rows come back as answers do.
     """
+    spark = parts.sparkSession
+    tasks = None if calls is None else max(1, min(calls.at_once, spark.sparkContext.defaultParallelism))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        client = backend.connect()
-        for b in batches:
-            rows = []
-            for row in b.to_pylist():
-                try:
-                    answer = backend.answer(client, row["model"], PROMPT + row["chunk_text"])
-                except Exception as e:  # a failed call is a row, not a failed job
-                    answer = {"finish_reason": f"error: {e}"}
-                rows.append({**row, **{c: answer.get(c) for c in ("raw", "finish_reason", "time_s")}, **usage(answer)})
-            yield pa.RecordBatch.from_pylist(rows, schema=_arrow(b.schema))
+        from pyspark import TaskContext
+
+        client, how = backend.connect(), calls or Calls(at_once=1)
+        own = 1 if tasks is None else how.at_once // tasks + (TaskContext.get().partitionId() < how.at_once % tasks)
+
+        def asked(row: dict) -> dict:
+            answer = how.made(lambda: backend.answer(client, row["model"], PROMPT + row["chunk_text"]))
+            return {**row, **{c: answer.get(c) for c in ("raw", "finish_reason", "time_s")}, **usage(answer)}
+
+        schema = None
+        with ThreadPoolExecutor(own) as pool:
+            open_: set[Future] = set()
+            for b in batches:
+                schema = schema or _arrow(b.schema)
+                for row in b.to_pylist():
+                    if len(open_) >= own:
+                        done, open_ = wait(open_, return_when=FIRST_COMPLETED)
+                        yield pa.RecordBatch.from_pylist([f.result() for f in done], schema=schema)
+                    open_.add(pool.submit(asked, row))
+            if open_:
+                yield pa.RecordBatch.from_pylist([f.result() for f in open_], schema=schema)
 
     def _arrow(schema: pa.Schema) -> pa.Schema:
         kinds = {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}
@@ -107,10 +163,32 @@ def ask(parts: DataFrame, backend: Backend, most_calls: int | None = None) -> Da
         return schema
 
     columns = ", ".join(f"`{n}` {t}" for n, t in parts.dtypes)
-    dealt = parts if most_calls is None else parts.repartition(most_calls)
+    dealt = parts if tasks is None else parts.repartition(tasks)
     return read_answers(dealt.mapInArrow(run, f"{columns}, {USAGE}"))
 
 
+ANSWERS = f"model string, prompt_hash string, {USAGE}"
+
+
+def answer_log(spark: SparkSession, folder: str, buckets: int = 32) -> TableStore:
+    """The committed table of answers that were given, one for each model and prompt."""
+    return TableStore(spark, folder, ["model", "prompt_hash"], buckets)
+
+
+def ask_once(parts: DataFrame, backend: Backend, log: TableStore, calls: Calls | None = None) -> DataFrame:
+    """ask() that makes only calls whose answers the log doesn't have, each prompt once, and keeps their answers there.
+
+    Answers are committed before they are used, so a run that is repeated or fails later makes no call again; a call that
+    failed isn't kept and is made again by the next run.
+    """
+    keyed = parts.select("model", F.sha2(prompt(F.col("chunk_text")), 256).alias("prompt_hash"), "chunk_text").dropDuplicates(["model", "prompt_hash"])
+    known = log.read(schema=ANSWERS).select(F.col("model").alias("__m"), F.col("prompt_hash").alias("__h"))
+    new = keyed.join(known, F.col("model").eqNullSafe(F.col("__m")) & (F.col("prompt_hash") == F.col("__h")), "left_anti")
+    given = ask(new, backend, calls).where("raw IS NOT NULL").select(*[c.split()[0] for c in ANSWERS.split(", ")])
+    log.upsert(given, replace=False)
+    return replay(parts, log.read())
+
+
 def replay(parts: DataFrame, answers: DataFrame) -> DataFrame:
     """ask() from a table of answers(model, prompt_hash, raw, ...): prompt_hash is sha2 of the whole prompt."""
     keyed = parts.withColumn("prompt_hash", F.sha2(prompt(F.col("chunk_text")), 256))
@@ -200,11 +278,12 @@ def run_metrics(attempts: DataFrame, chunks: DataFrame, keys: list[str]) -> Data
     )
 
 
-def extract_documents(docs: DataFrame, models: list[str], backend: Backend, store, rule_set: str = "v5", most_calls: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(final values, run metrics) of docs(rfp, text): chunk, ask, recover, collect, select."""
+def extract_documents(docs: DataFrame, models: list[str], backend: Backend, store, rule_set: str = "v5", calls: Calls | None = None, log: TableStore | None = None) -> tuple[DataFrame, DataFrame]:
+    """(final values, run metrics) of docs(rfp, text): chunk, ask, recover, collect, select. With a log no call is made whose answer it has."""
     keys = ["rfp", "model"]
     parts = run_matrix(chunking.chunks(docs, "rfp"), models).select("rfp", "model", "chunk_no", "chunk_text")
-    attempts = store(with_recovery(parts, lambda p: ask(p, backend, most_calls), store))
+    asked = (lambda p: ask(p, backend, calls)) if log is None else (lambda p: ask_once(p, backend, log, calls))
+    attempts = store(with_recovery(parts, asked, store))
     best = best_candidates(candidates_of(attempts, keys), keys, rule_set)
     return final_values(best, run_matrix(docs.select("rfp"), models), keys), run_metrics(attempts, parts, keys)
 

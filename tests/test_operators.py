@@ -53,6 +53,71 @@ def test_rules(spark):
         assert (r.a, r.b) == case[3:], case
 
 
+def watched(folder):
+    class Watched:
+        """Counts the calls that are open, by files in a folder, and notes the most there were at once."""
+
+        def __init__(self, folder):
+            self.folder = str(folder)
+
+        def connect(self):
+            return None
+
+        def answer(self, client, model, prompt):
+            import os
+            import time
+            import uuid
+
+            name = uuid.uuid4().hex
+            open(f"{self.folder}/open-{name}", "w").close()
+            there = sum(f.startswith("open-") for f in os.listdir(self.folder))
+            open(f"{self.folder}/most-{there}-{name}", "w").close()
+            time.sleep(0.2)
+            os.remove(f"{self.folder}/open-{name}")
+            if "flaky" in prompt and sum(f.startswith("flaky") for f in os.listdir(self.folder)) < 2:
+                open(f"{self.folder}/flaky-{name}", "w").close()
+                raise ConnectionError("lost")
+            if "slow" in prompt:
+                time.sleep(20)
+            return {"raw": "{}", "usage": {"input_tokens": 1, "output_tokens": 2}}
+
+    return Watched(folder)
+
+
+def _parts(spark, chunks):
+    return spark.createDataFrame([("r", "m", i, c) for i, c in enumerate(chunks)], "rfp string, model string, chunk_no int, chunk_text string")
+
+
+@pytest.mark.parametrize("at_once", [1, 3, 11])
+def test_calls_at_once(spark, tmp_path, at_once):
+    n = 60 if at_once < 8 else 240
+    parts = _parts(spark, [f"chunk {i}" for i in range(n)])
+    got = extract.ask(parts, watched(tmp_path), extract.Calls(at_once=at_once)).collect()
+    most = [int(p.name.split("-")[1]) for p in tmp_path.glob("most-*")]
+    assert len(got) == len(most) == n and max(most) == at_once and {r.total_tokens for r in got} == {3} and all(r.cleaned_ok for r in got)
+
+
+def test_calls_are_tried_again_and_given_up(spark, tmp_path):
+    parts = _parts(spark, ["flaky", "slow", "fine"])
+    got = {r.chunk_text: r for r in extract.ask(parts, watched(tmp_path), extract.Calls(at_once=3, attempts=3, pause_s=0.01, limit_s=2.0)).collect()}
+    assert got["flaky"].raw == got["fine"].raw == "{}" and got["slow"].raw is None and "no answer within 2.0 s" in got["slow"].finish_reason and got["slow"].time_s > 6
+    once = extract.ask(_parts(spark, ["flaky"]), watched(tmp_path / ".."), extract.Calls(attempts=1)).first()
+    assert once.raw is None and once.finish_reason == "error: lost"
+
+
+def test_a_rerun_makes_no_call(spark, tmp_path):
+    (tmp_path / "calls").mkdir()
+    log = extract.answer_log(spark, f"file://{tmp_path}/log", buckets=4)
+    docs = spark.createDataFrame([("r1", "one"), ("r2", "two"), ("r3", "one"), ("r4", "flaky")], "rfp string, text string")
+    made = lambda: len(list((tmp_path / "calls").glob("most-*")))
+    runs = []
+    for calls in (3, 4, 5, 5):  # equal prompts are one call; a failed one is made again
+        final, metrics = extract.extract_documents(docs, ["m"], watched(tmp_path / "calls"), stored, log=log)
+        runs.append((final.count(), sorted((r.rfp, r.success) for r in metrics.collect())))
+        assert made() == calls
+    assert [x[0] for x in runs] == [96] * 4 and runs[-1] == runs[-2] and log.read().count() == 3
+
+
 def test_extraction(spark, tmp_path):
     class Scripted:
         """Fails whole chunks that are long, answers others."""
@@ -68,7 +133,7 @@ def test_extraction(spark, tmp_path):
             return {"raw": raw, "finish_reason": "stop", "prompt_tokens": 10, "completion_tokens": 1, "total_tokens": 11, "time_s": 0.1}
 
     docs = spark.createDataFrame([("r1", "a" * 6000), ("r2", "b" * 100), ("r3", "boom")], "rfp string, text string")
-    final, metrics = extract.extract_documents(docs, ["m"], Scripted(), stored, most_calls=2)
+    final, metrics = extract.extract_documents(docs, ["m"], Scripted(), stored, calls=extract.Calls(at_once=2))
     values = {(r.rfp, r.field): r.value for r in final.collect()}
     assert len(values) == 72 and values["r1", "Budget"] == "budget a" and values["r2", "Budget"] == "budget b" and values["r3", "Budget"] == values["r2", "Summary"] == "Not Specified"
     m = {r.rfp: r for r in metrics.collect()}
