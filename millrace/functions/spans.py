@@ -14,7 +14,7 @@ def spans(text: str, size: int = SIZE, overlap: int = OVERLAP, look_back: int =
         end = min(start + size, n)
         if end < n:
             low = max(end - look_back, start)
-            cut = max(text.rfind("\n\n", low, end), -1)
+            cut = text.rfind("\n\n", low, end)
             cut = cut if cut >= 0 else text.rfind("\n", low, end)
             if cut > start + least:
                 end = cut

@@ -66,6 +66,16 @@ class StubBackend:
         return {"raw": raw, "finish_reason": "stop", "prompt_tokens": len(prompt) // 4, "completion_tokens": len(raw) // 4, "total_tokens": len(prompt) // 4 + len(raw) // 4, "time_s": 0.0}
 
 
+class NoBackend:
+    """Answers nothing: for runs whose answers are all in a log."""
+
+    def connect(self) -> object:
+        raise RuntimeError("no backend to call")
+
+    def answer(self, client: object, model: str, prompt: str) -> dict:
+        raise RuntimeError("no backend to call")
+
+
 def run_matrix(docs: DataFrame, models: list[str]) -> DataFrame:
     """Every document with every model; the list of models is small and given."""
     return docs.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
@@ -136,7 +146,7 @@ def ask(parts: DataFrame, backend: Backend, calls: Calls | None = None) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        client, how = backend.connect(), calls or Calls(at_once=1)
+        how, client = calls or Calls(at_once=1), None
         own = 1 if tasks is None else how.at_once // tasks + (TaskContext.get().partitionId() < how.at_once % tasks)
 
         def asked(row: dict) -> dict:
@@ -146,8 +156,9 @@ def ask(parts: DataFrame, backend: Backend, calls: Calls | None = None) -> DataF
         schema = None
         with ThreadPoolExecutor(own) as pool:
             open_: set[Future] = set()
-            for b in batches:
-                schema = schema or _arrow(b.schema)
+            for b in (b for b in batches if len(b)):
+                if schema is None:
+                    schema, client = _arrow(b.schema), backend.connect()
                 for row in b.to_pylist():
                     if len(open_) >= own:
                         done, open_ = wait(open_, return_when=FIRST_COMPLETED)

@@ -182,6 +182,14 @@ def q_extract_stub(spark: SparkSession, sf: str) -> DataFrame:
     return extract.answers_as_json(final, ["rfp", "model"])
 
 
+def q_extract_logged(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole extraction once more from the log of its answers."""
+    docs, log = _documents(spark, sf).select(F.col("doc_id").alias("rfp"), "text"), extract.answer_log(spark, new_path(spark, "answers"))
+    for backend in (extract.StubBackend(), extract.NoBackend()):
+        final, _ = extract.extract_documents(docs, ["stub"], backend, stored, log=log)
+    return extract.answers_as_json(final, ["rfp", "model"])
+
+
 def q_upsert(spark: SparkSession, sf: str) -> DataFrame:
     docs = _documents(spark, sf)
     old = docs.groupBy("source").agg(F.count("*").alias("n"))

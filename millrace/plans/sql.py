@@ -207,7 +207,19 @@ COLLECTED = (
 )
 _KEEP = "regexp_replace({}, '[^0-9]', '', 'g')"
 
+#: The offline backend's answer to a chunk is its first line, as the summary.
+_LINE = r"""candidates AS (SELECT doc_id AS rfp_no, chunk_no AS line_no, 'Summary' AS field, '' AS excerpt,
+  regexp_replace(replace(replace(string_split(chunk_text, chr(10))[1], chr(92), ' '), '"', ''''), '[\x00-\x1F]', '', 'g') AS value FROM chunks)"""
+_STUB = (
+    with_(CHUNKS, _LINE, scored_top("v5"), recursive=True)
+    + f"""SELECT d.doc_id AS rfp, 'stub' AS model, '{{' || string_agg(to_json(f.field) || ':' || to_json(coalesce(b.value, 'Not Specified')), ',' ORDER BY f.n) || '}}' AS json
+FROM documents d CROSS JOIN (SELECT unnest([{', '.join(map(_q, rules.NAMES))}]) AS field, unnest(range({len(rules.NAMES)})) AS n) f
+LEFT JOIN (SELECT * FROM marked WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY rfp_no ORDER BY score DESC, idx) = 1) b ON b.rfp_no = d.doc_id AND b.field = f.field GROUP BY d.doc_id"""
+)
+
 ORACLES = {
+    "q_extract_stub": _STUB,
+    "q_extract_logged": _STUB,
     "q_model_quality": with_(*ALL_RUNS, SUMMARY) + "SELECT * FROM summary",
     "q_run_scores": with_(*ALL_RUNS) + "SELECT * FROM rated",
     "q_model_summary_ordered": with_(*ALL_RUNS, SUMMARY) + "SELECT model, rfps_evaluated, field_accuracy_pct, CAST(row_number() OVER (ORDER BY model) AS INTEGER) AS place FROM summary",

@@ -166,7 +166,7 @@ def test_field_scores(spark):
     assert (none.completeness_pct, none.hallucination_rate_pct, none.wrong_value_rate_pct) == (100.0, 0.0, 0.0)
 
 
-#: Published figures of the runs: accuracy, similarity, completeness, hallucination, wrong values, latency, tokens, JSON valid as it is and after cleaning.
+#: Fixed values, published figures of the runs: accuracy, similarity, completeness, hallucination, wrong values, latency, tokens, JSON valid as it is and after cleaning.
 GOLDEN_RUNS = {
     "Granite-8B-AWQ": [
         (54.17, 59.67, 88.89, 33.33, 38.89, 37.77, 34639, 83.33, 91.67), (50.0, 50.19, 85.71, 33.33, 38.1, 31.59, 31183, 91.67, 100.0), (29.17, 37.01, 61.9, 33.33, 38.1, 43.52, 32056, 55.56, 77.78),
