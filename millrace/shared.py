@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,8 +22,20 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def _own_dir(spark: SparkSession) -> str:
+    """The part of the shared folder that this application's tables are in."""
+    return f"{shared_dir(spark)}/millrace/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of this application; for its end, when no result that reads them is needed any more."""
+    store, folder = fs.FileSystem.from_uri(_own_dir(spark))
+    if store.get_file_info(folder).type == fs.FileType.Directory:
+        store.delete_dir(folder)
 
 
 def stored(df: DataFrame, name: str = "stored") -> DataFrame:

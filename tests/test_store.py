@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import os
 import random
 import threading
 
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import shared
 from millrace.operators import score
 from millrace.sources import files, nested, sinks
 from millrace.sources.store import TableStore
@@ -124,6 +126,15 @@ def test_json_of_many_files_and_odd_ones(spark, tmp_path):
             nested.json_entries(spark, str(tmp_path / "bad.json")).collect()
 
 
+def test_intermediate_tables_can_be_cleared(spark):
+    kept = shared.stored(spark.range(5), "some")
+    folder = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 2)[0]
+    assert kept.count() == 5 and os.path.isdir(folder) and spark.sparkContext.applicationId in folder
+    shared.clear(spark)
+    shared.clear(spark)
+    assert not os.path.exists(folder)
+
+
 def test_results_as_a_folder_of_parts(spark, tmp_path):
     runs = spark.range(300).select(F.concat(F.lit("r"), F.col("id") % 100).alias("rfp"), F.concat(F.lit("m"), F.floor(F.col("id") / 100)).alias("model"), (F.col("id") % 2 == 0).alias("success"), F.create_map(F.lit("Budget"), F.concat(F.lit('"{'), "id")).alias("output"))
     path = f"file://{tmp_path}/parts"
