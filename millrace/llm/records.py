@@ -146,7 +146,7 @@ def write_records(docs: DataFrame, path: str, end_id: int, folder: str | None =
 
 
 def read_records(manifest: DataFrame, at_once: int = 256) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of all records, read by their index; start: ids of all records before."""
+    """(doc_id, start, n_tokens, ids_crc32) of all records, read by their index; start: ids of all records before. An empty manifest gives an empty result; a record whose checksum is wrong is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
