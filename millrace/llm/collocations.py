@@ -34,7 +34,15 @@ class Tiles:
     band: int = 1024
     cells: int = 1 << 22
     held: int = 1 << 20
-    part: int = 1 << 22
+    part: int = 1 << 17
+
+    def start(self, band: int) -> int:
+        """First id of a band."""
+        return self.band << (band - 1) if band else 0
+
+    def width(self, band: int) -> int:
+        """Ids of a band."""
+        return self.band << max(0, band - 1)
 
 
 #: Ids of words that workers don't hold.
@@ -163,6 +171,8 @@ def _summed(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np
             key, n = np.unique(key, return_counts=True)
             return key >> 32, key & 0xFFFFFFFF, n
         order = np.argsort(key, kind="stable")
+    elif not y.any():
+        order = np.argsort(x, kind="stable")
     else:
         order = np.lexsort((y, x))
     x, y, n = x[order], y[order], n[order]
@@ -170,6 +180,18 @@ def _summed(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np
     return x[new], y[new], np.add.reduceat(n, new)
 
 
+def _planes(v: np.ndarray) -> bytes:
+    """Numbers from 0 as their lowest bytes, then their next ones and so on: high bytes, mostly zero, compress to next to nothing."""
+    k = max(1, (int(v.max()).bit_length() + 7) // 8)
+    return v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :k].T.tobytes()
+
+
+def _numbers(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : len(data) // n] = np.frombuffer(data, np.uint8).reshape(-1, n).T
+    return out.reshape(-1).view("<i8")
+
+
 class _Buffer:
     """Pairs of one language that a task counts: of the most frequent ids by bincount, others as coordinates."""
 
@@ -205,11 +227,16 @@ def _count(texts: DataFrame, ids: Callable[[str, bytes], tuple[np.ndarray, np.nd
         order = np.argsort(tile, kind="stable")
         tile, x, y, n = tile[order], x[order], y[order], n[order]
         cuts = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]]) if len(tile) else np.zeros(0, np.int64)
-        ends = np.r_[cuts[1:], len(tile)]
-        kind = lambda v, a, b: v[a:b].astype("<i8" if int(v[a:b].max()) >= 1 << 31 else "<i4").tobytes()
-        columns = [pa.array([lang] * len(cuts), pa.string()), pa.array(tile[cuts], pa.int64()), pa.array((ends - cuts).astype(np.int32))]
-        columns += [pa.array([kind(v, a, b) for a, b in zip(cuts.tolist(), ends.tolist(), strict=False)], pa.binary()) for v in (x, y, n)]
-        return pa.RecordBatch.from_arrays(columns, ["lang", "tile", "size", "x", "y", "n"])
+        rows = []
+        for a, b in zip(cuts.tolist(), np.r_[cuts[1:], len(tile)].tolist(), strict=False):
+            bx, by = divmod(int(tile[a]) // parts, 64)
+            if 63 in (bx, by):
+                rows.append((lang, int(tile[a]), b - a, _planes(x[a:b]), _planes(y[a:b]), _planes(n[a:b])))
+                continue
+            cell = (x[a:b] - tiles.start(bx)) // parts * tiles.width(by) + y[a:b] - tiles.start(by)  # ascending, as pairs are
+            rows.append((lang, int(tile[a]), b - a, _planes(np.diff(cell, prepend=0)), None, _planes(n[a:b])))
+        kinds = {"lang": pa.string(), "tile": pa.int64(), "size": pa.int32(), "x": pa.binary(), "y": pa.binary(), "n": pa.binary()}
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds.values(), strict=True)], list(kinds))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, _Buffer] = {}
@@ -225,19 +252,19 @@ def _count(texts: DataFrame, ids: Callable[[str, bytes], tuple[np.ndarray, np.nd
             yield emit(lang, buffer)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, dense, held, size = None, None, [], 0
-        start = lambda band: 0 if band == 0 else tiles.band << (band - 1)
-        width = lambda band: tiles.band << max(0, band - 1)
+        now, dense, held, size, limit = None, None, [], 0, tiles.held
 
         def out() -> Iterator[pa.RecordBatch]:
             lang, tile = now
+            bx, by = divmod(tile // parts, 64)
             if dense is not None:
-                bx, by = tile // parts // 64, tile // parts % 64
-                there = np.flatnonzero(dense >= least)
-                x, y, n = (there // width(by)) * parts + start(bx) + (tile % parts - start(bx)) % parts, there % width(by) + start(by), dense[there]
+                cell = np.flatnonzero(dense >= least)
+                n = dense[cell]
             else:
-                x, y, n = held[0]
-                x, y, n = (v[n >= least] for v in (x, y, n))
+                x, y, n = (v[held[0][2] >= least] for v in held[0])
+                cell = x
+            if 63 not in (bx, by):
+                x, y = cell // tiles.width(by) * parts + tiles.start(bx) + (tile - tiles.start(bx)) % parts, cell % tiles.width(by) + tiles.start(by)
             for at in range(0, len(x), 1 << 16):
                 cut = slice(at, at + (1 << 16))
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(x[cut]), pa.string()), *(pa.array(v[cut].astype(np.int64)) for v in (x, y, n))], ["lang", "x", "y", "a"])
@@ -247,30 +274,28 @@ def _count(texts: DataFrame, ids: Callable[[str, bytes], tuple[np.ndarray, np.nd
             held = [_summed(*(np.concatenate(v) for v in zip(*held, strict=True)))]
             size = len(held[0][0])
 
-        read = lambda v, n: np.frombuffer(v, "<i4" if len(v) == 4 * n else "<i8").astype(np.int64)
-        limit = tiles.held
-        for lang, tile, n, *blobs in (row for b in slices(batches, 16) for row in zip(*(c.to_pylist() for c in b.columns), strict=True)):  # in order of lang and tile
+        for lang, tile, n, x, y, k in (row for b in slices(batches, 16) for row in zip(*(c.to_pylist() for c in b.columns), strict=True)):  # in order of lang and tile
             if (lang, tile) != now:
                 if now:
                     if dense is None:
                         squeeze()
                     yield from out()
                 now, held, size, limit = (lang, tile), [], 0, tiles.held
-                bx, by = tile // parts // 64, tile // parts % 64
-                cells = 0 if 63 in (bx, by) else -(-width(bx) // parts) * width(by)
+                bx, by = divmod(tile // parts, 64)
+                cells = 0 if 63 in (bx, by) else -(-tiles.width(bx) // parts) * tiles.width(by)
                 dense = np.zeros(cells, np.int64) if 0 < cells <= tiles.cells else None
-            x, y, k = (read(v, n) for v in blobs)
-            if dense is not None:
-                at = (x - start(bx)) // parts * width(by) + y - start(by)
-                dense += np.bincount(at, weights=k, minlength=len(dense)).astype(np.int64) if n * 8 > len(dense) else 0
-                if n * 8 <= len(dense):
-                    dense[at] += k  # cells of one row are all different
-            else:
+            x, k = _numbers(x, n), _numbers(k, n)
+            x, y = (np.cumsum(x), np.zeros(n, np.int64)) if y is None else (x, _numbers(y, n))  # a cell's number, or both ids
+            if dense is None:
                 held.append((x, y, k))
                 size += n
                 if size > limit:
                     squeeze()
                     limit = max(tiles.held, 2 * size)
+            elif n * 8 > len(dense):
+                dense += np.bincount(x, weights=k, minlength=len(dense)).astype(np.int64)
+            else:
+                dense[x] += k  # cells of one row are all different
         if now:
             if dense is None:
                 squeeze()
