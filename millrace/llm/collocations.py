@@ -29,12 +29,13 @@ from .shared import new_path, slices, small_batches, stored
 
 @dataclass(frozen=True)
 class Tiles:
-    """Ids in the first band; cells of a tile that are addressed directly; pairs that a task counts at once; pairs of a tile's part."""
+    """Ids in the first band; cells of a tile that are addressed directly; pairs that a task counts at once; pairs of a tile's part; parts that a tile is cut into by one shuffle."""
 
     band: int = 1024
     cells: int = 1 << 22
     held: int = 1 << 20
-    part: int = 1 << 17
+    part: int = 1 << 20
+    fan: int = 64
 
     def start(self, band: int) -> int:
         """First id of a band."""
@@ -214,29 +215,74 @@ class _Buffer:
         return np.r_[there // self.side, x], np.r_[there % self.side, y], np.r_[cells[there], n]
 
 
+_KINDS = {"lang": pa.string(), "tile": pa.int64(), "size": pa.int32(), "x": pa.binary(), "y": pa.binary(), "n": pa.binary()}
+
+
+def _tile_rows(lang: str, x: np.ndarray, y: np.ndarray, n: np.ndarray, tiles: Tiles, parts: int) -> pa.RecordBatch:
+    """Counted pairs in order, as a row for each part of a tile."""
+    tile = (_band(x, tiles.band) * 64 + _band(y, tiles.band)) * parts + np.where(x >= TAIL, x >> 7, x) % parts
+    order = np.argsort(tile, kind="stable")
+    tile, x, y, n = tile[order], x[order], y[order], n[order]
+    cuts = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]]) if len(tile) else np.zeros(0, np.int64)
+    rows = []
+    for a, b in zip(cuts.tolist(), np.r_[cuts[1:], len(tile)].tolist(), strict=False):
+        bx, by = divmod(int(tile[a]) // parts, 64)
+        if 63 in (bx, by):
+            rows.append((lang, int(tile[a]), b - a, _planes(x[a:b]), _planes(y[a:b]), _planes(n[a:b])))
+            continue
+        cell = (x[a:b] - tiles.start(bx)) // parts * tiles.width(by) + y[a:b] - tiles.start(by)  # ascending, as pairs are
+        rows.append((lang, int(tile[a]), b - a, _planes(np.diff(cell, prepend=0)), None, _planes(n[a:b])))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, _KINDS.values(), strict=True)], list(_KINDS))
+
+
+def _ids_of(cell: np.ndarray, tile: int, tiles: Tiles, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both ids of the pairs with these cells in a part of a tile."""
+    bx, by = divmod(tile // parts, 64)
+    return cell // tiles.width(by) * parts + tiles.start(bx) + (tile - tiles.start(bx)) % parts, cell % tiles.width(by) + tiles.start(by)
+
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(lang, tile, cells or x, y or None, n) of rows of tiles."""
+    for b in slices(batches, 16):
+        for lang, tile, n, x, y, k in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            x = _numbers(x, n)
+            yield (lang, tile, np.cumsum(x), None, _numbers(k, n)) if y is None else (lang, tile, x, _numbers(y, n), _numbers(k, n))
+
+
+def _cut(rows: DataFrame, tiles: Tiles, parts: int, finer: int) -> DataFrame:
+    """Rows of tiles in `parts` parts as rows of tiles in more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, size = None, [], 0
+        for lang, tile, x, y, n in _in_order(batches):
+            if now is not None and (lang != now or size > tiles.held):
+                yield _tile_rows(now, *_summed(*(np.concatenate(v) for v in zip(*held, strict=True))), tiles, finer)
+                held, size = [], 0
+            x, y = _ids_of(x, tile, tiles, parts) if y is None else (x, y)
+            now, size = lang, size + len(n)
+            held.append((x, y, n))
+        if held:
+            yield _tile_rows(now, *_summed(*(np.concatenate(v) for v in zip(*held, strict=True))), tiles, finer)
+
+    return _by_tile(rows).mapInArrow(run, _TILE_ROWS)
+
+
+_TILE_ROWS = "lang string, tile long, size int, x binary, y binary, n binary"
+
+
+def _by_tile(rows: DataFrame) -> DataFrame:
+    return rows.repartition("lang", "tile").sortWithinPartitions("lang", "tile")
+
+
 def _count(texts: DataFrame, ids: Callable[[str, bytes], tuple[np.ndarray, np.ndarray]], least: int, total: int, tiles: Tiles) -> DataFrame:
     """(lang, x, y, a) of the pairs that ids(lang, data) gives at least `least` times in all texts(lang, text), stored.
 
-    total: words of all texts, which decides the number of parts a tile is cut into, by x.
+    total: words of all texts, which decides the number of parts a tile is cut into, by x. One shuffle cuts each part into `fan`
+    at most, so that rows don't become too many and small; if more are needed, counts so far are cut again.
     """
     parts = 1 << max(0, int(np.ceil(np.log2(max(1, total / (tiles.part * 64))))))  # bands of both sides have equal shares: some 64 tiles hold most
 
-    def emit(lang: str, buffer: _Buffer) -> pa.RecordBatch:
-        x, y, n = buffer.counted()
-        tile = (_band(x, tiles.band) * 64 + _band(y, tiles.band)) * parts + np.where(x >= TAIL, x >> 7, x) % parts
-        order = np.argsort(tile, kind="stable")
-        tile, x, y, n = tile[order], x[order], y[order], n[order]
-        cuts = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]]) if len(tile) else np.zeros(0, np.int64)
-        rows = []
-        for a, b in zip(cuts.tolist(), np.r_[cuts[1:], len(tile)].tolist(), strict=False):
-            bx, by = divmod(int(tile[a]) // parts, 64)
-            if 63 in (bx, by):
-                rows.append((lang, int(tile[a]), b - a, _planes(x[a:b]), _planes(y[a:b]), _planes(n[a:b])))
-                continue
-            cell = (x[a:b] - tiles.start(bx)) // parts * tiles.width(by) + y[a:b] - tiles.start(by)  # ascending, as pairs are
-            rows.append((lang, int(tile[a]), b - a, _planes(np.diff(cell, prepend=0)), None, _planes(n[a:b])))
-        kinds = {"lang": pa.string(), "tile": pa.int64(), "size": pa.int32(), "x": pa.binary(), "y": pa.binary(), "n": pa.binary()}
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds.values(), strict=True)], list(kinds))
+    first = min(parts, tiles.fan)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, _Buffer] = {}
@@ -247,24 +293,23 @@ def _count(texts: DataFrame, ids: Callable[[str, bytes], tuple[np.ndarray, np.nd
                     held.setdefault(lang, _Buffer(2 * tiles.band)).add(x, y)
                 if sum(v.size for v in held.values()) > tiles.held:
                     fullest = max(held, key=lambda k: held[k].size)
-                    yield emit(fullest, held.pop(fullest))
+                    yield _tile_rows(fullest, *held.pop(fullest).counted(), tiles, first)
         for lang, buffer in held.items():
-            yield emit(lang, buffer)
+            yield _tile_rows(lang, *buffer.counted(), tiles, first)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, dense, held, size, limit = None, None, [], 0, tiles.held
 
         def out() -> Iterator[pa.RecordBatch]:
             lang, tile = now
-            bx, by = divmod(tile // parts, 64)
             if dense is not None:
                 cell = np.flatnonzero(dense >= least)
                 n = dense[cell]
             else:
                 x, y, n = (v[held[0][2] >= least] for v in held[0])
                 cell = x
-            if 63 not in (bx, by):
-                x, y = cell // tiles.width(by) * parts + tiles.start(bx) + (tile - tiles.start(bx)) % parts, cell % tiles.width(by) + tiles.start(by)
+            if 63 not in divmod(tile // parts, 64):
+                x, y = _ids_of(cell, tile, tiles, parts)
             for at in range(0, len(x), 1 << 16):
                 cut = slice(at, at + (1 << 16))
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(x[cut]), pa.string()), *(pa.array(v[cut].astype(np.int64)) for v in (x, y, n))], ["lang", "x", "y", "a"])
@@ -274,7 +319,7 @@ def _count(texts: DataFrame, ids: Callable[[str, bytes], tuple[np.ndarray, np.nd
             held = [_summed(*(np.concatenate(v) for v in zip(*held, strict=True)))]
             size = len(held[0][0])
 
-        for lang, tile, n, x, y, k in (row for b in slices(batches, 16) for row in zip(*(c.to_pylist() for c in b.columns), strict=True)):  # in order of lang and tile
+        for lang, tile, x, y, k in _in_order(batches):
             if (lang, tile) != now:
                 if now:
                     if dense is None:
@@ -284,15 +329,13 @@ def _count(texts: DataFrame, ids: Callable[[str, bytes], tuple[np.ndarray, np.nd
                 bx, by = divmod(tile // parts, 64)
                 cells = 0 if 63 in (bx, by) else -(-tiles.width(bx) // parts) * tiles.width(by)
                 dense = np.zeros(cells, np.int64) if 0 < cells <= tiles.cells else None
-            x, k = _numbers(x, n), _numbers(k, n)
-            x, y = (np.cumsum(x), np.zeros(n, np.int64)) if y is None else (x, _numbers(y, n))  # a cell's number, or both ids
             if dense is None:
-                held.append((x, y, k))
-                size += n
+                held.append((x, np.zeros(len(x), np.int64) if y is None else y, k))
+                size += len(k)
                 if size > limit:
                     squeeze()
                     limit = max(tiles.held, 2 * size)
-            elif n * 8 > len(dense):
+            elif len(k) * 8 > len(dense):
                 dense += np.bincount(x, weights=k, minlength=len(dense)).astype(np.int64)
             else:
                 dense[x] += k  # cells of one row are all different
@@ -301,8 +344,11 @@ def _count(texts: DataFrame, ids: Callable[[str, bytes], tuple[np.ndarray, np.nd
                 squeeze()
             yield from out()
 
-    sent = texts.mapInArrow(count, "lang string, tile long, size int, x binary, y binary, n binary")
-    merged = sent.repartition("lang", "tile").sortWithinPartitions("lang", "tile").mapInArrow(merge, "lang string, x long, y long, a long")
+    sent = texts.mapInArrow(count, _TILE_ROWS)
+    there = first
+    while there < parts:
+        sent, there = _cut(sent, tiles, there, min(parts, there * tiles.fan)), min(parts, there * tiles.fan)
+    merged = _by_tile(sent).mapInArrow(merge, "lang string, x long, y long, a long")
     return stored(merged, "pairs")
 
 

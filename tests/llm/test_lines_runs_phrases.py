@@ -194,7 +194,7 @@ def test_collocations_query(spark, docs):
 
 
 @pytest.mark.parametrize("listed", [1 << 21, 40, 12])
-@pytest.mark.parametrize("tiles", [collocations.Tiles(), collocations.Tiles(band=4, cells=64, held=300, part=10)])
+@pytest.mark.parametrize("tiles", [collocations.Tiles(), collocations.Tiles(band=4, cells=64, held=300, part=10, fan=2)])
 def test_collocations_in_small_tiles_and_beyond_the_listed_ids(spark, listed, tiles):
     rng = np.random.default_rng(11)
     vocabulary = [f"{w}{i}" for i in range(60) for w in ("Éa", "wo", "日")]
