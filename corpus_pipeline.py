@@ -29,6 +29,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates - five-word shingles, similarity 0.8 or more: that of the smallest doc_id.
 
+    Candidates come from SimHash groups by ball hashing, and from min-hash bands what lies further apart; all are verified.
     Rows are told apart as rows: of repeated ones one stays, rows of one doc_id with other texts are documents of their own,
     rows without doc_id take part and come last. Null texts count as empty, and all empty texts are one group. No rows give none.
     """

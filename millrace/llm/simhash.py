@@ -291,10 +291,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 def near_components(rows: DataFrame, width: int = 5, similarity: float = 0.8, bands: int = 24, min_hashes: int = 6) -> DataFrame:
     """(doc_id, component) of rows(doc_id long, text): groups that links of a Jaccard similarity of word shingles from `similarity` on connect.
 
-    doc_id must be another one in each row and the same whenever the table is read. Candidates share a band, `min_hashes`
-    min-hashes of their shingles, in one of `bands` buckets: a pair of similarity s meets with probability
-    1 - (1 - s**min_hashes)**bands, however its texts differ. Two texts have no more shingles in common than either shares
-    with any other text, so a candidate pair for whose similarity these numbers are too small is none. All others are
+    doc_id must be another one in each row and the same whenever the table is read. Candidates are in one bucket: first that of
+    their SimHash group, as simhash_groups() finds it from fingerprints within 4 bits; then, for pairs whose fingerprints lie
+    further apart, those of `bands` bands of `min_hashes` min-hashes of their shingles, where a pair of similarity s meets with
+    probability 1 - (1 - s**min_hashes)**bands, however its texts differ. Two texts have no more shingles in common than either
+    shares with any other text, so a candidate pair for whose similarity these numbers are too small is none. All others are
     verified on whole texts, and only verified links spare comparisons: a bucket's first text, the one with the smallest part
     of its own, is compared with all others, then those after it, FACTOR times as many in each round, with the later ones they
     aren't connected to yet, until each two of a bucket are connected, compared or ruled out. From the second round on a pair
@@ -303,7 +304,9 @@ def near_components(rows: DataFrame, width: int = 5, similarity: float = 0.8, ba
     spark = rows.sparkSession
     with small_batches(spark):
         marked = stored(_band_keys(rows, width, bands, min_hashes), "bands")
-    nodes = stored(marked.groupBy("same").agg(F.min("doc_id").alias("id"), F.min_by("keys", "doc_id").alias("keys")), "nodes")
+    buckets = simhash_groups(rows, width).select(F.col("doc_id").alias("of"), F.xxhash64(F.lit("simhash"), "component_id").alias("group"))
+    nodes = marked.groupBy("same").agg(F.min("doc_id").alias("id"), F.min_by("keys", "doc_id").alias("bands"))
+    nodes = stored(nodes.join(buckets, F.col("id") == F.col("of")).select("same", "id", F.concat(F.array("group"), "bands").alias("keys")), "nodes")
     keyed = nodes.select("id", F.explode("keys").alias("key"))
     shared_keys = stored(keyed.groupBy("key").count().where("count > 1").select("key"), "keys")
     members = stored(keyed.join(broadcast_if_small(shared_keys), "key"), "members")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import corpus_pipeline
+import numpy as np
 from millrace.llm import simhash
 
 DATA = "/root/testdata/sf0.01"
@@ -54,3 +55,17 @@ def test_stages_on_odd_rows(spark):
     assert sum(stages["quality"](spark, docs, DATA).groupBy().count().first()) <= len(rows) and stages["pii"](spark, docs, DATA).count() == len(rows)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), DATA).count() == 0, name
+
+
+def test_near_copies_by_fingerprints(spark):
+    """Pairs of similarity 0.8 that share none of the bands, the odd ones of some thousand: their SimHashes bring them together."""
+    rows = []
+    for seed in (2709, 3498, 7183):
+        rng = np.random.default_rng(seed)
+        new = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]  # noqa: E731, B023
+        common = new(80)
+        rows += [(len(rows) + k, " ".join([*common * 10, *new(10)])) for k in (0, 1)]
+        sets, prints = ([f(text, 5) for _, text in rows[-2:]] for f in (simhash.shingles, simhash.fingerprint))
+        assert len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1]) and (prints[0] ^ prints[1]).bit_count() <= 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash"](spark, docs, DATA).collect()) == [0, 2, 4]
