@@ -70,7 +70,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts are one end id; rows without doc_id are left out; repeated rows have pieces each. No rows give none.
     """
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, limit=1024)
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, limit=1024, forget=True)
 
 
 STAGES = [("quality", keep_quality), ("simhash", keep_first), ("pii", pseudonymise), ("mixing", mix), ("packing", pack)]

@@ -44,8 +44,8 @@ def _decoded(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(gaps), twice.astype(bool)
 
 
-def sketch(table: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> np.ndarray:
-    """A bit for each of ROWS * 2**bits cells: counted twice or more. hashes gives those of a batch of the table's rows."""
+def sketch(table: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, at_once: int = HELD) -> np.ndarray:
+    """A bit for each of ROWS * 2**bits cells: counted twice or more. hashes gives those of a batch of the table's rows; a task sorts some `at_once` cells at a time."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -64,7 +64,7 @@ def sketch(table: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndar
             for h in hashes(b):
                 if len(h):
                     held.extend(_cells(h, row, bits) for row in range(ROWS))
-                if sum(map(len, held)) > HELD:
+                if sum(map(len, held)) > at_once:
                     yield out()
         if held:
             yield out()

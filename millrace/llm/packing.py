@@ -17,18 +17,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import slices, small_batches, stored
+from .shared import give_back, slices, small_batches, stored
 from .tokens import encoder
 
 #: Pieces of one length that are ranked together, and how many such blocks are counted together.
 RANKED, BLOCKS = 512, 4096
 
 
-def token_pieces(docs: DataFrame, path: str, end_id: int, limit: int, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, end_id: int, limit: int, with_ids: bool = False, forget: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of docs(doc_id, text): ids of the whole text, then end_id.
 
     Documents of up to `limit` ids are one piece; longer ones have a first piece of the remainder and then full ones.
-    Null and empty texts are the end id alone; rows without doc_id are left out; repeated rows have pieces each.
+    Null and empty texts are the end id alone; rows without doc_id are left out; repeated rows have pieces each. forget: a
+    worker's memory of words ends with each task, so that it takes no room beside what comes after.
     """
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids
 
@@ -42,6 +43,9 @@ def token_pieces(docs: DataFrame, path: str, end_id: int, limit: int, with_ids:
                 for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     rows.append((doc, k, i, j - i, zlib.crc32(ids[i:j].tobytes()), *([ids[i:j].astype(np.int32)] * with_ids)))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*rows, strict=True) if rows else [[]] * len(fields), fields, strict=True)], names=[n for n, _ in fields])
+        if forget:
+            tok.forget()
+            give_back()
 
     kept = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return kept.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
@@ -139,8 +143,8 @@ def pack(pieces: DataFrame, limit: int) -> DataFrame:
     return placed.select(*pieces.columns, (F.col("base") + F.col("rank")).alias("sequence_id"), F.col("offset"))
 
 
-def pack_documents(docs: DataFrame, path: str, end_id: int, limit: int = 1024, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, end_id: int, limit: int = 1024, with_ids: bool = False, forget: bool = False) -> DataFrame:
     """token_pieces() of docs with their places by pack()."""
     with small_batches(docs.sparkSession):
-        pieces = stored(token_pieces(docs, path, end_id, limit, with_ids), "pieces")
+        pieces = stored(token_pieces(docs, path, end_id, limit, with_ids, forget), "pieces")
     return pack(pieces, limit)

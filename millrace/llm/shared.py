@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -37,6 +38,13 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield b.slice(at, rows)
 
 
+def give_back() -> None:
+    """Gives the system what this worker has freed, which else stays with it while other stages run."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+        trim(0)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z, as the contracts ask; other letters may be lower-cased too, but none of them becomes an ASCII one.
 

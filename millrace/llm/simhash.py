@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .countmin import bits_for, counted_twice, sketch
 from .scan import mixed, shingle_hashes, word_hashes
-from .shared import broadcast_if_small, slices, small_batches, stored
+from .shared import broadcast_if_small, give_back, slices, small_batches, stored
 
 BITS = 64
 #: Variants that a cell's task holds at once; a fuller cell is halved by its next bit, again and again.
@@ -187,6 +187,7 @@ def _band_keys(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
         return np.min([(hashes[i : i + 2048, None] * by + plus).min(0) for i in range(0, len(hashes), 2048)], axis=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for b in slices(batches):
             same, minima = [], []
             for text in b.column(1).to_pylist():
@@ -229,7 +230,7 @@ def _sizes(sets: DataFrame, most_bits: int = 30) -> DataFrame:
     bits = bits_for(total, most_bits)
     own = lambda x: np.frombuffer(x.as_buffer(), np.uint64)
     joined = lambda b: (np.concatenate([own(x) for x in b.column(1)]) for _ in range(min(1, len(b))))
-    merged = sets.sparkSession.sparkContext.broadcast(sketch(sets, joined, bits))
+    merged = sets.sparkSession.sparkContext.broadcast(sketch(sets, joined, bits, 1 << 19))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -240,6 +241,7 @@ def _sizes(sets: DataFrame, most_bits: int = 30) -> DataFrame:
             bins = np.bincount(owner * BINS + (mixed(hashes) % np.uint64(BINS)).astype(np.int64), minlength=len(b) * BINS).astype(np.int32)
             bins = pa.ListArray.from_arrays(np.arange(0, len(bins) + 1, BINS, dtype=np.int32), bins)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(shared, pa.int64()), bins], ["doc_id", "size", "shared", "bins"])
+        give_back()
 
     out = stored(sets.mapInArrow(run, "doc_id long, size long, shared long, bins array<int>"), "sizes")
     merged.destroy()

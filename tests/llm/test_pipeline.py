@@ -38,6 +38,20 @@ def test_stages(spark, tmp_path):
     assert packed.groupby("sequence_id").length.sum().max() <= 1024 and set(packed.doc_id) == set(mixed.doc_id)
 
 
+def test_packing_forgets_words(spark):
+    """What a worker remembers for packing ends with the stage's task."""
+    docs = spark.createDataFrame([(1, "a few words of one text"), (2, None)], "doc_id long, text string").repartition(1)
+    assert dict(corpus_pipeline.STAGES)["packing"](spark, docs, DATA).count() == 2
+
+    def remembered(_):
+        from millrace.llm import tokens
+
+        return [e.words for e in tokens._encoders.values()]
+
+    cores = spark.sparkContext.defaultParallelism
+    assert not any(spark.sparkContext.parallelize(range(cores), cores).mapPartitions(remembered).collect())
+
+
 def test_stages_on_odd_rows(spark):
     """Repeated rows, one doc_id with two texts, rows without doc_id or text, a clashing column: what each stage keeps."""
     long = " ".join(f"w{i}" for i in range(60))
