@@ -25,6 +25,12 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.union(least.select(F.col("n").alias("a"), F.col("m").alias("b"))).distinct()
 
 
+def _are_stars(links: DataFrame) -> bool:
+    """links: a > b. Whether each node is linked to one smaller node at most, and only if none smaller is linked to that one."""
+    ends = links.select(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(links.select(F.col("b").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 and up > 0").isEmpty()
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of links(a long, b long); component is the smallest node reachable.
 
@@ -32,13 +38,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """
     shared_dir(links.sparkSession)
     now = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
-    seen = None
     for _ in range(rounds):
-        now = _small_star(_large_star(now)).checkpoint()
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == seen:
+        if _are_stars(now):  # whose centres are the smallest nodes
             break
-        seen = state
+        now = _small_star(_large_star(now)).checkpoint()
     else:
         raise RuntimeError(f"no fixed point after {rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

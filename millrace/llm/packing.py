@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import give_back, slices, small_batches, stored
+from .shared import give_back, slices, small_batches, small_table, stored
 from .tokens import encoder
 
 #: Pieces of one length that are ranked together, and how many such blocks are counted together.
@@ -42,6 +42,8 @@ def token_pieces(docs: DataFrame, path: str, end_id: int, limit: int, with_ids:
                 cuts = [0, *range(len(ids) % limit or limit, len(ids), limit), len(ids)]
                 for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     rows.append((doc, k, i, j - i, zlib.crc32(ids[i:j].tobytes()), *([ids[i:j].astype(np.int32)] * with_ids)))
+            if forget:
+                give_back()
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*rows, strict=True) if rows else [[]] * len(fields), fields, strict=True)], names=[n for n, _ in fields])
         if forget:
             tok.forget()
@@ -130,8 +132,9 @@ def pack(pieces: DataFrame, limit: int) -> DataFrame:
             taken[n] += times
             offset += n
         sequence += times
-    slot = spark.createDataFrame(slots, "slot_length long, low long, high long, base long, offset long")
-    blocks = spark.createDataFrame([(n, -(-c // RANKED)) for n, c in counts.items()], "length long, blocks long")
+    numbers = lambda rows, *names: small_table(spark, rows, pa.schema({n: pa.int64() for n in names}))
+    slot = numbers(slots, "slot_length", "low", "high", "base", "offset")
+    blocks = numbers([(n, -(-c // RANKED)) for n, c in counts.items()], "length", "blocks")
     dealt = pieces.join(F.broadcast(blocks), "length").withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), "blocks")).drop("blocks")
     before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     running = lambda over: F.coalesce(F.sum("n").over(over), F.lit(0))

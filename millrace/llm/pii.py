@@ -11,9 +11,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_table
+
 _EDGE, _END = r"(?<![\w.+-])", r"(?![\w-]|\.\w)"
 _HEX = r"[0-9A-Fa-f]{1,4}"
 #: Four digits four times or more, 4-6-5 and 4-6-4 digits, or in one piece: how cards are written as a rule.
@@ -247,7 +250,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str | Non
         raise ValueError(f"{count} is a column already")
     free = lambda name: next(n for n in (name, *(f"{name}{i}" for i in range(len(docs.columns)))) if n not in docs.columns)
     value, held, secret = F.col(f"`{text}`"), free("__pairs"), free("__secret")
-    given = docs.withColumn(secret, docs.sparkSession.createDataFrame([(key,)], "k string").scalar())
+    given = docs.withColumn(secret, small_table(docs.sparkSession, [(key,)], pa.schema({"k": pa.string()})).scalar())
     pairs = F.transform(F.regexp_extract_all(value, F.lit(PATTERN), F.lit(0)), lambda m: F.struct(m.alias("old"), _pseudonym(F.col(secret), m).alias("new")))
     out = given.withColumn(held, F.when(value.rlike("[0-9@=:]") & value.rlike(PATTERN), pairs))
     joined = F.array_join(F.zip_with(F.split(value, PATTERN, -1), F.concat(F.col(held)["new"], F.array(F.lit(""))), lambda gap, m: F.concat(gap, m)), "")

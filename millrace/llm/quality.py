@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices
+from .shared import give_back, slices
 
 THRESHOLD = 0.3
 
@@ -109,6 +109,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, most_bytes: i
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
     model.weights = _logistic(_terms((x - model.mean) / model.scale), y)
     model.weights[0] += np.log(rate / (1 - rate)) - np.log(y.mean() / (1 - y.mean()))  # classes were sampled evenly
+    del texts
+    give_back()
     return model
 
 
@@ -127,11 +129,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, all columns, whose text the model does not reject; nulls count as empty, no row is shuffled."""
+    """The rows of docs, all columns, whose text the model does not reject; nulls count as empty, no row is shuffled.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            scores = model.score([(t or "").encode() for t in b.column("text").to_pylist()])
-            yield b.filter(pa.array(scores >= THRESHOLD, pa.bool_()))
+    Only texts go to the workers and only verdicts come back: whole rows would be held in batches on both sides, both ways.
+    """
+
+    @F.arrow_udf("boolean")
+    def good(text: pa.Array) -> pa.Array:
+        parts = (text.slice(at, 512).to_pylist() for at in range(0, len(text), 512))
+        return pa.array(np.concatenate([np.zeros(0), *(model.score([(t or "").encode() for t in p]) for p in parts)]) >= THRESHOLD, pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(good(F.col("text").cast("string")))

@@ -68,7 +68,7 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
 def bytes_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A quick hash of each data[start:end] of up to a few million bytes, for look-ups that compare what they find."""
     if not _powers or len(_powers[0]) <= len(data):
-        size = max(1 << 20, 1 << len(data).bit_length())
+        size = max(1 << 16, 1 << len(data).bit_length())
         _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size - 1, b, np.uint64)]) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
     up, down = _powers
     sums = np.zeros(len(data) + 1, np.uint64)

@@ -45,6 +45,12 @@ def give_back() -> None:
         trim(0)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
+    """A table of a few rows that the driver has; it comes as Arrow data, so executors start no Python workers for it."""
+    columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
+    return spark.createDataFrame(pa.table([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z, as the contracts ask; other letters may be lower-cased too, but none of them becomes an ASCII one.
 

@@ -29,7 +29,7 @@ from .shared import broadcast_if_small, give_back, slices, small_batches, stored
 
 BITS = 64
 #: Variants that a cell's task holds at once; a fuller cell is halved by its next bit, again and again.
-HELD = 1 << 21
+HELD = 1 << 19
 #: Fingerprints of a cell that one task takes; a cell of more goes to several.
 CROWD = 1 << 18
 #: How many times more of a bucket's texts are compared with all others in each round.
@@ -245,6 +245,8 @@ def _sizes(sets: DataFrame, most_bits: int = 30) -> DataFrame:
 
     out = stored(sets.mapInArrow(run, "doc_id long, size long, shared long, bins array<int>"), "sizes")
     merged.destroy()
+    del merged
+    give_back()
     return out
 
 
@@ -277,6 +279,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
         of = pairs.groupBy("other").agg(F.collect_list("head").alias("heads"))  # as many as there are heads at most
         links = stored(sets.join(of, F.col("doc_id") == F.col("other")).select("doc_id", "hashes", "heads").mapInArrow(against_heads, "a long, b long"), "links")
         known.destroy()
+        del table, known
+        give_back()
         return links
 
     side = lambda end: sets.select(F.col("doc_id").alias(f"{end}_id"), F.col("hashes").alias(f"{end}_set"))

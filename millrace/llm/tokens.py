@@ -16,7 +16,7 @@ from .scan import Table, buffers, bytes_hash
 #: Words that a worker remembers; beyond it starts anew.
 REMEMBERED = 1_500_000
 #: Bytes of a text that are read at once.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 #: One space or line feed between two characters that are no white space: no piece of the tokenizers below reaches across it.
 _GAP = re.compile(r"(?<=\S)[ \n](?=\S)")
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
