@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..shared import stored
 
 KEYS = ["model", "concurrency"]
 #: Ranges of values, whose counts are summed up to find a rank, and the error of their bounds as a part of all values.
@@ -27,10 +28,11 @@ def interpolated(values: DataFrame, keys: list[str], column: str, p: float) -> D
     Equal values are counted first and the counts' running sums find the two ranks, so a key's values are never in one
     aggregation buffer: a mergeable sketch of the different values cuts them into ranges of about equal numbers however they are spread,
     ranges are summed up, and ranks are sought within the one or two ranges they lie in. The sketch sets the ranges only; ranks are exact.
+    It depends on the order in which its parts meet, so its cuts, a row a key, are stored: sums and ranks are over the same ranges.
     """
     counted = values.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("__v")).agg(F.count("*").alias("__n"))
     cuts = F.percentile_approx("__v", [k / RANGES for k in range(1, RANGES)], F.lit(int(1 / ERROR)))
-    bounds = counted.groupBy(*keys).agg(F.sum("__n").alias("__total"), cuts.alias("__cuts"))
+    bounds = stored(counted.groupBy(*keys).agg(F.sum("__n").alias("__total"), cuts.alias("__cuts")), "cuts")
     placed = _joined(counted, bounds, keys).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col("__v")))).drop("__cuts")
     sums = placed.groupBy(*keys, "__range").agg(F.sum("__n").alias("__in"))
     sums = sums.withColumn("__before", F.sum("__in").over(Window.partitionBy(*keys).orderBy("__range")) - F.col("__in"))
