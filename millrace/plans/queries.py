@@ -22,7 +22,7 @@ _long = lambda c: F.col(c).cast("long").alias(c)
 
 
 def _runs(spark: SparkSession, sf: str, ratio: bool = True) -> DataFrame:
-    return score.run_scores(score.field_scores(fixtures.cells(spark, sf), ratio=ratio), KEYS)
+    return score.run_scores(score.field_scores(fixtures.cells(spark, sf), ratio=ratio), KEYS, "line_no")
 
 
 def _summary(spark: SparkSession, sf: str, ratio: bool = True) -> DataFrame:
