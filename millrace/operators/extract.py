@@ -19,6 +19,8 @@ from ..sources.store import TableStore
 from . import chunking, rules
 
 DEFAULT, MOST_CANDIDATES = "Not Specified", 4
+#: Answers that go from a task to Spark at once.
+SENT = 256
 #: What tells a field from one that is easily taken for it.
 _HINTS = {
     "Start Date": "when the contract begins", "End Date": "when the contract ends", "Number of References Required": "a number",
@@ -153,19 +155,25 @@ def ask(parts: DataFrame, backend: Backend, calls: Calls | None = None) -> DataF
             answer = how.made(lambda: backend.answer(client, row["model"], PROMPT + row["chunk_text"]))
             return {**row, **{c: answer.get(c) for c in ("raw", "finish_reason", "time_s")}, **usage(answer)}
 
-        schema = None
+        schema, ready = None, []
         with ThreadPoolExecutor(own) as pool:
             open_: set[Future] = set()
             for b in (b for b in batches if len(b)):
                 if schema is None:
                     schema, client = _arrow(b.schema), backend.connect()
                 for row in b.to_pylist():
-                    if len(open_) >= own:
-                        done, open_ = wait(open_, return_when=FIRST_COMPLETED)
-                        yield pa.RecordBatch.from_pylist([f.result() for f in done], schema=schema)
-                    open_.add(pool.submit(asked, row))
-            if open_:
-                yield pa.RecordBatch.from_pylist([f.result() for f in open_], schema=schema)
+                    if own == 1:
+                        ready.append(asked(row))
+                    else:
+                        if len(open_) >= own:
+                            done, open_ = wait(open_, return_when=FIRST_COMPLETED)
+                            ready += [f.result() for f in done]
+                        open_.add(pool.submit(asked, row))
+                    if len(ready) >= SENT:
+                        yield pa.RecordBatch.from_pylist(ready, schema=schema)
+                        ready = []
+            if ready := ready + [f.result() for f in open_]:
+                yield pa.RecordBatch.from_pylist(ready, schema=schema)
 
     def _arrow(schema: pa.Schema) -> pa.Schema:
         kinds = {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}

@@ -101,3 +101,17 @@ def test_sql_names(spark):
     assert spark.sql("SELECT seq_ratio('tide', 'diet') AS r, nfkd_norm('é') AS n").first()[0] == difflib.SequenceMatcher(None, "tide", "diet").ratio()
     row = spark.sql("SELECT raw_json_valid(' {\"a\": 1} ') AS a, raw_json_valid('[1]') AS b, raw_json_valid(NULL) AS c, chunk_text(repeat('line of text\\n', 1000)) AS t, chunk_text(NULL) AS n").first()
     assert (row.a, row.b, row.c, row.n) == (True, False, False, []) and len(row.t) == 2 and row.t[0].startswith("line of text") and max(map(len, row.t)) <= 8000
+
+
+def test_a_candidate_is_cleaned_once_for_each_use(spark):
+    """Filters on cleaned values work them out once and once more for the result, however often their conditions name them."""
+    from pyspark.sql import functions as F
+
+    from millrace.functions import text
+    from millrace.operators import extract
+
+    odd = [("k", i, v) for i, v in enumerate(["A", "a ", " N/A", "", "B\t\nb", "b  B.", "K", "k", "not stated: x", "é\x85 é", None])]
+    values = spark.createDataFrame(odd, "k string, n int, value string").withColumn("value", text.clean_value(F.col("value")))
+    found = extract.first_candidates(values, ["k"], ["n"])
+    assert [r.value for r in found.orderBy("idx").collect()] == ["A", "B\t\nb", "K", "é\x85 é"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= 16
