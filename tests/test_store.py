@@ -187,3 +187,19 @@ def test_gauges_follow_the_newest_job(spark, tmp_path):
     made([job("a", 6, 1, True, "2024-01-03 10:00:00")])
     follow("1 day")
     assert rows(store.read().select("model", "job_id", "latency_s")) == [("a", 6, 1.0)]
+
+
+def test_the_driver_holds_no_names_of_texts(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    there = f"file://{tmp_path}/texts"
+    sinks.save_texts(spark.createDataFrame([(f"{i}%25 é.txt", "x" * i) for i in range(50)], "rfp string, text string"), there)
+    for hidden in (".a.txt", "_b.txt", "c.csv"):
+        (tmp_path / "texts" / hidden).write_text("no")
+    (tmp_path / "texts" / "d.txt").mkdir()
+    (tmp_path / "texts" / "e.txt").write_bytes(b"a\xffb")
+    by_spark = sorted(map(tuple, files.text_files(spark, str(tmp_path / "texts")).collect()))
+    monkeypatch.setattr(DataFrame, "inputFiles", lambda self: pytest.fail("names on the driver"))
+    monkeypatch.setattr(files, "NAMES_SENT", 7)
+    got = files.text_files(spark, there)
+    assert sorted(map(tuple, got.collect())) == by_spark == sorted([("e.txt", "ab"), *((f"{i}%25 é.txt", "x" * i) for i in range(50))])
